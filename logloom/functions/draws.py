@@ -116,20 +116,24 @@ class Draws:
         return F.lower(F.lpad(F.hex(value), width // 4, "0"))
 
 
-def slot_counts(weights: Sequence[tuple[object, int]], total: int | None = None, slots: int = 256) -> list[tuple[object, int]]:
-    """Slots per value: floor(w * slots / total); left-over slots go to the first value.
+def slot_counts(
+    weights: Sequence[tuple[object, int]], total: int | None = None, slots: int = 256, rest: object = None
+) -> list[tuple[object, int]]:
+    """Slots per value: floor(w * slots / total); left-over slots go to ``rest`` (default: the first value).
 
-    The left-over run is appended at the end, so the first value may own two runs.
+    The left-over run is appended at the end, so that value may own two runs.
     """
     total = sum(w for _, w in weights) if total is None else total
     runs = [(value, w * slots // total) for value, w in weights]
-    rest = slots - sum(n for _, n in runs)
-    return runs + ([(weights[0][0], rest)] if rest else [])
+    left = slots - sum(n for _, n in runs)
+    return runs + ([(weights[0][0] if rest is None else rest, left)] if left else [])
 
 
-def weighted(slot: Column, weights: Sequence[tuple[object, int]], total: int | None = None, slots: int = 256) -> Column:
+def weighted(
+    slot: Column, weights: Sequence[tuple[object, int]], total: int | None = None, slots: int = 256, rest: object = None
+) -> Column:
     """Value owning ``slot`` (0-based) under a weight list, as a constant-folded CASE."""
-    runs = [(v, n) for v, n in slot_counts(weights, total, slots) if n]
+    runs = [(v, n) for v, n in slot_counts(weights, total, slots, rest) if n]
     out, bound = None, 0
     for value, n in runs[:-1]:
         bound += n

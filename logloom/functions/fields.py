@@ -54,7 +54,7 @@ def referrer(d: Draws) -> Column:
 
 
 def log_level(d: Draws) -> Column:
-    return weighted(d.u8(1, 24), V.LOG_LEVELS, total=100)
+    return weighted(d.u8(1, 24), V.LOG_LEVELS, total=100, rest=V.REST_LEVEL)
 
 
 def service(d: Draws) -> Column:

@@ -8,6 +8,7 @@ SERVER_ERROR_CODES = [(500, 50), (502, 20), (503, 20), (504, 10)]
 # HTTP methods and log levels with weights in percent of 256 slots.
 METHODS = [("GET", 60), ("POST", 20), ("PUT", 8), ("DELETE", 5), ("PATCH", 4), ("HEAD", 2), ("OPTIONS", 1)]
 LOG_LEVELS = [("DEBUG", 5), ("INFO", 70), ("WARN", 15), ("ERROR", 8), ("FATAL", 2)]
+REST_LEVEL = "INFO"
 
 # Protocol table (four equal slots).
 PROTOCOL_SLOTS = ["HTTP/1.0", "HTTP/1.1", "HTTP/1.1", "HTTP/2.0"]

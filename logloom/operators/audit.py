@@ -79,7 +79,7 @@ def expected_shares(field: str) -> list[tuple[str, float]]:
     if field == "method":
         runs = slot_counts(V.METHODS, total=100)
     elif field == "level":
-        runs = slot_counts(V.LOG_LEVELS, total=100)
+        runs = slot_counts(V.LOG_LEVELS, total=100, rest=V.REST_LEVEL)
     elif field == "protocol":
         runs = [(p, 64) for p in V.PROTOCOL_SLOTS]
     elif field == "service":

@@ -42,12 +42,14 @@ def row_budget(
         {"_from": F.greatest(lo, F.col("bucket") * b) - lo, "_to": F.least(hi, (F.col("bucket") + 1) * b) - lo}
     )
 
-    def piece(what: str) -> Column:
-        start, end, ramp = F.col(f"start_{what}"), F.col(f"end_{what}"), F.col("ramp_ms")
+    def piece(what: str, kind: str) -> Column:
+        start, end, ramp = F.col(f"start_{what}").cast(kind), F.col(f"end_{what}").cast(kind), F.col("ramp_ms")
         return rate_area(start, end, ramp, F.col("_to")) - rate_area(start, end, ramp, F.col("_from"))
 
     per_bucket = pieces.groupBy("scenario_id", "bucket").agg(
-        F.sum(piece("lps")).alias("log_ms"), F.sum(F.floor(piece("bps") / F.lit(1000))).alias("n_bytes")
+        F.sum(piece("lps", "bigint")).alias("log_ms"),
+        # Bytes x milliseconds exceed 64 bits within months.
+        F.sum(F.floor(piece("bps", "decimal(20,0)").cast("double") / F.lit(1000.0))).alias("n_bytes"),
     )
     span = None if bound.small else max_buckets
     scan = Scan(["scenario_id"], "bucket", span)

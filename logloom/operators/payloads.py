@@ -108,8 +108,9 @@ def pack_partitions(df: DataFrame, limit_bytes: int = DEFAULT_LIMIT, fmt_col: st
         def emit(fmt: str, lines: pa.Array, starts: list[int]) -> pa.RecordBatch:
             head, sep, tail = BODY_SHAPES[{"event": "envelope", "json": "array"}.get(fmt, "raw")]
             groups = pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), lines.cast(pa.large_string()))
-            joined = pc.binary_join(groups, sep)
-            body = pc.binary_join_element_wise(head, joined, tail, "")
+            text = lambda x: pa.scalar(x, pa.large_string())
+            joined = pc.binary_join(groups, text(sep))
+            body = pc.binary_join_element_wise(text(head), joined, text(tail), text(""))
             n = len(body)
             base = counter.get(fmt, 0)
             counter[fmt] = base + n

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
@@ -49,6 +51,20 @@ def request_headers(content_type: str, auth: str | None = None, custom: Mapping[
     return headers | dict(custom or {})
 
 
+def http_sender(url: str, headers: Mapping[str, str], timeout_s: float = 30.0) -> Send:
+    """A ``send`` that POSTs the body; error statuses are returned, network errors raise."""
+
+    def send(payload: dict) -> int:
+        request = urllib.request.Request(url, data=payload["body"].encode(), headers=dict(headers), method="POST")
+        try:
+            with urllib.request.urlopen(request, timeout=timeout_s) as reply:
+                return reply.status
+        except urllib.error.HTTPError as error:
+            return error.code
+
+    return send
+
+
 def backoff_ms(attempt: int, rng: random.Random) -> float:
     base = BACKOFF_MS << min(attempt, BACKOFF_CAP)
     return base + rng.randint(0, base // 2)
@@ -104,14 +120,16 @@ def payload_outcomes(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> Dat
     """Final state per payload: the outcome of its last attempt.
 
     ``max_by`` keeps one candidate per payload and task, so no attempts are
-    sorted or collected.
+    sorted or collected.  Repeats of an attempt number (a replayed task) resolve
+    to the highest status.
     """
+    latest = F.col("attempt").cast("bigint") * F.lit(1000) + F.coalesce("http_status", F.lit(0))
     out = attempts.groupBy("payload_id").agg(
         F.count("*").alias("attempts"),
         F.count("http_status").alias("responses"),
         F.max("attempt").alias("last_attempt"),
-        F.max_by("http_status", "attempt").alias("last_status"),
-        F.max_by("n_bytes", "attempt").alias("n_bytes"),
+        F.max_by("http_status", latest).alias("last_status"),
+        F.max_by("n_bytes", latest).alias("n_bytes"),
     )
     return out.withColumn("outcome", attempt_outcome(F.col("last_status"), F.col("last_attempt"), max_retries))
 
