@@ -25,8 +25,8 @@ DIGESTS = ("xxhash64", "md5")
 class Draws:
     """Words and bit slices for one row key.
 
-    ``words`` optionally maps word numbers (or, for md5, digest numbers) to
-    columns that already hold them; see :meth:`materialize`.
+    ``words`` optionally maps hash numbers (see :meth:`source_no`) to the names
+    of columns that already hold them; see :meth:`materialize`.
     """
 
     def __init__(
@@ -35,7 +35,7 @@ class Draws:
         seed: int = 0,
         digest: str = "xxhash64",
         stream: str = "row",
-        words: Mapping[int, Column] | None = None,
+        words: Mapping[int, str] | None = None,
     ):
         if digest not in DIGESTS:
             raise ValueError(f"digest must be one of {DIGESTS}, got {digest!r}")
@@ -44,6 +44,7 @@ class Draws:
         self.digest = digest
         self.stream = stream
         self.words = dict(words or {})
+        self._slices: dict[tuple, Column] = {}
 
     # -- sources -----------------------------------------------------------
     def source_no(self, word: int) -> int:
@@ -52,7 +53,7 @@ class Draws:
 
     def source(self, number: int) -> Column:
         if number in self.words:
-            return self.words[number]
+            return F.col(self.words[number])
         if self.digest == "md5":
             parts = [F.lit(str(self.seed)), F.lit(self.stream), F.lit(str(number))]
             return F.md5(F.concat_ws("|", *parts, *[k.cast("string") for k in self.keys]))
@@ -70,7 +71,7 @@ class Draws:
         """
         numbers = sorted({self.source_no(w) for w in range(n_words)})
         df = df.withColumns({f"{prefix}{i}": self.source(i) for i in numbers})
-        words = {i: F.col(f"{prefix}{i}") for i in numbers}
+        words = {i: f"{prefix}{i}" for i in numbers}
         return df, Draws(self.keys, self.seed, self.digest, self.stream, words)
 
     # -- slices ------------------------------------------------------------
@@ -78,11 +79,24 @@ class Draws:
         """Unsigned integer made of ``width`` (<= 32) bits of a word, as BIGINT."""
         if offset % 4 or width % 4 or not 0 < width <= 32 or offset + width > 64:
             raise ValueError("slices are 4-bit aligned, at most 32 bits, inside one word")
-        src = self.source(self.source_no(word))
+        where = (word, offset, width)
+        if where not in self._slices:
+            self._slices[where] = self._slice(word, offset, width)
+        return self._slices[where]
+
+    def _slice(self, word: int, offset: int, width: int) -> Column:
+        number = self.source_no(word)
+        start, mask = 1 + 16 * (word % 2) + offset // 4, (1 << width) - 1
+        if number in self.words:
+            # SQL text: one call to the JVM instead of one per operator.
+            name = self.words[number]
+            if self.digest == "md5":
+                return F.expr(f"cast(conv(substring({name}, {start}, {width // 4}), 16, 10) as bigint)")
+            return F.expr(f"shiftrightunsigned({name}, {64 - offset - width}) & {mask}L")
+        src = self.source(number)
         if self.digest == "md5":
-            start = 1 + 16 * (word % 2) + offset // 4
             return F.conv(F.substring(src, start, width // 4), 16, 10).cast("bigint")
-        return F.shiftrightunsigned(src, 64 - offset - width).bitwiseAND(F.lit((1 << width) - 1))
+        return F.shiftrightunsigned(src, 64 - offset - width).bitwiseAND(F.lit(mask))
 
     def u8(self, word: int, offset: int) -> Column:
         return self.bits(word, offset, 8)
@@ -129,23 +143,28 @@ def slot_counts(
     return runs + ([(weights[0][0] if rest is None else rest, left)] if left else [])
 
 
+def constant_array(values: Sequence[object]) -> Column:
+    """A literal array, built as one folded expression: a lookup costs a few bytecodes.
+
+    Long CASE chains would push the generated method past the size the JVM
+    still compiles, which costs far more than the lookup itself.
+    """
+    first = values[0]
+    text = F.split(F.lit("\n".join(str(v) for v in values)), "\n")
+    return text if isinstance(first, str) else text.cast("array<int>")
+
+
 def weighted(
     slot: Column, weights: Sequence[tuple[object, int]], total: int | None = None, slots: int = 256, rest: object = None
 ) -> Column:
-    """Value owning ``slot`` (0-based) under a weight list, as a constant-folded CASE."""
-    runs = [(v, n) for v, n in slot_counts(weights, total, slots, rest) if n]
-    out, bound = None, 0
-    for value, n in runs[:-1]:
-        bound += n
-        cond = slot < F.lit(bound)
-        out = F.when(cond, F.lit(value)) if out is None else out.when(cond, F.lit(value))
-    last = F.lit(runs[-1][0])
-    return last if out is None else out.otherwise(last)
+    """Value owning ``slot`` (0-based) under a weight list: a lookup in a table of ``slots`` entries."""
+    table = [v for v, n in slot_counts(weights, total, slots, rest) for _ in range(n)]
+    return pick(table, slot)
 
 
 def pick(values: Sequence[object], index: Column) -> Column:
-    """Entry of a literal list at a 0-based index (a constant array lookup)."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    """Entry of a literal list at a 0-based index."""
+    return F.get(constant_array(values), index.cast("int"))
 
 
 def weighted_slots(dist: DataFrame, value: str, weight: str, slots: int, order: str) -> DataFrame:

@@ -16,7 +16,7 @@ rendered from the same row agree on every shared field:
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
@@ -144,13 +144,12 @@ def ip_index(d: Draws) -> Column:
     return d.u16(0, 0)
 
 
-def ip_entry(d: Draws, index: Column) -> Column:
-    """Address number ``index`` of the pool: private ranges 60 %, the rest drawn from 1-223.
+def ip_entry(e: Draws) -> Column:
+    """Address of one pool entry: private ranges 60 %, the rest drawn from 1-223.
 
     The rest avoids first octets 10 and 127 only, so it can land in other
     private ranges again; that is intended and shows in the distribution audit.
     """
-    e = d.substream("ip", index)
     kind = e.below(0, 0, 100)
     b, c = e.u8(0, 32).cast("string"), e.u8(0, 40).cast("string")
     last = (e.below(0, 48, 254, width=16) + 1).cast("string")
@@ -166,16 +165,15 @@ def ip_entry(d: Draws, index: Column) -> Column:
 
 
 def ip_address(d: Draws) -> Column:
-    return ip_entry(d, ip_index(d))
+    return ip_entry(d.substream("ip", ip_index(d)))
 
 
 def path_index(d: Draws) -> Column:
     return d.u16(0, 16).bitwiseAND(F.lit(V.PATH_POOL_SIZE - 1))
 
 
-def path_entry(d: Draws, index: Column) -> Column:
-    """URL path number ``index`` of the pool (prefix "/" gives a double slash)."""
-    e = d.substream("path", index)
+def path_entry(e: Draws) -> Column:
+    """URL path of one pool entry (prefix "/" gives a double slash)."""
     kind = e.below(0, 0, 100)
     prefix_no = e.u8(0, 32).bitwiseAND(F.lit(15))
     segment = pick(V.PATH_SEGMENTS, e.below(0, 40, len(V.PATH_SEGMENTS), width=16))
@@ -207,23 +205,41 @@ def path_entry(d: Draws, index: Column) -> Column:
 
 
 def url_path(d: Draws) -> Column:
-    return path_entry(d, path_index(d))
+    return path_entry(d.substream("path", path_index(d)))
 
 
 def agent_index(d: Draws) -> Column:
     return d.u8(0, 32)
 
 
-def agent_entry(d: Draws, index: Column) -> Column:
-    e = d.substream("agent", index)
-    kind, draw = e.below(0, 0, 100), e.u32(0, 32)
-    out, bound = None, 0
-    for share, agents in V.USER_AGENT_FAMILIES:
-        bound += share
-        choice = pick(agents, draw % F.lit(len(agents)))
-        out = F.when(kind < bound, choice) if out is None else out.when(kind < bound, choice)
-    return out
+def agent_entry(e: Draws) -> Column:
+    """User agent of one pool entry: a family by its share, then one of its agents."""
+    shares = [(number, share) for number, (share, _) in enumerate(V.USER_AGENT_FAMILIES)]
+    family = weighted(e.below(0, 0, 100), shares, total=100, slots=100)
+    sizes = [len(agents) for _, agents in V.USER_AGENT_FAMILIES]
+    firsts = [sum(sizes[:n]) for n in range(len(sizes))]
+    agents = [agent for _, group in V.USER_AGENT_FAMILIES for agent in group]
+    return pick(agents, pick(firsts, family) + e.u32(0, 32) % pick(sizes, family))
 
 
 def user_agent(d: Draws) -> Column:
-    return agent_entry(d, agent_index(d))
+    return agent_entry(d.substream("agent", agent_index(d)))
+
+
+# -- pools as tables -------------------------------------------------------------------------
+# A row's pool field is a function of a small index, so the pool can be computed
+# once and broadcast; its size is fixed, whatever the size of the data.
+POOLS = {
+    "ip": (V.IP_POOL_SIZE, ip_index, ip_entry, 2),
+    "path": (V.PATH_POOL_SIZE, path_index, path_entry, 5),
+}
+
+
+def with_pool_field(df: DataFrame, d: Draws, name: str) -> DataFrame:
+    """Add ``_pool_<name>`` by a broadcast lookup: same values as the inline expression."""
+    size, index, entry, n_words = POOLS[name]
+    slot = f"_slot_{name}"
+    slots = df.sparkSession.range(0, size, 1, 4).withColumnRenamed("id", slot)
+    pool, e = d.substream(name, F.col(slot)).materialize(slots, n_words)
+    pool = pool.select(slot, entry(e).alias(f"_pool_{name}"))
+    return df.withColumn(slot, index(d)).join(F.broadcast(pool), slot, "left").drop(slot)

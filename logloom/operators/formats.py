@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +70,17 @@ _FORMATTERS: dict[str, Formatter] = {
 }
 
 
+# Fields each built-in format reads, so that only those are drawn.
+_HTTP = ["ip", "username", "method", "path", "protocol", "status", "body_bytes", "referrer", "user_agent"]
+FORMAT_FIELDS = {
+    "apache": _HTTP,
+    "nginx": [*_HTTP, "request_time"],
+    "json": ["level", "service", "trace_id", "span_id", "message", "method", "path", "status", "duration_ms", "ip"],
+    "syslog": ["syslog_level", "host", "service", "pid", "msg_id", "request_id", "syslog_duration_ms"],
+    "event": ["event_epoch", "service", "host", "method", "path", "status", "duration_ms", "request_size", "body_bytes"],
+}
+
+
 def register_format(name: str, formatter: Formatter) -> None:
     """Add a format: a function from a field accessor to a text column."""
     _FORMATTERS[name] = formatter
@@ -91,12 +102,18 @@ def canonical_format(fmt: Column, aliases: Mapping[str, str] | None = None) -> C
     return fmt
 
 
-def render(df: DataFrame, fmt: str | Column = DEFAULT_FORMAT, ts_col: str = "ts", prefix: str = "") -> DataFrame:
+def render(
+    df: DataFrame,
+    fmt: str | Column = DEFAULT_FORMAT,
+    ts_col: str = "ts",
+    prefix: str = "",
+    formats: Sequence[str] | None = None,
+) -> DataFrame:
     """Add ``line`` and ``n_bytes`` (newline included).
 
-    ``fmt`` is a name, or a column when one table mixes formats.  A name that is
-    not registered is an error; in a column it gives a NULL line, which callers
-    can reject.
+    ``fmt`` is a name, or a column when one table mixes formats (``formats``
+    limits the names that may occur).  A name that is not registered is an
+    error; in a column it gives a NULL line, which callers can reject.
     """
 
     def c(name: str) -> Column:
@@ -108,7 +125,8 @@ def render(df: DataFrame, fmt: str | Column = DEFAULT_FORMAT, ts_col: str = "ts"
         line = _FORMATTERS[fmt](c)
     else:
         line = None
-        for name, formatter in _FORMATTERS.items():
+        for name in formats or _FORMATTERS:
+            formatter = _FORMATTERS[name]
             cond = fmt == name
             line = F.when(cond, formatter(c)) if line is None else line.when(cond, formatter(c))
     out = df.withColumn("line", line)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, metrics, payloads, sinks
 from ..operators.attach import attach_scenario
-from ..operators.formats import render
+from ..operators.formats import FORMAT_FIELDS, render
 from ..operators.parse import explode_events, ingest_report, parse_lines
 from ..sources.rows import with_log_fields
 from . import fixtures as Z
@@ -17,21 +17,26 @@ from .registry import query
 KEYS = O.LINE_KEYS
 
 
-def line_rows(spark: SparkSession, d: str) -> DataFrame:
+def line_rows(spark: SparkSession, d: str, *formats: str, digest: str = Z.DIGEST) -> DataFrame:
+    """Line items with the fields the formats need (all of them without a format)."""
     rows = Z.table(spark, d, "lineitem").select(*Z.LINE_KEYS, F.col("l_shipdate").alias("ts"))
-    return with_log_fields(rows, Z.LINE_KEYS, "ts", Z.SEED, Z.DIGEST)
+    return with_log_fields(rows, Z.LINE_KEYS, "ts", Z.SEED, digest, fields=_fields_of(formats))
 
 
-def event_rows(spark: SparkSession, d: str) -> DataFrame:
+def event_rows(spark: SparkSession, d: str, *formats: str) -> DataFrame:
     rows = Z.table(spark, d, "events").select("event_id", "ts")
-    return with_log_fields(rows, Z.EVENT_KEYS, "ts", Z.SEED, Z.DIGEST)
+    return with_log_fields(rows, Z.EVENT_KEYS, "ts", Z.SEED, Z.DIGEST, fields=_fields_of(formats))
 
 
-def month_fields(spark: SparkSession, d: str) -> DataFrame:
+def _fields_of(formats: tuple[str, ...]) -> list[str] | None:
+    return list(dict.fromkeys(f for name in formats for f in FORMAT_FIELDS[name])) or None
+
+
+def month_fields(spark: SparkSession, d: str, fields: list[str]) -> DataFrame:
     """Events with scenario state and fields drawn at the scenario's error rate."""
     rows = Z.table(spark, d, "events").select("event_id", "ts", "event_type")
     rows = attach_scenario(rows, Z.month_states(spark, True), "ts", Z.MONTH_ORIGIN)
-    return with_log_fields(rows, Z.EVENT_KEYS, "ts", Z.SEED, Z.DIGEST, error_rate=F.col("error_rate"))
+    return with_log_fields(rows, Z.EVENT_KEYS, "ts", Z.SEED, Z.DIGEST, error_rate=F.col("error_rate"), fields=fields)
 
 
 def _month_fields_sql(select: str) -> str:
@@ -47,7 +52,7 @@ def _month_fields_sql(select: str) -> str:
     _month_fields_sql("SELECT event_type, spike_active, count(*) AS n_rows, count(*) FILTER (status >= 400) AS n_errors FROM f GROUP BY ALL"),
 )
 def flagship(spark, d):
-    rows = month_fields(spark, d)
+    rows = month_fields(spark, d, ["status"])
     return rows.groupBy("event_type", "spike_active").agg(
         F.count("*").alias("n_rows"), F.sum((F.col("status") >= 400).cast("bigint")).alias("n_errors")
     )
@@ -60,7 +65,7 @@ _LINES = {"f1_apache": ("apache", O.COMBINED), "f3_json": ("json", O.JSON_LINE),
 def _register_formats() -> None:
     for name, (fmt, sql) in _LINES.items():
         query(name, O.fields(f"SELECT {KEYS}, {sql} AS line, strlen({sql}) + 1 AS n_bytes FROM f"))(
-            lambda spark, d, fmt=fmt: render(line_rows(spark, d), fmt).select(*Z.LINE_KEYS, "line", "n_bytes")
+            lambda spark, d, fmt=fmt: render(line_rows(spark, d, fmt), fmt).select(*Z.LINE_KEYS, "line", "n_bytes")
         )
 
 
@@ -70,7 +75,7 @@ _register_formats()
 @query("f2_nginx", O.fields(f"SELECT {KEYS}, {O.COMBINED} AS head, round(request_time::DOUBLE * 1000000)::BIGINT AS request_us FROM f"))
 def f2(spark, d):
     # Float text is compared as whole microseconds: engines may print a FLOAT differently.
-    rows = render(line_rows(spark, d), "nginx").select(*Z.LINE_KEYS, "line")
+    rows = render(line_rows(spark, d, "nginx"), "nginx").select(*Z.LINE_KEYS, "line")
     seconds = F.substring_index("line", " ", -1)
     return rows.select(
         *Z.LINE_KEYS,
@@ -85,9 +90,12 @@ _DISPATCH_LINE = (
 )
 
 
+MIXED = ("apache", "json", "syslog", "event")
+
+
 def mixed_lines(spark: SparkSession, d: str) -> DataFrame:
     fmt = F.get(F.array(*[F.lit(f) for f in ("apache", "json", "syslog", "event")]), (F.col("l_linenumber") % 4).cast("int"))
-    return render(line_rows(spark, d).withColumn("fmt", fmt), F.col("fmt"))
+    return render(line_rows(spark, d, *MIXED).withColumn("fmt", fmt), F.col("fmt"), formats=MIXED)
 
 
 @query("f6_dispatch", O.fields(f"SELECT {KEYS}, {_DISPATCH} AS fmt, {_DISPATCH_LINE} AS line FROM f"))
@@ -107,7 +115,7 @@ def _pack_sql(rows: str, keys: str, body: str) -> str:
 
 
 def packed(spark: SparkSession, d: str, fmt: str) -> DataFrame:
-    rows = render(event_rows(spark, d), fmt).select("event_id", "line")
+    rows = render(event_rows(spark, d, fmt), fmt).select("event_id", "line")
     buckets = Z.table(spark, d, "events").count() // 5000 + 1
     return payloads.pack_payloads(rows, fmt, LIMIT, Z.EVENT_KEYS, buckets)
 
@@ -207,12 +215,12 @@ _SUMS = "count(*) AS logs, sum(n_bytes)::BIGINT AS bytes, count(*) FILTER (statu
 
 
 def json_lines(spark: SparkSession, d: str) -> DataFrame:
-    return render(event_rows(spark, d), "json")
+    return render(event_rows(spark, d, "json"), "json")
 
 
 @query("m1_totals", O.fields(f", s AS (SELECT *, strlen({O.COMBINED}) + 1 AS n_bytes FROM f) SELECT {_SUMS} FROM s"))
 def m1(spark, d):
-    return metrics.totals(render(line_rows(spark, d), "apache"))
+    return metrics.totals(render(line_rows(spark, d, "apache"), "apache"))
 
 
 _BUCKETS = f", {_SIZED}, b AS (SELECT epoch_us(ts) // {HOUR * 1000} AS bucket, {_SUMS} FROM s GROUP BY 1)"
@@ -263,7 +271,8 @@ def m5(spark, d):
     O.fields(f"SELECT service, count(*) FILTER (status >= 400) AS http_errors, count(*) FILTER (syslog_level IN ('ERROR', 'FATAL')) AS level_errors FROM f GROUP BY 1"),
 )
 def m6(spark, d):
-    rows = line_rows(spark, d)
+    rows = Z.table(spark, d, "lineitem").select(*Z.LINE_KEYS, F.col("l_shipdate").alias("ts"))
+    rows = with_log_fields(rows, Z.LINE_KEYS, "ts", Z.SEED, Z.DIGEST, fields=["service", "status", "syslog_level"])
     return rows.groupBy("service").agg(
         F.sum(metrics.is_error().cast("bigint")).alias("http_errors"),
         F.sum(metrics.is_error_level("syslog_level").cast("bigint")).alias("level_errors"),
@@ -280,7 +289,7 @@ _MONTH_LINE = _DISPATCH_LINE.replace("l_linenumber", "event_id")
 )
 def m7(spark, d):
     fmt = F.get(F.array(*[F.lit(f) for f in ("apache", "json", "syslog", "event")]), (F.col("event_id") % 4).cast("int"))
-    rows = render(month_fields(spark, d).withColumn("fmt", fmt), F.col("fmt"))
+    rows = render(month_fields(spark, d, _fields_of(MIXED)).withColumn("fmt", fmt), F.col("fmt"), formats=MIXED)
     return metrics.by_state(rows, ["seg_lo", "active_spikes", "fmt"])
 
 
@@ -298,7 +307,7 @@ _PARSED = {
 
 
 def _parsed(spark: SparkSession, d: str, fmt: str) -> DataFrame:
-    out = parse_lines(render(event_rows(spark, d), fmt).select("event_id", "line"), fmt)
+    out = parse_lines(render(event_rows(spark, d, fmt), fmt).select("event_id", "line"), fmt)
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz")) if "ts" in out.columns else out
 
 
@@ -347,7 +356,7 @@ _BROKEN = (
     ),
 )
 def v6(spark, d):
-    rows = render(event_rows(spark, d), "event").select("event_id", "line")
+    rows = render(event_rows(spark, d, "event"), "event").select("event_id", "line")
     key = F.col("event_id")
     line = (
         F.when(key % 7 == 0, F.replace("line", F.lit('"timestamp":'), F.lit('"time":')))

@@ -30,49 +30,62 @@ def with_log_fields(
     error_rate: Column | float = DEFAULT_ERROR_RATE,
     prefix: str = "",
     fields: Sequence[str] | None = None,
+    pools: str = "broadcast",
 ) -> DataFrame:
     """Add seeded log fields to every row: a narrow projection, no exchange, no Python.
 
     ``keys`` identify a row (equal keys draw equal fields).  ``error_rate`` is a
     number or a column such as ``error_rate`` of an attached scenario.  ``fields``
-    limits the added columns; unused ones are pruned in any case.
+    limits the added columns.  The large pools (``ip``, ``path``) are
+    looked up in broadcast tables of fixed size; ``pools="inline"`` evaluates the
+    same values in place instead, with no broadcast at all.
     """
+    wanted = LOG_FIELDS if fields is None else list(fields)
+    pooled = [f for f in X.POOLS if f in wanted] if pools == "broadcast" else []
     rate = F.lit(float(error_rate)) if isinstance(error_rate, (int, float)) else error_rate
     df, d = Draws(keys, seed, digest).materialize(df, X.N_WORDS)
-    # The status feeds several fields, so it is computed once, before them.
-    df = df.withColumn("_status", X.http_status(d, rate)).withColumn("_drawn_level", X.log_level(d))
-    df = df.withColumn("_syslog_level", T.syslog_level(d, rate, F.col("_drawn_level")))
-    status = F.col("_status")
-    columns = {
-        "ip": X.ip_address(d),
-        "username": X.username(d),
-        "method": X.http_method(d),
-        "path": X.url_path(d),
-        "protocol": X.protocol(d),
-        "status": status,
-        "body_bytes": X.response_size(d, status),
-        "referrer": X.referrer(d),
-        "user_agent": X.user_agent(d),
-        "request_time": X.request_seconds(d, status),
-        "level": T.level_from_status(status, F.col("_drawn_level")),
-        "service": X.service(d),
-        "host": X.host(d),
-        "trace_id": X.trace_id(d),
-        "span_id": X.span_id(d),
-        "request_id": X.request_id(d),
-        "msg_id": X.message_id(d),
-        "pid": X.process_id(d),
-        "duration_ms": X.duration_ms_for(d, status),
-        "request_size": X.request_size(d),
-        "message": T.status_message(status),
-        "syslog_level": F.col("_syslog_level"),
-        "syslog_duration_ms": X.syslog_duration(d),
-        "event_epoch": T.epoch_jitter(ts_col, d),
+    for name in pooled:
+        df = X.with_pool_field(df, d, name)
+    # Status and levels feed several fields, so they are computed once, before them.
+    status, drawn = F.col("_status"), F.col("_drawn_level")
+    df = df.withColumns({"_status": X.http_status(d, rate), "_drawn_level": X.log_level(d)})
+    if "syslog_level" in wanted:
+        df = df.withColumn("_syslog_level", T.syslog_level(d, rate, drawn))
+    build = {
+        "ip": lambda: X.ip_address(d),
+        "username": lambda: X.username(d),
+        "method": lambda: X.http_method(d),
+        "path": lambda: X.url_path(d),
+        "protocol": lambda: X.protocol(d),
+        "status": lambda: status,
+        "body_bytes": lambda: X.response_size(d, status),
+        "referrer": lambda: X.referrer(d),
+        "user_agent": lambda: X.user_agent(d),
+        "request_time": lambda: X.request_seconds(d, status),
+        "level": lambda: T.level_from_status(status, drawn),
+        "service": lambda: X.service(d),
+        "host": lambda: X.host(d),
+        "trace_id": lambda: X.trace_id(d),
+        "span_id": lambda: X.span_id(d),
+        "request_id": lambda: X.request_id(d),
+        "msg_id": lambda: X.message_id(d),
+        "pid": lambda: X.process_id(d),
+        "duration_ms": lambda: X.duration_ms_for(d, status),
+        "request_size": lambda: X.request_size(d),
+        "message": lambda: T.status_message(status),
+        "syslog_level": lambda: F.col("_syslog_level"),
+        "syslog_duration_ms": lambda: X.syslog_duration(d),
+        "event_epoch": lambda: T.epoch_jitter(ts_col, d),
     }
-    wanted = list(columns) if fields is None else list(fields)
-    out = df.withColumns({prefix + name: columns[name] for name in wanted})
-    helpers = [c for c in out.columns if c.startswith("_w") and c[2:].isdigit()]
-    return out.drop("_status", "_drawn_level", "_syslog_level", *helpers)
+    build |= {name: lambda name=name: F.col(f"_pool_{name}") for name in pooled}
+    out = df.withColumns({prefix + name: build[name]() for name in wanted})
+    return out.select(*_kept(out))
+
+
+def _kept(df: DataFrame) -> list[str]:
+    """All columns but the helpers."""
+    helpers = {"_status", "_drawn_level", "_syslog_level", *[f"_pool_{n}" for n in X.POOLS]}
+    return [c for c in df.columns if c not in helpers and not (c.startswith("_w") and c[2:].isdigit())]
 
 
 def generate_rows(budget: DataFrame, bucket_ms: int, origin: str, chunk: int = 65_536) -> DataFrame:
