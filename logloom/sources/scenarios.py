@@ -62,8 +62,8 @@ def _document_error(doc: Column, aliases: Mapping[str, str] | None) -> Column:
     types = [name for name, _ in V.SPIKE_TYPES]
     fmt = canonical_format(doc["format"], aliases)
     return (
-        F.when(doc["scenario"].isNull() | doc["scenario.name"].isNull(), F.lit("missing scenario name"))
-        .when(bad_time(doc["scenario.total_duration"]), F.lit("bad total_duration"))
+        F.when(doc["scenario"].isNull() | doc["scenario"]["name"].isNull(), F.lit("missing scenario name"))
+        .when(bad_time(doc["scenario"]["total_duration"]), F.lit("bad total_duration"))
         .when(F.exists(events, lambda e: bad_time(e["at"]) | bad_optional(e["duration"])), F.lit("bad duration in timeline"))
         .when(F.exists(events, lambda e: e["rate"].isNull()), F.lit("missing rate in timeline"))
         .when(F.exists(spikes, lambda s: bad_time(s["at"]) | bad_time(s["duration"])), F.lit("bad duration in spikes"))
