@@ -27,14 +27,11 @@ def main() -> None:
 
     from logloom.operators import metrics, payloads
     from logloom.operators.attach import States, attach_scenario, inject_anomalies
-    from logloom.operators.control import control_bound
     from logloom.operators.formats import FORMAT_FIELDS, render
     from logloom.operators.parse import parse_lines
     from logloom.operators.sinks import discard
-    from logloom.operators.states import state_intervals
     from logloom.plans import fixtures as Z
     from logloom.plans import scenario_queries
-    from logloom.session import cut_lineage
     from logloom.sources.rows import generate_rows, with_log_fields
 
     spark = (
@@ -58,7 +55,7 @@ def main() -> None:
         return render(with_log_fields(lines, Z.LINE_KEYS, "ts", seed, fields=FORMAT_FIELDS[fmt]), fmt)
 
     def month():
-        return States(state_intervals(Z.month_control(spark), seed))
+        return States.of(Z.month_control(spark), seed)
 
     def month_errors():
         rows = attach_scenario(events, month(), "ts", Z.MONTH_ORIGIN)
@@ -66,11 +63,11 @@ def main() -> None:
         rows.groupBy("event_type", "spike_active").agg(F.count("*"), F.sum(F.col("is_error").cast("int"))).collect()
 
     def customers():
-        control = Z.customer_control(spark, SF_DIR)
-        return States(cut_lineage(state_intervals(control, seed, bound=control_bound(control))))
+        return States.of(Z.customer_control(spark, SF_DIR), seed)
 
     def customer_attach():
-        rows = attach_scenario(Z.customer_rows(spark, SF_DIR), customers(), "l_shipdate", Z.CUSTOMER_ORIGIN, "custkey")
+        rows = Z.customer_rows(spark, SF_DIR).repartition(CPUS, *Z.LINE_KEYS)
+        rows = attach_scenario(rows, customers(), "l_shipdate", Z.CUSTOMER_ORIGIN, "custkey")
         discard(rows)
 
     lines_of = {fmt: rendered(fmt) for fmt in FORMAT_FIELDS}

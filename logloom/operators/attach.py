@@ -6,14 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import fields
 from ..functions.draws import Draws
+from ..session import cut_lineage
 from .control import Control
 from .states import error_fraction, progress_percent, rate_description, rates_at, remaining_ms, state_intervals
 
 # Sizes up to which the state table is inlined as literals or broadcast.
-LITERAL_ROWS = 64
+LITERAL_ROWS = 48
 BROADCAST_ROWS = 200_000
 
 STATE_COLUMNS = [
@@ -49,7 +51,8 @@ class States:
 
     @classmethod
     def of(cls, control: Control, seed: int = 0, digest: str = "xxhash64", describe: bool = False, **kw) -> "States":
-        return cls(state_intervals(control, seed, digest, describe=describe), **kw)
+        """States of a control set; the interval table is written once and read back from there."""
+        return cls(cut_lineage(state_intervals(control, seed, digest, describe=describe)), **kw)
 
     @property
     def columns(self) -> list[str]:
@@ -69,7 +72,14 @@ class States:
 
         total = rows[-1]["hi_ms"]
         inside = df.filter((F.col("t_ms") >= bounds[0]) & (F.col("t_ms") < total)).withColumn("_i", search(0, len(rows)))
-        cells = {c: F.get(F.array(*[F.lit(r[c]).cast(types[c]) for r in rows]), F.col("_i")) for c in self.columns}
+
+        def cell(c: str) -> Column:
+            values = [r[c] for r in rows]
+            if len(set(values)) == 1:
+                return F.lit(values[0]).cast(types[c])
+            return F.get(F.array(*[F.lit(v) for v in values]).cast(ArrayType(types[c])), F.col("_i"))
+
+        cells = {c: cell(c) for c in self.columns}
         return inside.withColumns(cells).drop("_i")
 
     # -- join form ---------------------------------------------------------------------------
@@ -133,7 +143,7 @@ def attach_scenario(
             "rate_desc": rate_description(F.col("bps"), F.col("ramping")),
         }
     )
-    return out.drop("start_lps", "end_lps", "start_bps", "end_bps", "ramp_ms")
+    return out.drop("hi_ms", "start_lps", "end_lps", "start_bps", "end_bps", "ramp_ms")
 
 
 def inject_anomalies(
@@ -150,12 +160,15 @@ def inject_anomalies(
     ``duration_col`` (or the drawn duration) by the spike's multiplier while a
     latency effect is active; off, durations stay as drawn.
     """
-    d = Draws(keys, seed, digest)
-    out = df.withColumn("status", fields.http_status(d, F.col("error_rate")))
+    kept = df.columns
+    out, d = Draws(keys, seed, digest).materialize(df, 4)
+    out = out.withColumn("status", fields.http_status(d, F.col("error_rate")))
     base = F.col(duration_col) if duration_col else fields.duration_ms_for(d, F.col("status"))
     slow = F.col("spike_active") & (F.col("latency_multiplier") > 0)
     factor = F.when(slow, F.col("latency_multiplier").cast("double")).otherwise(F.lit(1.0))
     duration = F.floor(base.cast("double") * factor).cast("bigint") if apply_latency else base.cast("bigint")
-    return out.withColumns(
-        {"duration_ms": duration, "is_error": F.col("status") >= 400, "is_unusual": F.col("unusual")}
+    out = out.withColumns(
+        {"_duration": duration, "is_error": F.col("status") >= 400, "is_unusual": F.col("unusual")}
     )
+    new = [c for c in ("status", "is_error", "is_unusual") if c not in kept]
+    return out.select(*[c for c in kept if c != "duration_ms"], *new, F.col("_duration").alias("duration_ms"))

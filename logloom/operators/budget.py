@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from .control import Bound
 from .scan import Scan
 from .spikes import repeat_numbers
 
@@ -24,16 +23,18 @@ def rate_area(start: Column, end: Column, ramp_ms: Column, dt_ms: Column) -> Col
 def row_budget(
     segments: DataFrame,
     bucket_ms: int,
-    bound: Bound,
     thin: int = 1,
-    max_buckets: int = 1 << 20,
+    longest_ms: int | None = None,
+    block: int = 1 << 16,
 ) -> DataFrame:
     """Rows and bytes per (scenario, bucket): differences of the floored cumulative target.
 
     ``thin=n`` plans one row out of ``n``.  Rate 0 is a pause and yields 0 rows.
     A segment is cut by the buckets it overlaps, pieces are summed per bucket
     (partial aggregation), and one running sum per scenario turns them into
-    whole rows without losing fractions.
+    whole rows without losing fractions.  That sum runs in blocks of ``block``
+    buckets unless ``longest_ms``, the longest scenario, shows that no scenario
+    has more buckets than that.
     """
     lo, hi, b = F.col("lo_ms"), F.col("hi_ms"), F.lit(bucket_ms)
     first, last = F.floor(lo / b), F.floor((hi - 1) / b)
@@ -51,8 +52,8 @@ def row_budget(
         # Bytes x milliseconds exceed 64 bits within months.
         F.sum(F.floor(piece("bps", "decimal(20,0)").cast("double") / F.lit(1000.0))).alias("n_bytes"),
     )
-    span = None if bound.small else max_buckets
-    scan = Scan(["scenario_id"], "bucket", span)
+    one_block = longest_ms is not None and longest_ms <= bucket_ms * block
+    scan = Scan(["scenario_id"], "bucket", None if one_block else block)
     cum = scan.apply(per_bucket, running={"cum": ("sum", F.col("log_ms"))})
     unit = F.lit(1000 * thin)
     whole = F.floor(F.col("cum") / unit) - F.floor((F.col("cum") - F.col("log_ms")) / unit)

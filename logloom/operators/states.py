@@ -17,7 +17,7 @@ from ..session import cut_lineage
 from .control import Bound, Control, control_bound
 from .scan import Scan
 from .spikes import INSTANCE_KEYS, display_type, expand_spikes
-from .timeline import STATE, ramp_value, timeline_segments
+from .timeline import STATE, lerp, ramp_progress, timeline_segments
 
 # Blocks of this level and above are read by many intervals; spread them over salts.
 SALT_LEVEL, SALTS = 10, 64
@@ -49,9 +49,10 @@ def controller_fixed_point(rate: Column, latency: Column) -> tuple[Column, Colum
 
 
 def seconds_f32(ms: Column) -> Column:
-    whole = F.floor(ms / F.lit(1000))
-    nanos = ((ms - whole * F.lit(1000)) * F.lit(1_000_000)).cast("float")
-    return (whole.cast("float") + (nanos / F.lit(1e9).cast("float")).cast("float")).cast("float")
+    rest = ms % F.lit(1000)
+    whole = ((ms - rest) / F.lit(1000.0)).cast("float")
+    nanos = (rest * F.lit(1_000_000)).cast("float")
+    return whole + (nanos / F.lit(1e9).cast("float")).cast("float")
 
 
 def progress_percent(elapsed_ms: Column, total_ms: Column) -> Column:
@@ -215,11 +216,12 @@ def state_intervals(
 
 def rates_at(df: DataFrame, t_ms: str = "t_ms") -> DataFrame:
     """Add ``lps``, ``bps`` and ``ramping`` at ``t_ms`` to rows that carry their state."""
-    t, lo, ramp = F.col(t_ms), F.col("seg_lo"), F.col("ramp_ms")
+    df = df.withColumn("_progress", ramp_progress(F.col("seg_lo"), F.col("ramp_ms"), F.col(t_ms)))
+    value = lambda a, b: F.coalesce(lerp(F.col(a), F.col(b), F.col("_progress")), F.col(b))
     return df.withColumns(
         {
-            "lps": ramp_value(F.col("start_lps"), F.col("end_lps"), lo, ramp, t),
-            "bps": ramp_value(F.col("start_bps"), F.col("end_bps"), lo, ramp, t),
-            "ramping": t - lo < ramp,
+            "lps": value("start_lps", "end_lps"),
+            "bps": value("start_bps", "end_bps"),
+            "ramping": F.col("_progress").isNotNull(),
         }
-    )
+    ).drop("_progress")

@@ -27,20 +27,24 @@ STATE = ["start_lps", "end_lps", "start_bps", "end_bps", "ramp_ms", "base_error"
 # -- S6: value of a linear ramp --------------------------------------------------------------
 def seconds_f64(ms: Column) -> Column:
     """Milliseconds as DOUBLE seconds: whole seconds plus nanoseconds / 1e9."""
-    whole = F.floor(ms / F.lit(1000))
-    return whole.cast("double") + ((ms - whole * F.lit(1000)) * F.lit(1_000_000)).cast("double") / F.lit(1e9)
+    rest = ms % F.lit(1000)
+    return (ms - rest) / F.lit(1000.0) + (rest * F.lit(1_000_000)) / F.lit(1e9)
 
 
 def lerp(start: Column, end: Column, progress: Column) -> Column:
-    """``start`` plus or minus the truncated share of the distance to ``end``."""
-    step = (F.abs(end - start).cast("double") * progress).cast("bigint")
-    return F.when(end >= start, start + step).otherwise(start - step)
+    """``start`` plus the share of the distance to ``end``, truncated towards ``start``."""
+    return start + ((end - start).cast("double") * progress).cast("bigint")
+
+
+def ramp_progress(lo_ms: Column, ramp_ms: Column, t_ms: Column) -> Column:
+    """Share of a ramp that has passed at ``t_ms``; NULL once it is over (always for flat segments)."""
+    waited = t_ms - lo_ms
+    return F.when(waited < ramp_ms, seconds_f64(waited) / seconds_f64(ramp_ms))
 
 
 def ramp_value(start: Column, end: Column, lo_ms: Column, ramp_ms: Column, t_ms: Column) -> Column:
-    """Value in force at ``t_ms`` of a ramp that began at ``lo_ms``; flat when ``ramp_ms`` is 0."""
-    progress = seconds_f64(t_ms - lo_ms) / F.nullif(seconds_f64(ramp_ms), F.lit(0.0))
-    return F.when(t_ms - lo_ms >= ramp_ms, end).otherwise(lerp(start, end, progress))
+    """Value in force at ``t_ms`` of a ramp that began at ``lo_ms``."""
+    return F.coalesce(lerp(start, end, ramp_progress(lo_ms, ramp_ms, t_ms)), end)
 
 
 # -- S3: presets -----------------------------------------------------------------------------

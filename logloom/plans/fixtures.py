@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from ..operators.attach import States
-from ..operators.control import META_SCHEMA, SPIKES_SCHEMA, TIMELINE_SCHEMA, Control, control_bound
-from ..operators.states import state_intervals
-from ..session import cut_lineage
+from ..operators.control import META_SCHEMA, SPIKES_SCHEMA, TIMELINE_SCHEMA, Control
 
 SEED = 42
 DIGEST = "md5"
@@ -133,13 +131,9 @@ def _memo(spark: SparkSession, key: tuple, build) -> States:
 
 
 def month_states(spark: SparkSession, describe: bool = False) -> States:
-    control = month_control(spark)
-    return _memo(spark, ("month", describe), lambda: States(state_intervals(control, SEED, DIGEST, describe=describe)))
+    return _memo(spark, ("month", describe), lambda: States.of(month_control(spark), SEED, DIGEST, describe))
 
 
 def customer_states(spark: SparkSession, sf_dir: str, describe: bool = False) -> States:
-    def build() -> States:
-        control = customer_control(spark, sf_dir)
-        return States(cut_lineage(state_intervals(control, SEED, DIGEST, control_bound(control), describe)))
-
+    build = lambda: States.of(customer_control(spark, sf_dir), SEED, DIGEST, describe)
     return _memo(spark, ("customer", sf_dir, describe), build)

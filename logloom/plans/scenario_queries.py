@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.durations import duration_ms, duration_ok, est_throughput_mb, rate_lps
 from ..operators import audit, budget
 from ..operators.attach import attach_scenario, inject_anomalies
-from ..operators.control import control_bound
 from ..operators.spikes import expand_spikes, spike_transitions, trigger_order
 from ..operators.states import controller_fixed_point
 from ..operators.timeline import resolve_presets, timeline_segments
@@ -252,9 +251,8 @@ THIN = 10_000_000_000_000
 
 
 def customer_budget(spark: SparkSession, d: str) -> DataFrame:
-    control = X.customer_control(spark, d)
-    bound = control_bound(control)
-    return budget.row_budget(timeline_segments(control, bound), BUCKET, bound, thin=THIN)
+    segments = timeline_segments(X.customer_control(spark, d))
+    return budget.row_budget(segments, BUCKET, thin=THIN, longest_ms=X.CUSTOMER_TOTAL)
 
 
 def _area(a: str, b: str, dt: str) -> str:

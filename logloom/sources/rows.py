@@ -92,10 +92,10 @@ def generate_rows(budget: DataFrame, bucket_ms: int, origin: str, chunk: int = 6
     """Rows of a run: as many per bucket as :func:`row_budget` says, evenly spaced inside it.
 
     The key ``(scenario_id, bucket, i)`` is stable, so fields drawn from it do
-    not depend on partitioning.  Buckets spread over the cluster first, and no
-    array is longer than ``chunk``.
+    not depend on partitioning.  Blocks of ``chunk`` rows are dealt over the
+    cluster before they expand, so one bucket may hold most of the run.
     """
-    rows = repeat_numbers(budget.filter("n_rows > 0"), F.col("n_rows"), "i", chunk)
+    rows = repeat_numbers(budget.filter("n_rows > 0"), F.col("n_rows"), "i", chunk, spread_by=["scenario_id", "bucket"])
     offset = F.col("bucket") * F.lit(bucket_ms) + F.floor(F.col("i") * F.lit(bucket_ms) / F.col("n_rows"))
     start = F.unix_millis(F.lit(origin).cast("timestamp"))
     return rows.select("scenario_id", "bucket", "i", offset.alias("t_ms"), F.timestamp_millis(start + offset).alias("ts"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logloom.functions import text as T
 from logloom.functions.draws import slot_counts
 from logloom.functions.vocab import METHODS, SERVER_ERROR_CODES, SUCCESS_CODES
-from logloom.operators.attach import States, attach_scenario
+from logloom.operators.attach import States, attach_scenario, inject_anomalies
 from logloom.operators.audit import audit_distribution
 from logloom.operators.formats import FORMAT_FIELDS, register_format, render
 from logloom.operators.payloads import BODY_SHAPES, pack_keyed, pack_payloads
@@ -87,8 +87,16 @@ def test_no_generated_method_is_too_long_to_compile(spark, sf, capsys):
     """The JVM leaves methods beyond 8000 bytes interpreted, at a tenth of the speed."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for fmt, fields in FORMAT_FIELDS.items():
-            df = render(with_log_fields(lines(spark, sf), X.LINE_KEYS, "ts", 1, fields=fields), fmt).select("line")
+        plans = {
+            fmt: render(with_log_fields(lines(spark, sf), X.LINE_KEYS, "ts", 1, fields=fields), fmt).select("line")
+            for fmt, fields in FORMAT_FIELDS.items()
+        }
+        month = attach_scenario(X.table(spark, sf, "events"), X.month_states(spark), "ts", X.MONTH_ORIGIN)
+        customers = attach_scenario(
+            X.customer_rows(spark, sf), X.customer_states(spark, sf), "l_shipdate", X.CUSTOMER_ORIGIN, "custkey"
+        )
+        plans |= {"month": month, "customers": customers, "inject": inject_anomalies(month.drop("rate_desc", "progress_pct", "lps"), ["event_id"])}
+        for fmt, df in plans.items():
             df.explain("codegen")
             sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
             assert sizes and all(n < 8000 for n in sizes), (fmt, sizes)
@@ -170,6 +178,7 @@ def test_partition_packing_is_greedy_and_whole(spark):
 def test_keyed_packing_with_a_hot_group_of_copies(spark):
     """A third of all rows are copies of one row; nothing is lost and batches keep their size."""
     rows = [(i, f"event number {i}") for i in range(400)] + [(7, "copied line " + "x" * 30)] * 200
+    # Its copies alone fill batches far beyond the first and the last they touch.
     df = spark.createDataFrame(pa.table({"k": [r[0] for r in rows], "line": [r[1] for r in rows]}))
     packed = pack_payloads(df, "json", 500, ["k"], 3)
     got = [line for r in packed.collect() for line in r["body"][1:-1].split(",")]
