@@ -60,9 +60,10 @@ def pack_keyed(
     Rows are hashed into buckets by their whole key and line; within a bucket
     the running byte count, cut on a fixed grid of ``limit_bytes``, numbers the
     batches (a line belongs to the batch its first byte falls into).  Copies of
-    one row are counted before the shuffle and dealt out by arithmetic, so a
-    group of equal rows never travels or sorts as such.  Choose ``buckets`` so
-    that one bucket fits a task.
+    one row are counted before the shuffle and dealt out by arithmetic, and
+    batches are dealt over the cluster before their text is built, so a group
+    of equal rows never travels, sorts or expands in one task.  Choose
+    ``buckets`` so that one bucket fits a task.
     """
     keys = list(order_cols)
     rows = df.groupBy(fmt_col, *keys, "line").agg(F.count("*").alias("copies"))
@@ -72,45 +73,27 @@ def pack_keyed(
     size, copies, limit = F.col("_size"), F.col("copies"), F.lit(limit_bytes)
     rows = rows.withColumn("_start", F.sum(size * copies).over(order) - size * copies)
     first, last = F.floor(F.col("_start") / limit), F.floor((F.col("_start") + (copies - 1) * size) / limit)
-    rows = rows.withColumns({"_first": first, "_last": last})
-    ends = F.array_distinct(F.array("_first", "_last"))
-    edge = rows.withColumn("_batch", F.explode(ends)).withColumn("_n", _copies_in(F.col("_batch"), limit_bytes))
+    rows = repeat_numbers(rows, last - first + 1, "_k").withColumn("_batch", first + F.col("_k"))
+    # Copies whose first byte lies in this batch.
+    before = lambda b: F.least(F.greatest(F.ceil((b * limit - F.col("_start")) / size), F.lit(0)), copies)
+    rows = rows.withColumn("_n", (before(F.col("_batch") + 1) - before(F.col("_batch"))).cast("int"))
     entry = F.struct(*keys, "line", "_n")
-    groups = edge.filter("_n > 0").groupBy(fmt_col, "_bucket", "_batch").agg(
-        F.sum("_n").cast("bigint").alias("n_rows"), F.sort_array(F.collect_list(entry)).alias("_rows")
-    )
-    # Batches strictly between a row's first and last hold copies of that row
-    # only: they need no grouping and are dealt over the cluster.
-    inner = rows.filter(F.col("_last") - F.col("_first") > 1)
-    inner = repeat_numbers(inner, F.col("_last") - F.col("_first") - 1, "_k", 64, [fmt_col, "_bucket", "_first"])
-    inner = inner.withColumn("_batch", F.col("_first") + 1 + F.col("_k"))
-    inner = inner.withColumn("_n", _copies_in(F.col("_batch"), limit_bytes)).filter("_n > 0")
-    groups = groups.unionByName(
-        inner.select(fmt_col, "_bucket", "_batch", F.col("_n").cast("bigint").alias("n_rows"), F.array(entry).alias("_rows"))
+    rows = rows.filter("_n > 0").select(fmt_col, "_bucket", "_batch", "_n", entry.alias("_row"))
+    groups = rows.repartition(fmt_col, "_bucket", "_batch").groupBy(fmt_col, "_bucket", "_batch").agg(
+        F.sum("_n").cast("bigint").alias("n_rows"), F.sort_array(F.collect_list("_row")).alias("_rows")
     )
     lines = F.flatten(F.transform("_rows", lambda r: F.array_repeat(r["line"], r["_n"])))
-    body = body_of(lines, F.col(fmt_col))
     out = groups.select(
         F.concat_ws("-", fmt_col, F.col("_bucket").cast("string"), F.col("_batch").cast("string")).alias("payload_id"),
         F.col(fmt_col).alias("fmt"),
         "n_rows",
-        body.alias("body"),
+        body_of(lines, F.col(fmt_col)).alias("body"),
     )
     return out.withColumn("n_bytes", F.octet_length("body").cast("bigint")).select(
         "payload_id", "fmt", "n_rows", "n_bytes", "body"
     )
 
 
-def _copies_in(batch: Column, limit_bytes: int) -> Column:
-    """How many of a row's copies start inside a batch of the grid."""
-
-    def before(b: Column) -> Column:
-        n = F.ceil((b * F.lit(limit_bytes) - F.col("_start")) / F.col("_size"))
-        return F.least(F.greatest(n, F.lit(0)), F.col("copies"))
-
-    return (before(batch + 1) - before(batch)).cast("int")
-
-
 def pack_partitions(df: DataFrame, limit_bytes: int = DEFAULT_LIMIT, fmt_col: str = "fmt") -> DataFrame:
     """Payloads per input partition, in row order, without any shuffle.
 

@@ -178,7 +178,6 @@ def test_partition_packing_is_greedy_and_whole(spark):
 def test_keyed_packing_with_a_hot_group_of_copies(spark):
     """A third of all rows are copies of one row; nothing is lost and batches keep their size."""
     rows = [(i, f"event number {i}") for i in range(400)] + [(7, "copied line " + "x" * 30)] * 200
-    # Its copies alone fill batches far beyond the first and the last they touch.
     df = spark.createDataFrame(pa.table({"k": [r[0] for r in rows], "line": [r[1] for r in rows]}))
     packed = pack_payloads(df, "json", 500, ["k"], 3)
     got = [line for r in packed.collect() for line in r["body"][1:-1].split(",")]
