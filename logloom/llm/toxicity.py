@@ -5,7 +5,7 @@ document's score is the noisy-or of its sentences, ``1 - prod(1 - p)``.  Weights
 document labels alone, by gradient steps on the noisy-or likelihood, so the sentence scores say
 where the offence is.  A word brings itself and its 4 and 5 letter beginnings as features.
 
-Training sees at most ``SAMPLE`` documents per label value (the first by a hash of the id, whole
+Features are kept if documents labelled toxic hold them ``APART`` standard errors more often.  Training sees at most ``SAMPLE`` documents per label value (the first by a hash of the id, whole
 texts), and keeps at most ``FEATURES`` features; both are parameters.  It runs in one task of that
 bounded size.  Scoring is one narrow pass over all texts without a shuffle.
 
@@ -28,12 +28,10 @@ from pyspark.sql import types as T
 
 from .common import in_training
 
-SAMPLE, FEATURES, STEPS, RATE, DECAY = 3000, 30000, 200, 0.2, 1e-4
+SAMPLE, FEATURES, STEPS, RATE, DECAY, APART = 3000, 30000, 200, 0.2, 1e-4, 3.5
 THRESHOLD = 0.5
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 TOKEN = re.compile(r"\w+")
-#: Distinct words whose weight a scoring task remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
 
 
 def features(word: str) -> list[str]:
@@ -67,14 +65,15 @@ def fit(texts: Iterator[tuple[str, int]], max_features: int = FEATURES, steps: i
         return {"": 40.0 if len(y) and y.max() > 0 else -40.0}
     owner = np.array(owner)
     cols, sent = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    # The features that tell the labels apart best, by documents that hold them.
+    # Features that toxic documents hold more often than chance explains: a bag is toxic by what it holds.
     seen = np.unique(owner[sent].astype(np.int64) * len(ids) + cols)
     doc, feature = seen // len(ids), seen % len(ids)
     pos, neg = (np.bincount(feature, weights, len(ids)) for weights in (y[doc], 1 - y[doc]))
-    apart = np.abs(pos / y.sum() - neg / (1 - y).sum()) / np.sqrt(pos + neg + 1.0)
-    apart[pos + neg < 3] = 0
+    rate = (pos + neg) / len(y)
+    apart = (pos / y.sum() - neg / (1 - y).sum()) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / y.sum() + 1 / (1 - y).sum()))
+    apart[pos < 2] = 0
     best = np.argsort(-apart, kind="stable")[:max_features]
-    best = best[apart[best] > 0]
+    best = best[apart[best] >= APART]
     place = np.full(len(ids), -1)
     place[best] = np.arange(len(best))
     cols = place[cols]
@@ -115,39 +114,37 @@ class Scorer:
     """Sentence and document scores under a model."""
 
     def __init__(self, model: dict[str, float]):
-        self.model, self.bias, self.known = model, model.get("", -40.0), {}
+        self.model, self.bias = model, model.get("", -40.0)
+        self.words = {f for f in model if f and not f.endswith("-")}
+        self.beginnings = {k: {f[:-1] for f in model if f.endswith("-") and len(f) == k + 1} for k in (4, 5)}
 
-    def weight(self, word: str) -> float:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            lower = word.lower()
-            got = self.known[word] = sum(self.model.get(f, 0.0) for f in features(lower))
-        return got
+    def known(self, words: set[str]) -> list[str]:
+        """The (lower-case) words that may bring a feature."""
+        full, four, five = self.words, self.beginnings[4], self.beginnings[5]
+        return [w for w in words if w in full or w[:4] in four or w[:5] in five]
 
     def score(self, text: str) -> tuple[float, list[dict]]:
         """The noisy-or over all sentences, and the sentences that alone reach the threshold."""
         neutral = float(_softplus(np.array(self.bias)))
+        if not self.known(set(TOKEN.findall(text.lower()))):
+            n = sum(1 for s in SENTENCE.findall(text) if TOKEN.search(s))
+            return float(-np.expm1(-(n or 1) * neutral)), []
         total, spans = 0.0, []
         for start, end in sentences(text):
-            extra = sum(self._features_of(text[start:end]))
+            extra = self._weight_of(text[start:end])
             if extra == 0.0:
                 total += neutral
                 continue
-            z = self.bias + extra
-            part = float(_softplus(np.array(z)))
+            part = float(_softplus(np.array(self.bias + extra)))
             total += part
             if -np.expm1(-part) >= THRESHOLD:
                 spans.append({"start": start, "end": end, "score": float(-np.expm1(-part))})
         return float(-np.expm1(-(total or neutral))), spans
 
-    def _features_of(self, sentence: str) -> Iterator[float]:
-        """Weights of the distinct features: a beginning that two words share counts once, as in training."""
-        found = [w for w in set(TOKEN.findall(sentence)) if self.weight(w) != 0.0]
-        if not found:
-            return iter(())
-        return iter([self.model.get(f, 0.0) for f in {f for w in found for f in features(w.lower())}])
+    def _weight_of(self, sentence: str) -> float:
+        """Of the distinct features: a beginning that two words share counts once, as in training."""
+        found = self.known(set(TOKEN.findall(sentence.lower())))
+        return sum(self.model.get(f, 0.0) for f in {f for w in found for f in features(w)})
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
