@@ -42,7 +42,7 @@ def _row_id(text: Column) -> Column:
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, rid, pos) of every line that goes."""
+    """(doc_id, rid, pos) of every line that goes; repeated rows repeat theirs."""
     lines = docs.where("doc_id is not null").select("doc_id", _row_id(F.col("text")).alias("rid"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     lines = lines.select("doc_id", "rid", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     hashed = lines.select("doc_id", "rid", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
@@ -50,8 +50,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     stream = Window.partitionBy("h1", "h2", "doc_id").orderBy("rid", "pos")
     marked = staged(ordered.withColumn("first", F.row_number().over(stream) == 1), "lines")
     keys = marked.where("first").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
-    keys = keys.where(F.col("n_docs") >= min_docs).drop("n_docs")
-    return marked.join(keys, ["h1", "h2"]).where("doc_id <> keeper").select("doc_id", "rid", "pos").distinct()
+    # Staged, so that both sides of the join are plain shuffles and a very common line can be split among tasks.
+    keys = staged(keys.where(F.col("n_docs") >= min_docs).drop("n_docs"), "line-keys")
+    return marked.join(keys, ["h1", "h2"]).where("doc_id <> keeper").select("doc_id", "rid", "pos")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -63,9 +64,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     gone = dropped_lines(docs, min_chars, min_docs)
     word = (F.col("pos") / WORD_BITS).cast("int")
     bit = F.expr(f"shiftleft(1L, cast(pos % {WORD_BITS} as int))")
-    words = gone.groupBy("doc_id", "rid", word.alias("word")).agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n"))
+    words = gone.groupBy("doc_id", "rid", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
     packed = words.groupBy("doc_id", "rid").agg(
-        F.sum("n").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words")
+        F.sum(F.bit_count("bits")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words")
     )
     # Words without a dropped line are not in the list: the gaps before each entry are filled with "all stay".
     filled = F.expr(
