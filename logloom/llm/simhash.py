@@ -77,7 +77,73 @@ FULL_BALL = (
 def _links_of_groups(radius: int, group: int):
     """Sorted (variant, fp) rows -> verified links (a, b); (fp, null) for members of large groups."""
 
-    def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = fps = np.empty(0, np.int64)
+        large = None  # the variant of an open large group
+        for batch in batches:
+            keys, fps = np.append(keys, batch["variant"].to_numpy(np.int64)), np.append(fps, batch["fp"].to_numpy(np.int64))
+            if large is not None:
+                own = int(np.searchsorted(keys != large, True)) if len(keys) else 0
+                yield pd.DataFrame({"a": fps[:own], "b": pd.array([None] * own, "Int64")})
+                keys, fps = keys[own:], fps[own:]
+                if not len(keys):
+                    continue
+                large = None
+            # The last group may go on in the next batch.
+            open_at = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if len(keys) - open_at > group:
+                large = int(keys[-1])
+                yield _verified(keys, fps, radius, group)
+                keys, fps = keys[:0], fps[:0]
+            else:
+                yield _verified(keys[:open_at], fps[:open_at], radius, group)
+                keys, fps = keys[open_at:], fps[open_at:]
+        yield _verified(keys, fps, radius, group)
+
+    return linked
+
+
+def _forest(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of a spanning forest: each fingerprint is reached once, by comparing with those not yet reached."""
+    rest = fps
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            near = np.bitwise_count((rest ^ x).view(np.uint64)) <= radius
+            if near.any():
+                reached, rest = rest[near], rest[~near]
+                front.extend(reached)
+                yield np.minimum(reached, x), np.maximum(reached, x)
+
+
+def _verified(keys: np.ndarray, fps: np.ndarray, radius: int, group: int) -> pd.DataFrame:
+    if len(keys) < 2:
+        return pd.DataFrame({"a": np.empty(0, np.int64), "b": pd.array([], "Int64")})
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    listed = np.repeat(sizes <= min(PAIRS, group), sizes)
+    a, b = [], []
+    small_keys, small = keys[listed], fps[listed]
+    for step in range(1, PAIRS):
+        same = np.flatnonzero(small_keys[step:] == small_keys[:-step])
+        if not len(same):
+            break
+        x, y = small[same], small[same + step]
+        near = np.bitwise_count((x ^ y).view(np.uint64)) <= radius
+        a.append(np.minimum(x[near], y[near]))
+        b.append(np.maximum(x[near], y[near]))
+    for at in np.flatnonzero((sizes > PAIRS) & (sizes <= group)):
+        for x, y in _forest(fps[starts[at] : starts[at] + sizes[at]], radius):
+            a.append(x)
+            b.append(y)
+    a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+    pairs = pd.DataFrame({"a": a, "b": pd.array(b, "Int64")}).drop_duplicates()
+    big = np.unique(fps[np.repeat(sizes > group, sizes)])
+    return pd.concat([pairs, pd.DataFrame({"a": big, "b": pd.array([None] * len(big), "Int64")})])
+
+
+def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     """(fp) distinct -> links (a, b) whose components are those of all pairs within ``RADIUS`` bits."""
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     # The low half's variants stay below 2^32; the high half's get a bit of their own above.
