@@ -14,8 +14,6 @@ rows with a null ``doc_id`` come before all others.  Other columns are not read.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +24,6 @@ SHINGLE, BINS, BITS, PROBES = 5, 256, 4, 6
 BLOCK_DOCS = 1000
 
 
-def _probe_table(seed: int = 11) -> list[list[int]]:
-    draw = random.Random(seed)
-    return [[draw.randrange(BINS) for _ in range(BINS)] for _ in range(PROBES)]
-
-
 def word_hashes(text: Column) -> Column:
     """xxhash64 of each lower-cased word."""
     words = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
@@ -39,7 +32,7 @@ def word_hashes(text: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: array<bigint>, 4 bits a bin, 16 bins a word; all bits set for a text without words."""
-    steps = [f"_{out}{i}" for i in range(3 + PROBES)]
+    steps = [f"_{out}{i}" for i in range(4 + PROBES)]
     df = df.withColumn(steps[0], word_hashes(F.col(text)))
     words = F.col(steps[0])
     shingle = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)])
@@ -53,20 +46,21 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     full = F.transform(smallest, lambda x: F.when(x.bitwiseAND(F.lit((1 << 56) - 1)) != (1 << 56) - 1, x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")))
     df = df.withColumn(steps[2], full)
     last = steps[2]
-    for step, probes in zip(steps[3:], _probe_table(), strict=True):
-        borrowed = F.expr(f"transform({last}, (v, i) -> coalesce(v, {steps[2]}[array({','.join(map(str, probes))})[i]]))")
+    for probe, step in enumerate(steps[3:-1]):
+        borrowed = F.expr(f"transform({last}, (v, i) -> coalesce(v, {steps[2]}[cast(pmod(xxhash64({probe}, i), {BINS}) as int)]))")
         df = df.withColumn(step, F.when(F.exists(F.col(last), lambda v: v.isNull()), borrowed).otherwise(F.col(last)))
         last = step
-    first_full = (
-        f"coalesce(v, array_min(transform(sequence(0, {BINS - 1}), "
-        f"j -> if({steps[2]}[j] is null, null, struct(xxhash64(i, j) as h, {steps[2]}[j] as v)))).v, -1)"
-    )
-    rest = F.when(F.exists(F.col(last), lambda v: v.isNull()), F.expr(f"transform({last}, (v, i) -> {first_full})")).otherwise(F.col(last))
-    df = df.withColumn("_values", rest)
+    # The full bins as bin and value in one number; a bin's random order of them is that of hashes of both bins.
+    full_bins = F.expr(f"filter(transform({steps[2]}, (v, j) -> shiftleft(j, {BITS}) | v), z -> z is not null)")
+    df = df.withColumn(steps[-1], F.when(F.exists(F.col(last), lambda v: v.isNull()), full_bins))
+    first_full = f"array_min(transform({steps[-1]}, z -> shiftleft(shiftright(xxhash64(i, shiftright(z, {BITS})), {BITS + 1}), {BITS}) | (z & {(1 << BITS) - 1})))"
+    rest = F.expr(f"transform({last}, (v, i) -> if(v is null, coalesce({first_full}, -1L), v))")
+    df = df.withColumn("_values", F.when(F.col(steps[-1]).isNotNull(), rest).otherwise(F.col(last).cast("array<bigint>")))
     per_word = 64 // BITS
+    # The size guard names the values a second time, which keeps them computed once, not once per word.
     words = F.expr(
-        f"transform(sequence(0, {BINS // per_word - 1}), w -> aggregate(slice(_values, w * {per_word} + 1, {per_word}), 0L, "
-        f"(acc, v) -> shiftleft(acc, {BITS}) | (v & {(1 << BITS) - 1})))"
+        f"if(size(_values) = {BINS}, transform(sequence(0, {BINS // per_word - 1}), w -> aggregate(slice(_values, w * {per_word} + 1, {per_word}), 0L, "
+        f"(acc, v) -> shiftleft(acc, {BITS}) | (v & {(1 << BITS) - 1}))), null)"
     )
     return df.withColumn(out, words).drop(*steps, "_values")
 
@@ -94,34 +88,43 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == wordless) | (b == wordless), 0.0).otherwise(F.greatest(F.lit(0.0), corrected))
 
 
-def with_next(df: DataFrame, order: str, tie: str, carried: list[str], block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """Add ``next``: a struct of ``carried`` of the following row, of the first row after the last.
-
-    Rows are dealt to blocks of equal id width, about ``block_docs`` rows each; a window finds the
-    neighbour inside a block, and only the first row of each block crosses blocks.
-    """
+def id_blocks(df: DataFrame, order: str, block_docs: int = BLOCK_DOCS) -> Column:
+    """The number of a row's block: blocks of equal id width, about ``block_docs`` rows each."""
     span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).first()
     if span["lo"] is None:
         lo, width = 0, 1
     else:
         lo, width = span["lo"], max(1, -(-(span["hi"] - span["lo"] + 1) * block_docs // span["n"]))
-    place = F.col(order).cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")  # can pass 64 bits
-    block = F.coalesce(F.floor(place / F.lit(width)).cast("bigint"), F.lit(-1).cast("bigint"))
     if span["lo"] is not None and span["hi"] - span["lo"] < 1 << 62:
-        block = F.coalesce(F.expr(f"({order} - ({lo}L)) div {width}L"), F.lit(-1).cast("bigint"))
-    rows = df.withColumn("_block", block)
-    inside = Window.partitionBy("_block").orderBy(F.col(order).asc_nulls_first(), F.col(tie))
-    here = F.struct(*carried)
-    rows = rows.withColumn("next", F.lead(here).over(inside)).withColumn("_starts", F.lag(F.lit(1)).over(inside).isNull())
-    heads = rows.where("_starts").select("_block", here.alias("_after"))
+        return F.coalesce(F.expr(f"({order} - ({lo}L)) div {width}L"), F.lit(-1).cast("bigint"))
+    place = F.col(order).cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")  # can pass 64 bits
+    return F.coalesce(F.floor(place / F.lit(width)).cast("bigint"), F.lit(-1).cast("bigint"))
+
+
+def with_neighbour(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(doc_id, text) -> text, edited and both fingerprints, and that of the next document (of the first after the last).
+
+    Rows are dealt to blocks of the id order; windows find the neighbour inside a block, after one
+    shuffle of the texts, and only the first row of each block crosses blocks.
+    """
+    block = id_blocks(docs, "doc_id", block_docs)
+    rows = docs.withColumn("_block", block)
+    inside = Window.partitionBy("_block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.withColumns({"_next": F.lead("text").over(inside), "_starts": F.lag(F.lit(1)).over(inside).isNull()})
+    heads = rows.where("_starts").select("_block", F.col("text").alias("_head"))
     # One row per block, ids only: the next block that holds rows, after the last one the first.
-    blocks = df.select(block.alias("_block")).distinct()
+    blocks = docs.select(block.alias("_block")).distinct()
     after = blocks.select(F.col("_block").alias("_from"), F.lead("_block").over(Window.orderBy("_block")).alias("_block"))
     after = after.join(F.broadcast(blocks.agg(F.min("_block").alias("_first"))))
     after = after.select("_from", F.coalesce("_block", "_first").alias("_block"))
-    ends = heads.join(after, "_block").select(F.col("_from").alias("_block"), "_after")
-    joined = rows.join(ends, "_block")
-    return joined.withColumn("next", F.coalesce("next", "_after")).drop("_block", "_after", "_starts")
+    ends = heads.join(after, "_block").select(F.col("_from").alias("_block"), "_head")
+    rows = rows.join(ends.hint("merge"), "_block").withColumn("_last", F.col("_next").isNull())
+    rows = with_edited(rows.withColumn("_next", F.coalesce("_next", "_head")))
+    rows = with_fingerprint(with_fingerprint(rows, "text", "bins"), "edited", "edited_bins")
+    # Of the head only a block's last row needs the fingerprint.
+    rows = with_fingerprint(rows.withColumn("_head", F.when(F.col("_last"), F.col("_head"))), "_head", "_head_bins")
+    following = F.when(F.col("_last"), F.col("_head_bins")).otherwise(F.lead("bins").over(inside))
+    return rows.withColumn("next_bins", following).drop("_block", "_next", "_starts", "_head", "_last", "_head_bins")
 
 
 def with_edited(df: DataFrame) -> DataFrame:
@@ -129,12 +132,9 @@ def with_edited(df: DataFrame) -> DataFrame:
     half = F.expr("cast(n_chars div 2 as int)")
     df = df.withColumn("n_chars", F.length("text").cast("bigint"))
     start = F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half)
-    return df.withColumn("edited", F.concat(start, F.substring(F.col("next.text"), F.lit(1), half)))
+    return df.withColumn("edited", F.concat(start, F.substring(F.col("_next"), F.lit(1), half)))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text, edited, n_chars, and the bin values of the text, the edited text and the next document."""
-    rows = docs.select("doc_id", blank(F.col("text")).alias("text"))
-    rows = with_fingerprint(rows, "text", "bins")
-    rows = with_edited(with_next(rows, "doc_id", "text", ["text", "bins"]))
-    return with_fingerprint(rows, "edited", "edited_bins").withColumn("next_bins", F.col("next.bins")).drop("next")
+    """doc_id, text, edited, n_chars, and the fingerprints bins, edited_bins and next_bins (of the next document)."""
+    return with_neighbour(docs.select("doc_id", blank(F.col("text")).alias("text")))
