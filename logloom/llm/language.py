@@ -29,10 +29,12 @@ from pyspark.sql import types as T
 
 from .common import in_training
 
-SAMPLE, ROUNDS, LONGEST, REMEMBERED = 600, 4, 40, 150_000
+SAMPLE, ROUNDS, LONGEST, REMEMBERED = 600, 4, 40, 300_000
 START = "▁"
 LETTER = re.compile(r"[^\W\d_]")
 UNSEEN, FLOOR = 50.0, 1e-9
+#: Odd multipliers of the rolling hash that looks pieces up.
+CODE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
 def public_vocabulary(path: str | None = None) -> list[str]:
@@ -45,30 +47,62 @@ def public_vocabulary(path: str | None = None) -> list[str]:
     return [model.id_to_piece(i) for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
 
 
-def stretches(text: str) -> Iterator[str]:
-    for word in text.split():
-        word = START + word
-        yield from (word[i : i + LONGEST] for i in range(0, len(word), LONGEST)) if len(word) > LONGEST else (word,)
+def stretches(word: str) -> list[str]:
+    word = START + word
+    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+
+
+def counted(text: str) -> Counter:
+    """How often the text holds each stretch."""
+    words = Counter(text.split())
+    out = Counter({START + w: n for w, n in words.items() if len(w) < LONGEST})
+    for w, n in words.items():
+        if len(w) >= LONGEST:
+            for part in stretches(w):
+                out[part] += n
+    return out
 
 
 class Lattice:
     """All pieces of many words of one length, as arrays: piece ids by (word, end, piece length)."""
 
     def __init__(self, index: dict[str, int]):
-        self.index, self.unknown = index, len(index)
-        self.most = max(map(len, index), default=1)
+        self.unknown = len(index)
+        # Per piece length the sorted 64-bit hashes of the pieces, and their ids.
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        by_size = defaultdict(list)
+        for piece in index:
+            by_size[len(piece)].append(piece)
+        for size, pieces in by_size.items():
+            hashes = self._hashes(pieces, size)[:, 0]
+            order = np.argsort(hashes)
+            self.tables[size] = hashes[order], np.array([index[p] for p in pieces], np.int32)[order]
+        self.most = max(by_size, default=1)
+
+    @staticmethod
+    def _codes(words: list[str]) -> np.ndarray:
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        return flat.reshape(len(words), -1).astype(np.uint64) * CODE + CODE
+
+    def _hashes(self, words: list[str], size: int) -> np.ndarray:
+        codes = self._codes(words)
+        out = np.zeros_like(codes)
+        for k in range(size):
+            out = out[:, : codes.shape[1] - k] * STEP + codes[:, k:]
+        return out
 
     def pieces(self, words: list[str]) -> np.ndarray:
-        n, get = len(words[0]), self.index.get
+        codes = self._codes(words)
+        n = codes.shape[1]
         most = min(n, self.most)
         ids = np.full((len(words), n + 1, most + 1), -1, np.int32)
-        for r, word in enumerate(words):
-            row = ids[r]
-            for end in range(1, n + 1):
-                for size in range(1, min(end, most) + 1):
-                    i = get(word[end - size : end])
-                    if i is not None:
-                        row[end, size] = i
+        hashes = np.zeros_like(codes)
+        for size in range(1, most + 1):
+            hashes = hashes[:, : n - size + 1] * STEP + codes[:, size - 1 :]
+            if size in self.tables:
+                known, names = self.tables[size]
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                ids[:, size:, size] = np.where(known[at] == hashes, names[at], -1)
         single = ids[:, 1:, 1]
         single[single < 0] = self.unknown
         return ids
@@ -139,7 +173,9 @@ def train(docs: DataFrame, vocabulary: list[str], sample: int = SAMPLE) -> tuple
     shared = docs.sparkSession.sparkContext.broadcast(index)  # a fixed public vocabulary
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
-        counts = Counter(w for t in group["text"] for w in stretches(t))
+        counts = Counter()
+        for text in group["text"]:
+            counts.update(counted(text))
         got = fit_pieces(counts, shared.value)
         used = np.flatnonzero(got > 0)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "piece": used, "n": got[used]})
@@ -158,22 +194,25 @@ class Reader:
 
     def __init__(self, index: dict[str, int], prob: np.ndarray):
         self.lattice, self.prob = Lattice(index), np.vstack([prob, np.zeros(prob.shape[1])])
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}
+        self.logs = np.empty((0, prob.shape[1]))
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
+            self.known, self.logs, new = {}, self.logs[:0], list(words)
+        parts = [self.logs]
         for at in _by_length(new):
             group = [new[i] for i in at]
-            logs = np.log(np.maximum(Lattice.forward(self.lattice.pieces(group), self.prob)[:, -1], 1e-300))
-            self.known.update(zip(group, logs, strict=True))
+            parts.append(np.log(np.maximum(Lattice.forward(self.lattice.pieces(group), self.prob)[:, -1], 1e-300)))
+            self.known.update(zip(group, range(len(self.known), len(self.known) + len(group)), strict=True))
+        self.logs = np.concatenate(parts)
 
     def read(self, texts: list[str]) -> list[np.ndarray]:
-        counts = [Counter(stretches(t)) for t in texts]
+        counts = [counted(t) for t in texts]
         self.learn(set().union(*counts))
-        return [sum((n * self.known[w] for w, n in c.items()), np.zeros(self.prob.shape[1])) for c in counts]
+        row = self.known.__getitem__
+        return [np.array(list(c.values()), float) @ self.logs[list(map(row, c))] for c in counts]
 
 
 def identify(docs: DataFrame, langs: list[str], prob: np.ndarray, vocabulary: list[str]) -> DataFrame:
@@ -189,7 +228,7 @@ def identify(docs: DataFrame, langs: list[str], prob: np.ndarray, vocabulary: li
             for t in texts:
                 chunk.append(t if t is not None and LETTER.search(t) else None)
                 size += len(chunk[-1] or "")
-                if size > 400_000:
+                if size > 2_000_000:
                     out += _guess(reader, langs, chunk)
                     chunk, size = [], 0
             out += _guess(reader, langs, chunk)
