@@ -69,7 +69,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 def _draws(blocks: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     """(key, bucket, epoch, slot, words): the block draws of each source in permuted order."""
     goal = F.round("target").cast("bigint")
-    of = blocks.join(targets, "key").withColumn("goal", goal)
+    of = blocks.join(targets.hint("merge"), "key").withColumn("goal", goal)
     passes = F.when(F.col("source_size") > 0, F.expr("cast(goal div source_size as int)")).otherwise(F.lit(0))
     of = of.withColumn("passes", passes).withColumn("rest", F.expr("goal - passes * source_size"))
     of = of.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes")))).where("epoch < passes or rest > 0")
@@ -133,14 +133,14 @@ def mix_sources(
     before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = leaves.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
     slots = runs.select("key", "shard", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("slot"))
-    dealt = draws.join(slots, ["key", "slot"]).groupBy("key", "bucket").agg(F.collect_list(F.struct("shard", "epoch", "words")).alias("draws"))
-    plan = blocks.select("key", "bucket").join(targets, "key").join(dealt, ["key", "bucket"], "left")
+    dealt = draws.join(slots.hint("merge"), ["key", "slot"]).groupBy("key", "bucket").agg(F.collect_list(F.struct("shard", "epoch", "words")).alias("draws"))
+    plan = blocks.select("key", "bucket").join(targets.hint("merge"), "key").join(dealt.hint("merge"), ["key", "bucket"], "left")
     rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), _key(F.col("source")).alias("key"), bucket.alias("bucket"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed + 1), "doc_id").alias("turn"))
     inside = Window.partitionBy("key", "bucket").orderBy("turn", "row.doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     words = "greatest(0L, least(size, d.words - ahead))"
     copies = F.expr(f"transform(filter(coalesce(draws, array()), d -> {words} > 0 or (size = 0 and ahead <= d.words)), d -> struct(d.shard as shard, d.epoch as epoch, {words} as words))")
-    return rows.join(plan, ["key", "bucket"]).select("row", "size", "source_size", "target", copies.alias("copies"))
+    return rows.join(plan.hint("merge"), ["key", "bucket"]).select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixture(mixed: DataFrame, seed: int = SEED) -> DataFrame:

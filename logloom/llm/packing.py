@@ -146,7 +146,7 @@ def place(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
         inside, use = number - table[at, 1], table[at, 2]
         return pd.DataFrame({"sequence_id": table[at, 3] + inside // use, "offset": table[at, 4] + inside % use * length})
 
-    numbered = pieces.join(base, ["length", "part"])
+    numbered = pieces.join(base.hint("merge"), ["length", "part"])
     spot = numbered.withColumn("spot", locate(F.col("length"), F.col("turn") + F.col("base")))
     return spot.select("doc_id", "piece", "start", "length", "ids_crc32", "spot.sequence_id", "spot.offset")
 

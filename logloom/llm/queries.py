@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
 from . import html_extract, language, line_dedup, mixing, packing, simhash, token_counts, topk, toxicity
 from .common import in_training, table
 
-HELD_OUT = (~in_training(F.col("doc_id"))).alias("held_out")
+def held_out() -> Column:
+    return (~in_training(F.col("doc_id"))).alias("held_out")
+
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,14 +24,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rated = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     rated = rated.select(F.col("row.doc_id").alias("doc_id"), "score", F.size("spans").alias("n_offending"))
-    return rated.select("doc_id", HELD_OUT, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_offending")
+    return rated.select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_offending")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vocabulary = table(spark, sf_dir, "documents"), language.public_vocabulary()
     langs, prob = language.train(docs, vocabulary)
     rated = language.identify(docs.select("doc_id", "text"), langs, prob, vocabulary)
-    return rated.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").select("doc_id", HELD_OUT, "lang_pred", "score")
+    return rated.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").select("doc_id", held_out(), "lang_pred", "score")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

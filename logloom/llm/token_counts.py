@@ -85,12 +85,12 @@ def count_tokens(files: DataFrame, folder: str, end: int = END_ID, id_type: str
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = staged(found, "ends").withColumns({
         "base": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)),
-        "open": F.coalesce(F.max(F.expr("ends[size(ends) - 1]")).over(before) + 1, F.lit(0)),
+        "open": F.coalesce(F.max(F.expr("get(ends, size(ends) - 1)")).over(before) + 1, F.lit(0)),
     })
     docs = stitched.select("file", "base", "open", "ends", F.posexplode("ends").alias("i", "at"))
     start = F.when(F.col("i") == 0, F.col("open")).otherwise(F.expr("get(ends, i - 1) + 1"))
     closed = docs.select("file", (F.col("base") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("at") - start).alias("n_tokens"), F.lit(True).alias("closed"))
-    tails = stitched.where(F.col("block") == F.expr(f"(n_ids - 1) div {per}L")).select("file", "n_ids", (F.col("base") + F.size("ends")).alias("ordinal"), F.coalesce(F.expr("ends[size(ends) - 1] + 1"), "open").alias("start"))
+    tails = stitched.where(F.col("block") == F.expr(f"(n_ids - 1) div {per}L")).select("file", "n_ids", (F.col("base") + F.size("ends")).alias("ordinal"), F.coalesce(F.expr("get(ends, size(ends) - 1) + 1"), "open").alias("start"))
     tails = tails.where("n_ids > start").select("file", "ordinal", "start", (F.col("n_ids") - F.col("start")).alias("n_tokens"), F.lit(False).alias("closed"))
     return closed.unionAll(tails)
 
