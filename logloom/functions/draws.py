@@ -170,8 +170,9 @@ def pick(values: Sequence[object], index: Column) -> Column:
 def weighted_slots(dist: DataFrame, value: str, weight: str, slots: int, order: str) -> DataFrame:
     """Slot ranges ``[slot_lo, slot_hi)`` of a distribution table, ordered by ``order``.
 
-    Values too rare for one slot are dropped before the window, so it sees at
-    most ``slots`` rows however long the table is.  The total is one number.
+    Slots that rounding leaves over go to the first value, be it too rare for a
+    slot of its own.  Values without a slot are dropped before the window, so
+    it sees at most ``slots`` rows however long the table is.
     """
     from pyspark.sql import Window
 
@@ -181,16 +182,15 @@ def weighted_slots(dist: DataFrame, value: str, weight: str, slots: int, order:
         F.col(order).alias("_order"),
         F.floor(F.col(weight) * F.lit(slots) / F.lit(total)).cast("bigint").alias("_n"),
     )
+    first = runs.agg(F.min_by("value", "_order").alias("value"), F.coalesce(F.sum("_n"), F.lit(0)).alias("slot_lo"))
+    rest = first.withColumn("slot_hi", F.lit(slots).cast("bigint"))
     whole = Window.orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
     runs = (
         runs.filter("_n > 0")
         .withColumn("slot_hi", F.sum("_n").over(whole))
         .withColumn("slot_lo", F.col("slot_hi") - F.col("_n"))
     )
-    rest = runs.agg(F.min_by("value", "_order").alias("value"), F.max("slot_hi").alias("slot_lo")).withColumn(
-        "slot_hi", F.lit(slots).cast("bigint")
-    )
-    return runs.select("value", "slot_lo", "slot_hi").unionByName(rest).filter("slot_hi > slot_lo")
+    return runs.select("value", "slot_lo", "slot_hi").unionByName(rest).filter("slot_hi > slot_lo and value is not null")
 
 
 def pool_lookup(df: DataFrame, pool: DataFrame, draw: Column, slot: str = "slot", size: int | None = None,

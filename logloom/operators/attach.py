@@ -34,10 +34,12 @@ def elapsed_ms(ts: Column | str, origin: Column | str) -> Column:
 class States:
     """State intervals plus the size checks that choose how rows find theirs.
 
-    One probe reads at most ``BROADCAST_ROWS + 1`` rows.  Few intervals of one
-    scenario become literals (no join, no exchange); up to ``BROADCAST_ROWS``
-    are broadcast; anything larger is a shuffle join on (scenario, tick), where
-    AQE splits skewed row partitions.
+    Few intervals of one scenario become literals (no join, no exchange).
+    Otherwise a row searches the interval starts of its scenario, which are
+    broadcast, and joins the one interval found: broadcast up to
+    ``BROADCAST_ROWS`` intervals and their bytes, by one shuffle of the rows on
+    (scenario, group) beyond, where AQE splits skewed row partitions.  However
+    the intervals lie on the clock, a row meets one candidate.
     """
 
     def __init__(self, intervals: DataFrame, literal_rows: int = LITERAL_ROWS, broadcast_rows: int = BROADCAST_ROWS):
@@ -47,7 +49,7 @@ class States:
         head = intervals.limit(literal_rows + 1).collect()
         if len(head) <= literal_rows and len({r["scenario_id"] for r in head}) == 1:
             self.literals = sorted(head, key=lambda r: r["lo_ms"])
-        self._clock = None
+        self._groups = None
 
     @classmethod
     def of(cls, control: Control, seed: int = 0, digest: str = "xxhash64", describe: bool = False, **kw) -> "States":
@@ -83,37 +85,61 @@ class States:
         return inside.withColumns(cells).drop("_i")
 
     # -- join form ---------------------------------------------------------------------------
-    def clock(self) -> DataFrame:
-        """Per scenario: a tick so wide that ticks are about as many as intervals."""
-        if self._clock is None:
-            ticks = F.least(F.count("*"), F.lit(1 << 20))
-            self._clock = self.intervals.groupBy("scenario_id").agg(
-                F.greatest(F.ceil(F.max("total_ms") / ticks), F.lit(1)).cast("bigint").alias("tick_ms")
-            )
-        return self._clock
-
-    def _ticked(self) -> DataFrame:
-        last = F.floor((F.col("hi_ms") - 1) / F.col("tick_ms"))
-        ticks = F.explode(F.sequence(F.floor(F.col("lo_ms") / F.col("tick_ms")), last))
-        return self.intervals.join(self.clock(), "scenario_id").withColumn("tick", ticks).drop("tick_ms", "rank")
-
-    def _tick_join(self, df: DataFrame, scenario_col: str) -> DataFrame:
-        # Twice the interval count bounds the ticked rows, so one check serves both sides.
-        small = len(self.intervals.select(F.lit(1)).limit(self.broadcast_rows // 2 + 1).collect()) <= self.broadcast_rows // 2
-        side = (lambda x: F.broadcast(x)) if small else (lambda x: x)
-        rows = df.withColumn("scenario_id", F.col(scenario_col).cast("string")) if scenario_col != "scenario_id" else df
-        rows = rows.join(side(self.clock()), "scenario_id").withColumn("tick", F.floor(F.col("t_ms") / F.col("tick_ms")))
-        rows = rows.join(side(self._ticked()), ["scenario_id", "tick"])
-        out = rows.filter((F.col("t_ms") >= F.col("lo_ms")) & (F.col("t_ms") < F.col("hi_ms"))).drop("tick", "tick_ms")
-        return out if scenario_col == "scenario_id" else out.drop("scenario_id")
+    def _grouped(self) -> tuple[DataFrame, DataFrame, int, int, bool]:
+        """Intervals in groups of consecutive ranks, the group starts per scenario, and the sizes of both.
+
+        Groups have one interval each while ``broadcast_rows`` intervals suffice, and otherwise as
+        many as keep the group starts within that number.
+        """
+        if self._groups is None:
+            text = F.sum(F.octet_length("active_spikes")) if "active_spikes" in self.intervals.columns else F.lit(0)
+            size = self.intervals.agg(F.count("*").alias("n"), F.coalesce(text, F.lit(0)).alias("bytes")).first()
+            per = max(1, -(-size["n"] // self.broadcast_rows))
+            # A fixed-width interval takes about 200 bytes; text is counted.
+            small = per == 1 and size["bytes"] <= 200 * self.broadcast_rows
+            group = F.expr(f"(rank - 1) div {per}").alias("group")
+            entry = F.struct("lo_ms", *[c for c in self.columns if c != "lo_ms"])
+            groups = self.intervals.groupBy("scenario_id", group).agg(F.sort_array(F.collect_list(entry)).alias("items"))
+            starts = F.transform(F.sort_array(F.collect_list(F.struct("group", F.col("items")[0]["lo_ms"].alias("lo")))), lambda g: g["lo"])
+            if not small:
+                groups = cut_lineage(groups)  # plain shuffles on both sides of the join: AQE can split a hot group
+            clock = groups.groupBy("scenario_id").agg(starts.alias("starts"))
+            head = clock.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("starts")), F.lit(1)).alias("most")).first()
+            self._groups = groups, clock, per, head["most"], small, head["n"] <= self.broadcast_rows
+        return self._groups
+
+    def _search_join(self, df: DataFrame, scenario: Column) -> DataFrame:
+        """Each row finds its one interval: a binary search in the starts of its scenario, then an equi-join."""
+        groups, clock, per, most, small, few = self._grouped()
+        side = lambda x, fits: F.broadcast(x) if fits else x
+        rows = df.withColumn("_sid", scenario.cast("string"))
+        clock = clock.withColumnRenamed("scenario_id", "_sid")
+        rows = _search(rows.join(side(clock, few), "_sid"), "group", F.col("starts"), most).drop("starts")
+        groups = groups.withColumnRenamed("scenario_id", "_sid")
+        rows = rows.join(side(groups, small), ["_sid", "group"]).drop("group", "_sid")
+        rows = _search(rows, "_item", F.col("items")["lo_ms"], per).withColumn("_item", F.get("items", F.col("_item").cast("int")))
+        out = rows.withColumns({c: F.col("_item")[c] for c in self.columns}).drop("items", "_item")
+        return out.filter((F.col("t_ms") >= F.col("lo_ms")) & (F.col("t_ms") < F.col("hi_ms")))
 
     def attach(self, df: DataFrame, ts_col: str, origin: Column | str, scenario_col: str | None = None) -> DataFrame:
         rows = df.withColumn("t_ms", elapsed_ms(ts_col, origin))
         if self.literals is not None and scenario_col is None:
             return self._literal_join(rows)
-        if scenario_col is None:
+        if scenario_col is not None:
+            return self._search_join(rows, F.col(scenario_col))
+        ids = self.intervals.select("scenario_id").distinct().limit(2).collect()
+        if len(ids) > 1:
             raise ValueError("several scenarios: name the column that holds each row's scenario id")
-        return self._tick_join(rows, scenario_col)
+        return self._search_join(rows, F.lit(ids[0]["scenario_id"] if ids else None))
+
+
+def _search(df: DataFrame, name: str, starts: Column, most: int) -> DataFrame:
+    """Add ``name``: the place of the last of up to ``most`` ascending ``starts`` that is not after ``t_ms`` (0 if none)."""
+    df = df.withColumn(name, F.lit(0).cast("bigint"))
+    for step in (1 << k for k in reversed(range(max(0, most - 1).bit_length()))):
+        further = F.get(starts, (F.col(name) + step).cast("int")) <= F.col("t_ms")
+        df = df.withColumn(name, F.when(further, F.col(name) + step).otherwise(F.col(name)))
+    return df
 
 
 def attach_scenario(

@@ -102,16 +102,21 @@ def expected_shares(field: str) -> list[tuple[str, float]]:
 def audit_distribution(df: DataFrame, field: str, value: Column | None = None) -> DataFrame:
     """Observed against expected share per value with its chi-square term.
 
-    Counting is partial before the shuffle; the expected shares are a CASE over
-    a fixed list.  Values outside the list get expected share 0 and no term.
+    Every expected value has a row, also one that never occurs.  Counting is
+    partial before the shuffle and the only pass over the rows.  Values outside
+    the list get expected share 0 and no term.
     """
     shares = expected_shares(field)
     value = F.col(field) if value is None else value
-    counts = df.groupBy(value.cast("string").alias("value")).agg(F.count("*").alias("observed"))
-    total = df.agg(F.count("*")).first()[0]
+    none = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(0).cast("bigint").alias("n")) for v, _ in shares])
+    empty = df.sparkSession.range(1).select(F.inline(none))
+    counts = df.groupBy(value.cast("string").alias("value")).agg(F.count("*").alias("n"))
+    counts = counts.unionByName(empty).groupBy("value").agg(F.sum("n").alias("observed"))
+    total = counts.agg(F.sum("observed").alias("_total")).withColumn("_one", F.lit(1))
     share = None
     for v, s in shares:
         share = F.when(F.col("value") == v, F.lit(s)) if share is None else share.when(F.col("value") == v, F.lit(s))
-    out = counts.withColumn("expected", share.otherwise(F.lit(0.0)) * F.lit(float(total)))
+    out = counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")  # one row
+    out = out.withColumn("expected", share.otherwise(F.lit(0.0)) * F.col("_total").cast("double")).drop("_total")
     gap = F.col("observed") - F.col("expected")
     return out.withColumn("chi2_term", F.when(F.col("expected") > 0, gap * gap / F.col("expected")))

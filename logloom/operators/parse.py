@@ -15,6 +15,12 @@ _PATTERNS = {
     "nginx": _COMBINED + r" [0-9.E-]+$",
     "syslog": r'^<\d{1,3}>1 \S+ \S+ \S+ \d+ \S+ \[meta request_id="[^"]*" duration_ms="\d+" level="[^"]*"\] .*$',
 }
+#: Fields that are cast from text; a line whose text does not cast is rejected.
+_REQUIRED = {
+    "apache": ["ts", "status", "body_bytes"],
+    "nginx": ["ts", "status", "body_bytes", "request_time"],
+    "syslog": ["ts", "priority", "pid", "duration_ms"],
+}
 _JSON_SCHEMA = (
     "timestamp string, level string, service string, trace_id string, span_id string, message string, method string, "
     "path string, status int, duration_ms int, client_ip string"
@@ -76,40 +82,47 @@ def parse_lines(df: DataFrame, fmt: str, line_col: str = "line") -> DataFrame:
     """Parsed fields next to the remaining columns; ``rejected`` marks lines that do not fit."""
     line = F.col(line_col)
     if fmt in ("json", "event"):
-        return _parse_objects(df, fmt, line)
+        return _parse_objects(df, fmt, line, line_col)
     fields = {"apache": _combined, "nginx": _nginx, "syslog": _syslog}[fmt](line)
     ok = F.coalesce(line.rlike(_PATTERNS[fmt]), F.lit(False))
     parsed = F.when(ok, F.struct(*[c.alias(n) for n, c in fields.items()]))
     others = [c for c in df.columns if c != line_col]
-    return df.select(*others, parsed.alias("_p")).select(*others, "_p.*", F.col("_p").isNull().alias("rejected"))
+    return _strict(df.select(*others, parsed.alias("_p")), others, list(fields), _REQUIRED[fmt])
+
+
+def _strict(df: DataFrame, others: list[str], fields: list[str], required: list[str]) -> DataFrame:
+    """Fields of ``_p``, all NULL in a rejected row: one that did not parse or lacks a required field."""
+    good = F.col("_p").isNotNull()
+    for name in required:
+        good = good & F.col(f"_p.{name}").isNotNull()
+    df = df.select(*others, "_p", good.alias("_good"))
+    return df.select(*others, *[F.when(F.col("_good"), F.col(f"_p.{f}")).alias(f) for f in fields], (~F.col("_good")).alias("rejected"))
 
 
-def _parse_objects(df: DataFrame, fmt: str, line: Column) -> DataFrame:
-    others = [c for c in df.columns]
+def _parse_objects(df: DataFrame, fmt: str, line: Column, line_col: str) -> DataFrame:
+    others = [c for c in df.columns if c != line_col]
     if fmt == "json":
-        out = df.withColumn("_p", F.from_json(line, _JSON_SCHEMA))
-        # The required key decides: malformed text parses to all NULL.
-        out = out.withColumn("rejected", F.col("_p.status").isNull() | F.col("_p.timestamp").isNull())
-        keep = [c for c in others if c != "line"]
-        fields = ["level", "service", "trace_id", "span_id", "message", "method", "path", "status", "duration_ms"]
-        return out.select(
-            *keep, _utc(F.col("_p.timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSX").alias("ts"),
-            *[F.col(f"_p.{f}") for f in fields], F.col("_p.client_ip").alias("ip"), "rejected",
-        )
-    out = df.withColumn("_p", F.from_json(line, _EVENT_SCHEMA))
-    out = out.withColumn("rejected", F.col("_p.timestamp").isNull())
-    tag = lambda k: F.col("_p.tags").getItem(k)
-    metric = lambda k: F.col("_p.metrics").getItem(k)
-    return out.select(
-        *[c for c in others if c != "line"],
-        F.col("_p.timestamp").alias("event_epoch"),
-        *[tag(k).alias(k) for k in ("service", "host", "level", "method", "path")],
-        tag("status").try_cast("int").alias("status"),
-        metric("response_time_ms").cast("int").alias("duration_ms"),
-        metric("request_size").cast("int").alias("request_size"),
-        metric("response_size").cast("bigint").alias("body_bytes"),
-        "rejected",
-    )
+        raw = F.from_json(line, _JSON_SCHEMA)
+        names = ["level", "service", "trace_id", "span_id", "message", "method", "path", "status", "duration_ms"]
+        out = df.select(*others, raw.alias("_r"))
+        ts = _utc(F.col("_r.timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSX")
+        out = out.select(*others, F.struct(ts.alias("ts"), *[F.col(f"_r.{n}") for n in names], F.col("_r.client_ip").alias("ip")).alias("_p"))
+        return _strict(out, others, ["ts", *names, "ip"], ["ts", "status"])
+    out = df.select(*others, F.from_json(line, _EVENT_SCHEMA).alias("_r"))
+    tag = lambda k: F.col("_r.tags").getItem(k)
+    metric = lambda k: F.col("_r.metrics").getItem(k)
+    fields = {
+        "event_epoch": F.col("_r.timestamp"),
+        **{k: tag(k) for k in ("service", "host", "level", "method", "path")},
+        "status": tag("status").try_cast("int"),
+        "duration_ms": metric("response_time_ms").cast("int"),
+        "request_size": metric("request_size").cast("int"),
+        "body_bytes": metric("response_size").cast("bigint"),
+    }
+    # An event needs at least one tag and one metric.
+    whole = (F.size("_r.tags") > 0) & (F.size("_r.metrics") > 0)
+    out = out.select(*others, F.when(whole, F.struct(*[c.alias(n) for n, c in fields.items()])).alias("_p"))
+    return _strict(out, others, list(fields), ["event_epoch"])
 
 
 def explode_events(payloads: DataFrame, body_col: str = "body") -> DataFrame:
@@ -131,12 +144,14 @@ def ingest_report(payloads: DataFrame, id_col: str = "payload_id", body_col: str
     """Accepted and rejected events per envelope payload.
 
     An event needs a timestamp and at least one tag and one metric; a body that
-    is not an envelope counts as one rejected row.
+    is not an envelope counts as one rejected row, an empty envelope as none.
     """
-    events = explode_events(payloads.select(id_col, body_col), body_col)
+    broken = F.from_json(F.col(body_col), "events array<string>")["events"].isNull()
+    events = explode_events(payloads.select(id_col, body_col, broken.alias("_broken")), body_col)
     ok = F.coalesce(
         F.col("timestamp").isNotNull() & (F.size("tags") > 0) & (F.size("metrics") > 0), F.lit(False)
     )
     return events.groupBy(id_col).agg(
-        F.sum(ok.cast("bigint")).alias("accepted"), F.sum((~ok).cast("bigint")).alias("rejected")
+        F.sum(ok.cast("bigint")).alias("accepted"),
+        F.sum(F.when(F.col("pos").isNull(), F.col("_broken")).otherwise(~ok).cast("bigint")).alias("rejected"),
     )

@@ -48,6 +48,18 @@ def bucket_of(keys: Sequence[str | Column], buckets: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.lit(buckets)
 
 
+def packable(df: DataFrame, fmt_col: str = "fmt") -> tuple[DataFrame, DataFrame]:
+    """Rows that can be packed, and those that cannot: a NULL line or format.  The packers refuse the latter."""
+    ok = F.col(fmt_col).isNotNull() & F.col("line").isNotNull()
+    return df.filter(ok), df.filter(~ok)
+
+
+def _refuse_nulls(df: DataFrame, fmt_col: str) -> DataFrame:
+    message = F.lit("a row without line or format cannot be packed: see packable()")
+    present = lambda c: F.when(F.col(c).isNull(), F.raise_error(message).cast("string")).otherwise(F.col(c))
+    return df.withColumns({c: present(c) for c in (fmt_col, "line")})
+
+
 def pack_keyed(
     df: DataFrame,
     order_cols: Sequence[str],
@@ -66,7 +78,7 @@ def pack_keyed(
     ``buckets`` so that one bucket fits a task.
     """
     keys = list(order_cols)
-    rows = df.groupBy(fmt_col, *keys, "line").agg(F.count("*").alias("copies"))
+    rows = _refuse_nulls(df, fmt_col).groupBy(fmt_col, *keys, "line").agg(F.count("*").alias("copies"))
     rows = rows.withColumn("_size", (F.octet_length("line") + 1).cast("bigint"))
     rows = rows.withColumn("_bucket", bucket_of([fmt_col, *keys, "line"], buckets))
     order = Window.partitionBy(fmt_col, "_bucket").orderBy(*keys, "line").rowsBetween(Window.unboundedPreceding, 0)
@@ -148,7 +160,7 @@ def pack_partitions(df: DataFrame, limit_bytes: int = DEFAULT_LIMIT, fmt_col: st
         for fmt, lines in open_.items():
             yield emit(fmt, lines, [0, len(lines)])
 
-    return df.select(F.col(fmt_col).alias("fmt"), "line").mapInArrow(pack, PAYLOAD_SCHEMA)
+    return _refuse_nulls(df, fmt_col).select(F.col(fmt_col).alias("fmt"), "line").mapInArrow(pack, PAYLOAD_SCHEMA)
 
 
 def pack_payloads(

@@ -6,6 +6,7 @@ import random
 import time
 import urllib.error
 import urllib.request
+from http.client import HTTPException
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
@@ -34,9 +35,14 @@ def write_lines(df: DataFrame, path: str, mode: str = "overwrite", compression:
     writer.text(path)
 
 
-def show_lines(df: DataFrame, n: int = 20) -> None:
-    for row in df.select("line").take(n):
-        print(row["line"])
+def write_stdout(df: DataFrame) -> None:
+    """Every line to the standard output of the task that holds it; the driver's output sees none of them."""
+
+    def emit(rows: Iterator) -> None:
+        for row in rows:
+            print(row["line"], flush=True)
+
+    df.select("line").foreachPartition(emit)
 
 
 def discard(df: DataFrame) -> None:
@@ -95,7 +101,7 @@ def deliver(
                         pause(backoff_ms(attempt, rng) / 1000.0)
                     try:
                         status = int(send(payload))
-                    except OSError:
+                    except (OSError, HTTPException):
                         status = None
                     out.append((payload["payload_id"], attempt, status, int(payload["n_bytes"])))
                     if status is not None and status < 500:

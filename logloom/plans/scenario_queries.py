@@ -436,7 +436,7 @@ def r3(spark, d):
     FROM chk WHERE error IS NULL""",
 )
 def r2(spark, d):
-    got = expand_requests(request_texts(spark, d), "json", "request_id", inline_toml=False)
+    got = expand_requests(request_texts(spark, d), "json", "request_id")
     control = got["control"]
     meta = control.meta.select("scenario_id", "name", "total_ms")
     timeline = control.timeline.select("scenario_id", "rate_name", "lps", "mb")

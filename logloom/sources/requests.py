@@ -55,13 +55,13 @@ def validate_requests(df: DataFrame, json_col: str, aliases: Mapping[str, str] |
 
 
 def expand_requests(
-    df: DataFrame, json_col: str, id_col: str, aliases: Mapping[str, str] | None = None, inline_toml: bool = True
+    df: DataFrame, json_col: str, id_col: str, aliases: Mapping[str, str] | None = None
 ) -> dict[str, DataFrame | Control]:
     """Accepted requests as ``control`` tables and ``outputs`` rows with defaults filled.
 
     Without an inline document a request is one event at 0 and no spikes.  An
     inline document wins over duration and rate, while the request's format
-    still overrides; ``inline_toml=False`` skips that Python step.
+    still overrides.
     """
     read = _read(df, json_col, aliases)
     read = read.withColumn("error", request_error(F.col("r"), F.col("fmt")))
@@ -97,10 +97,6 @@ def expand_requests(
         content_type(F.col("fmt")).alias("content_type"),
     )
     rejected = read.filter("error is not null").select(F.col(id_col).cast("string").alias("scenario_id"), "error")
-    no_spikes = plain.select("scenario_id").limit(0)
-    if not inline_toml:
-        empty = _empty_spikes(no_spikes)
-        return {"control": Control(meta, timeline, empty), "outputs": outputs, "rejected": rejected}
     inline = good.filter(F.col("r.scenario_toml").isNotNull())
     texts = inline.select("scenario_id", F.col("r.scenario_toml").alias("text"))
     docs, bad = parse_documents(toml_to_json(texts, "text"), aliases)
@@ -109,10 +105,3 @@ def expand_requests(
         meta.unionByName(forced), timeline.unionByName(docs.timeline), docs.spikes, docs.rates
     )
     return {"control": control, "outputs": outputs.join(bad, "scenario_id", "left_anti"), "rejected": rejected.unionByName(bad)}
-
-
-def _empty_spikes(keys: DataFrame) -> DataFrame:
-    from ..operators.control import SPIKES_SCHEMA
-
-    columns = [c.strip().split(" ") for c in SPIKES_SCHEMA.split(",")][1:]
-    return keys.select("scenario_id", *[F.lit(None).cast(t).alias(n) for n, t in columns])

@@ -96,6 +96,6 @@ def generate_rows(budget: DataFrame, bucket_ms: int, origin: str, chunk: int = 6
     cluster before they expand, so one bucket may hold most of the run.
     """
     rows = repeat_numbers(budget.filter("n_rows > 0"), F.col("n_rows"), "i", chunk, spread_by=["scenario_id", "bucket"])
-    offset = F.col("bucket") * F.lit(bucket_ms) + F.floor(F.col("i") * F.lit(bucket_ms) / F.col("n_rows"))
+    offset = F.col("bucket") * F.lit(bucket_ms) + F.expr(f"cast(i as decimal(20,0)) * cast({bucket_ms} as decimal(18,0)) div n_rows")
     start = F.unix_millis(F.lit(origin).cast("timestamp"))
     return rows.select("scenario_id", "bucket", "i", offset.alias("t_ms"), F.timestamp_millis(start + offset).alias("ts"))
