@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import require_utc
 from . import vocab as V
 from .draws import Draws
 
@@ -15,14 +16,17 @@ def _col(c: Column | str) -> Column:
 
 # -- timestamps (UTC; set spark.sql.session.timeZone=UTC for TIMESTAMP input) -----------------
 def apache_ts(ts: Column | str) -> Column:
+    require_utc()
     return F.concat(F.lit("["), F.date_format(_col(ts), "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000]"))
 
 
 def iso_ts(ts: Column | str) -> Column:
+    require_utc()
     return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def syslog_ts(ts: Column | str) -> Column:
+    require_utc()
     return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 

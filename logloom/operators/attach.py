@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType
 
 from ..functions import fields
 from ..functions.draws import Draws
-from ..session import cut_lineage
+from ..session import cut_lineage, require_utc
 from .control import Control
 from .states import error_fraction, progress_percent, rate_description, rates_at, remaining_ms, state_intervals
 
@@ -26,6 +26,7 @@ STATE_COLUMNS = [
 
 def elapsed_ms(ts: Column | str, origin: Column | str) -> Column:
     """Whole milliseconds from the scenario origin; ``origin`` text is a UTC timestamp literal."""
+    require_utc()
     ts = F.col(ts) if isinstance(ts, str) else ts
     start = F.lit(origin).cast("timestamp") if isinstance(origin, str) else origin.cast("timestamp")
     return F.unix_millis(ts.cast("timestamp")) - F.unix_millis(start)
@@ -100,7 +101,8 @@ class States:
             group = F.expr(f"(rank - 1) div {per}").alias("group")
             entry = F.struct("lo_ms", *[c for c in self.columns if c != "lo_ms"])
             groups = self.intervals.groupBy("scenario_id", group).agg(F.sort_array(F.collect_list(entry)).alias("items"))
-            starts = F.transform(F.sort_array(F.collect_list(F.struct("group", F.col("items")[0]["lo_ms"].alias("lo")))), lambda g: g["lo"])
+            groups = groups.withColumn("los", F.transform("items", lambda i: i["lo_ms"]))
+            starts = F.transform(F.sort_array(F.collect_list(F.struct("group", F.col("los")[0].alias("lo")))), lambda g: g["lo"])
             if not small:
                 groups = cut_lineage(groups)  # plain shuffles on both sides of the join: AQE can split a hot group
             clock = groups.groupBy("scenario_id").agg(starts.alias("starts"))
@@ -117,8 +119,8 @@ class States:
         rows = _search(rows.join(side(clock, few), "_sid"), "group", F.col("starts"), most).drop("starts")
         groups = groups.withColumnRenamed("scenario_id", "_sid")
         rows = rows.join(side(groups, small), ["_sid", "group"]).drop("group", "_sid")
-        rows = _search(rows, "_item", F.col("items")["lo_ms"], per).withColumn("_item", F.get("items", F.col("_item").cast("int")))
-        out = rows.withColumns({c: F.col("_item")[c] for c in self.columns}).drop("items", "_item")
+        rows = _search(rows, "_item", F.col("los"), per).drop("los").withColumn("_item", F.get("items", F.col("_item").cast("int"))).drop("items")
+        out = rows.withColumns({c: F.col("_item")[c] for c in self.columns}).drop("_item")
         return out.filter((F.col("t_ms") >= F.col("lo_ms")) & (F.col("t_ms") < F.col("hi_ms")))
 
     def attach(self, df: DataFrame, ts_col: str, origin: Column | str, scenario_col: str | None = None) -> DataFrame:

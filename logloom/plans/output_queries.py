@@ -152,11 +152,32 @@ def k7(spark, d):
     return payloads.pack_payloads(rows, None, LIMIT, Z.LINE_KEYS, buckets).select("payload_id", "fmt", "n_rows")
 
 
-@query("k7_partition_batches")
+@query(
+    "k7_partition_batches",
+    O.fields(f"SELECT {_DISPATCH} AS fmt, count(*) AS n_rows, sum(strlen({_DISPATCH_LINE})) AS line_bytes, 0 AS n_early, 0 AS n_late FROM f GROUP BY ALL"),
+)
 def k7_partition(spark, d):
-    """The shuffle-free form; payload borders follow the partitions, so there is no SQL twin."""
+    """The shuffle-free form: payload borders follow the partitions, so the rows are totals and broken closing rules.
+
+    A payload is early if it stops below the limit though its partition has another one after it,
+    and late if it would have reached the limit without its last line.
+    """
     rows = mixed_lines(spark, d).select("fmt", "line")
-    return payloads.pack_payloads(rows, None, LIMIT).select("payload_id", "fmt", "n_rows", "n_bytes")
+    out = payloads.pack_payloads(rows, None, LIMIT)
+    shape = payloads.batch_format(F.col("fmt"))
+    frame = F.when(shape == "envelope", 13).when(shape == "array", 2).otherwise(1) + F.col("n_rows") - 1
+    task, number = F.split("payload_id", "-")[1], F.split("payload_id", "-")[2].cast("int")
+    out = out.select("fmt", "n_rows", (F.col("n_bytes") - frame).alias("bytes"), task.alias("task"), number.alias("number"), "body")
+    latest = out.groupBy("fmt", "task").agg(F.max("number").alias("last"))
+    out = out.join(latest, ["fmt", "task"])
+    closed = F.col("number") < F.col("last")
+    # Every line counts one byte more while a payload is filled.
+    filled = F.col("bytes") + F.col("n_rows")
+    longest = F.lit(2000)
+    return out.groupBy("fmt").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("bytes").alias("line_bytes"), F.count_if(closed & (filled < LIMIT)).alias("n_early"),
+        F.count_if(filled - longest >= LIMIT).alias("n_late"),
+    )
 
 
 @query(

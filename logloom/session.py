@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00", "UTC+00:00")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints.
 
@@ -25,6 +28,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def require_utc() -> None:
+    """Times are read and printed in UTC; another session zone would shift them silently."""
+    spark = SparkSession.getActiveSession()
+    zone = spark.conf.get("spark.sql.session.timeZone") if spark else "UTC"
+    if zone not in UTC_NAMES:
+        raise ValueError(f"set spark.sql.session.timeZone to UTC: it is {zone}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder: later stages survive executor loss without replaying."""
     ensure_checkpoint_dir(df.sparkSession)

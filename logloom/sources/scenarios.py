@@ -31,6 +31,46 @@ DOCUMENT_SCHEMA = (
 )
 
 
+#: Types of a document's values: a tuple lists alternatives, a table whose keys end in "!" needs them all.
+_NUMBER = (int, float)
+_LEVEL = {"throughput_mb!": int, "logs_per_sec!": int}
+_SHAPE = {
+    "scenario": {"name": str, "total_duration": str},
+    "timeline": [{"at": str, "rate": (str, _LEVEL), "duration": str, "error_rate": _NUMBER}],
+    "spikes": [{
+        "at": str, "type": str, "duration": str, "error_rate": (int, float, {"min!": _NUMBER, "max!": _NUMBER}), "latency_multiplier": _NUMBER,
+        "repeat": {"count": int, "interval": str, "jitter": str},
+    }],
+    "rates": {"*": _LEVEL},
+    "format": str,
+}
+
+
+def shape_error(value: object, shape: object, path: str = "") -> str | None:
+    """Where a document holds a value of another type, or half of a table that is needed whole."""
+    if isinstance(shape, tuple):
+        problems = [shape_error(value, s, path) for s in shape]
+        return None if None in problems else problems[-1]
+    if isinstance(shape, type):
+        fits = isinstance(value, shape) and not isinstance(value, bool) and (shape is not int or value >= 0)
+        return None if fits else f"wrong type: {path}"
+    if isinstance(shape, list):
+        parts = [(f"{path}[{i}]", v, shape[0]) for i, v in enumerate(value)] if isinstance(value, list) else None
+    else:
+        parts = [] if isinstance(value, dict) else None
+        for key, inner in shape.items() if parts is not None else ():
+            name = key.rstrip("!")
+            if key == "*":
+                parts += [(f"{path}.{k}", v, inner) for k, v in value.items()]
+            elif name in value:
+                parts.append((f"{path}.{name}", value[name], inner))
+            elif key != name:
+                return f"wrong type: {path} lacks {name}"
+    if parts is None:
+        return f"wrong type: {path}"
+    return next((e for p, v, s in parts if (e := shape_error(v, s, p.lstrip(".")))), None)
+
+
 def toml_to_json(df: DataFrame, text_col: str, id_col: str = "scenario_id") -> DataFrame:
     """Adds ``json`` and ``error``; each document is read on its own, in the task that holds it."""
 
@@ -44,8 +84,10 @@ def toml_to_json(df: DataFrame, text_col: str, id_col: str = "scenario_id") -> D
             docs, errors = [], []
             for text in batch[text_col]:
                 try:
-                    docs.append(json.dumps(tomllib.loads(text), default=plain))
-                    errors.append(None)
+                    doc = json.loads(json.dumps(tomllib.loads(text), default=plain))
+                    problem = shape_error(doc, _SHAPE)
+                    docs.append(None if problem else json.dumps(doc))
+                    errors.append(problem)
                 except (tomllib.TOMLDecodeError, TypeError, AttributeError) as problem:
                     docs.append(None)
                     errors.append(f"not TOML: {problem}")
@@ -165,5 +207,7 @@ def override_scenario(control: Control, rate: str | Column | None = None, fmt: s
         )
         out = out.with_(timeline=event.withColumn("scenario_id", checked).drop("_ok"))
     if fmt is not None:
-        out = out.with_(meta=control.meta.withColumn("format", F.lit(fmt) if isinstance(fmt, str) else fmt))
+        name = F.lit(fmt) if isinstance(fmt, str) else fmt
+        unknown = F.raise_error(F.concat(F.lit("unknown format "), F.coalesce(name, F.lit("NULL")))).cast("string")
+        out = out.with_(meta=control.meta.withColumn("format", F.when(F.coalesce(format_ok(name), F.lit(False)), name).otherwise(unknown)))
     return out
