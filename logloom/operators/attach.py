@@ -137,11 +137,13 @@ class States:
 
 def _search(df: DataFrame, name: str, starts: Column, most: int) -> DataFrame:
     """Add ``name``: the place of the last of up to ``most`` ascending ``starts`` that is not after ``t_ms`` (0 if none)."""
-    df = df.withColumn(name, F.lit(0).cast("bigint"))
-    for step in (1 << k for k in reversed(range(max(0, most - 1).bit_length()))):
-        further = F.get(starts, (F.col(name) + step).cast("int")) <= F.col("t_ms")
-        df = df.withColumn(name, F.when(further, F.col(name) + step).otherwise(F.col(name)))
-    return df
+    steps = [1 << k for k in reversed(range(max(0, most - 1).bit_length()))]
+    if not steps:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    # One expression: a chain of columns would be copied into every inferred filter.
+    further = lambda at, step: F.get(starts, (at + step).cast("int")) <= F.col("t_ms")
+    halve = lambda at, step: F.when(further(at, step), at + step).otherwise(at)
+    return df.withColumn(name, F.aggregate(F.array(*[F.lit(x).cast("bigint") for x in steps]), F.lit(0).cast("bigint"), halve))
 
 
 def attach_scenario(
