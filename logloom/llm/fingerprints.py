@@ -22,6 +22,8 @@ from .common import SPACE, blank
 SHINGLE, BINS, BITS, PROBES = 5, 256, 4, 6
 #: Documents that share a block of the id order; a block is one group of the neighbour window.
 BLOCK_DOCS = 1000
+#: Cells of about equally many rows that the id order is cut into first, so that ids may lie in clusters.
+CELLS = 64
 
 
 def word_hashes(text: Column) -> Column:
@@ -88,17 +90,28 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == wordless) | (b == wordless), 0.0).otherwise(F.greatest(F.lit(0.0), corrected))
 
 
-def id_blocks(df: DataFrame, order: str, block_docs: int = BLOCK_DOCS) -> Column:
-    """The number of a row's block: blocks of equal id width, about ``block_docs`` rows each."""
-    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).first()
-    if span["lo"] is None:
-        lo, width = 0, 1
-    else:
-        lo, width = span["lo"], max(1, -(-(span["hi"] - span["lo"] + 1) * block_docs // span["n"]))
-    if span["lo"] is not None and span["hi"] - span["lo"] < 1 << 62:
-        return F.coalesce(F.expr(f"({order} - ({lo}L)) div {width}L"), F.lit(-1).cast("bigint"))
-    place = F.col(order).cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")  # can pass 64 bits
-    return F.coalesce(F.floor(place / F.lit(width)).cast("bigint"), F.lit(-1).cast("bigint"))
+def id_blocks(df: DataFrame, order: str, block_docs: int = BLOCK_DOCS, cells: int = CELLS) -> Column:
+    """The number of a row's block, ascending with the id: about ``block_docs`` rows each, nulls in block -1.
+
+    Quantiles cut the id order into cells, and each cell is cut into blocks of equal id width.
+    """
+    cuts = F.percentile_approx(order, F.array(*[F.lit(i / cells) for i in range(1, cells)]), 10000)
+    seen = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(order).alias("n"), cuts.alias("cuts")).first()
+    if seen["lo"] is None:
+        return F.lit(-1).cast("bigint")
+    starts = sorted({seen["lo"], *seen["cuts"]})
+    at, rows, blocks, cell_of = F.col(order).cast("bigint"), -(-seen["n"] // cells), 0, []
+    for lo, end in zip(starts, [*starts[1:], seen["hi"] + 1], strict=True):
+        width = max(1, -(-(end - lo) * block_docs // rows))
+        kind = "bigint" if end - lo < 1 << 62 else "decimal(38,0)"  # the distance can pass 64 bits
+        place = F.call_function("div", at.cast(kind) - F.lit(lo).cast(kind), F.lit(str(width)).cast(kind))
+        cell_of.append((end, F.lit(blocks) + place))
+        blocks += -(-(end - lo) // width)
+    last = cell_of.pop()[1]
+    found = None
+    for end, block in cell_of:
+        found = F.when(at < end, block) if found is None else found.when(at < end, block)
+    return F.when(at.isNull(), F.lit(-1).cast("bigint")).otherwise(last if found is None else found.otherwise(last))
 
 
 def with_neighbour(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
