@@ -11,7 +11,7 @@ bounded size.  Scoring is one narrow pass over all texts without a shuffle.
 
 Defined cases: a null or empty text has one empty sentence and scores the bias; a null label or a
 label without a document teaches nothing; repeated labels of a document count as toxic if one says
-so; without toxic (or without clean) training documents every score is 0 (or 1); an empty table
+so; of rows that repeat an id the text that sorts first teaches; without toxic (or without clean) training documents every score is 0 (or 1); an empty table
 gives an empty result; other columns are carried unread.
 """
 
@@ -101,6 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_features
     turn = F.xxhash64(F.lit(77), "doc_id")
     picked = known.where("toxic = 1").orderBy(turn, "doc_id").limit(sample).unionAll(known.where("toxic <> 1").orderBy(turn, "doc_id").limit(sample))
     chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # Rows that repeat an id are one document, so the sample is bounded however often they do.
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = fit(((t, int(y == 1)) for batch in batches for t, y in zip(batch["text"], batch["toxic"], strict=True)), max_features)
