@@ -1,6 +1,7 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-The documents of a source are dealt to at most ``BUCKETS`` blocks by hash.  A source's target says
+The documents of a source are dealt to blocks by hash: ``BUCKETS`` of them, or more where the
+table has over ``BLOCK_ROWS`` rows for each.  A source's target says
 how many passes over its blocks the mix makes: whole passes, and of one more pass as many blocks
 of a seeded permutation as the words that are left need; the last of these blocks is taken up to
 the word.  So each source brings an exact quota of block draws.  A binary tree splits the quota
@@ -9,8 +10,8 @@ hypergeometric law of the node's vector, the right half keeps the rest, down to
 The shards then take consecutive, disjoint runs of each source's permuted draws and shuffle their
 documents by hash.
 
-Blocks, quotas and tree nodes are counts: a source has at most 3 x ``BUCKETS`` draws, however many
-rows it holds, and texts meet their draws by (source, block), so a hot source is dealt over many
+Blocks, quotas and tree nodes are counts: a source has at most three draws a block, a block few rows
+even of a hot source, and texts meet their draws by (source, block), so a hot source is dealt over many
 tasks.  Seeds and ids decide everything; a rerun or a lost executor gives the same mix.
 
 Defined cases: a null text has size 0; a null source is a source of its own and comes last; texts
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import WORD, blank, global_rank, staged
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-BUCKETS, SHARD_DRAWS, LEVELS, SEED = 1024, 256, 6, 20240501
+BUCKETS, BLOCK_ROWS, SHARD_DRAWS, LEVELS, SEED = 1024, 16384, 256, 6, 20240501
 
 
 def n_words(text: Column) -> Column:
@@ -122,7 +123,8 @@ def mix_sources(
     shard_draws: int = SHARD_DRAWS, carry: list[str] | None = None,
 ) -> DataFrame:
     """``row`` (the columns ``carry`` of docs, all if not given; doc_id among them), size, source_size, target and ``copies``: (shard, epoch, words) of each copy the mix takes."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int")
+    buckets = max(BUCKETS, -(-docs.count() // BLOCK_ROWS))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)).cast("int")
     slim = docs.select(_key(F.col("source")).alias("key"), bucket.alias("bucket"), n_words(F.col("text")).alias("size"))
     blocks = staged(slim.groupBy("key", "bucket").agg(F.sum("size").alias("words")), "blocks")
     targets = staged(source_targets(blocks.groupBy("key").agg(F.sum("words").alias("source_size")), weights, share, most), "targets")
