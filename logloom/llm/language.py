@@ -17,12 +17,12 @@ sorts first; repeated rows are scored alike; other columns are carried unread.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +31,7 @@ from .common import in_training
 
 SAMPLE, ROUNDS, LONGEST, REMEMBERED = 600, 4, 40, 300_000
 START = "▁"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNSEEN, FLOOR = 50.0, 1e-9
 #: Odd multipliers of the rolling hash that looks pieces up.
 CODE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)

@@ -98,6 +98,18 @@ def test_mixing(spark, odd, shard_draws):
     assert mixing.mix_sources(odd.limit(0)).count() == 0
 
 
+def test_mixing_cuts_large_tables_into_more_blocks(spark, odd, monkeypatch):
+    taken = {}
+    for buckets, block_rows in ((2, 10**6), (2, 3)):
+        monkeypatch.setattr(mixing, "BUCKETS", buckets)
+        monkeypatch.setattr(mixing, "BLOCK_ROWS", block_rows)
+        rows = mixing.mix_sources(odd, shard_draws=2).select("row.source", "target", "copies").collect()
+        taken[block_rows] = Counter()
+        for r in rows:
+            taken[block_rows][r.source, round(r.target)] += sum(c.words for c in r.copies)
+    assert taken[3] == taken[10**6] and all(abs(n - target) <= 1 for (_, target), n in taken[3].items())
+
+
 def test_splitting_tree_is_exact(spark):
     quotas = {f"s{i}": 7 * i * i + 1 for i in range(9)}
     got = mixing.splitting_tree(spark.createDataFrame(list(quotas.items()), "key string, n bigint"), 100, levels=3).toPandas()
@@ -130,6 +142,13 @@ def test_toxicity_learns_held_out(spark):
     assert (clean["score"] < 0.5).mean() > 0.99 and (toxic["score"] >= 0.5).mean() > 0.8
 
 
+def test_toxicity_sample_holds_a_repeated_id_once(spark):
+    rows = [(i, "you are scum" if i % 2 else "fine day", None, None, 0) for i in range(40)] + [(1, "a fine day", None, None, 0)] * 200
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    once = toxicity.train(docs_of(spark, rows[:1] + rows[2:41]), labels)
+    assert toxicity.train(docs_of(spark, rows), labels) == once
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([(1, 0), (2, None), (99, 1)], "doc_id bigint, toxic int")
     model = toxicity.train(odd, labels)
@@ -186,6 +205,8 @@ def test_language_query(spark, odd):
     rows = language.identify(odd, langs, prob, vocabulary).select("row.text", "lang_pred", "score").collect()
     assert len(rows) == odd.count()
     assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or "")) and 0 <= r.score <= 1 for r in rows)
+    signs = docs_of(spark, [(1, "½ ² 3 _ Ⅷ !", None, None, 0), (2, "½a", None, None, 0)])
+    assert [r.lang_pred == "und" for r in language.identify(signs, langs, prob, vocabulary).orderBy("row.doc_id").collect()] == [True, False]
     none = language.identify(odd, *language.train(odd.limit(0), vocabulary), vocabulary)
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
@@ -252,6 +273,17 @@ def test_next_document_crosses_blocks(spark, block_docs):
     assert got == {i * i: own[(i + 1) ** 2 if i < 59 else 0] for i in range(60)}
 
 
+@pytest.mark.parametrize("block_docs", [1, 10])
+def test_blocks_follow_clustered_ids(spark, block_docs):
+    ids = [*range(500), *range(10**15, 10**15 + 500), -(2**63), 2**63 - 1, *[77] * 3, None]
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    rows = docs.select("doc_id", fingerprints.id_blocks(docs, "doc_id", block_docs).alias("block")).collect()
+    known = sorted((r.doc_id, r.block) for r in rows if r.doc_id is not None)
+    assert [b for _, b in known] == sorted(b for _, b in known) and min(known)[1] >= 0
+    assert {r.block for r in rows if r.doc_id is None} == {-1}
+    assert max(Counter(b for _, b in known).values()) <= 60
+
+
 def test_likeness_is_near_jaccard(spark, sf):
     rows = fingerprints.fingerprint_documents(spark.read.parquet(f"{sf}/documents.parquet"))
     rows = rows.select("text", "edited", fingerprints.likeness(F.col("bins"), F.col("edited_bins")).alias("near")).collect()
