@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logloom.llm import fingerprints, html_extract, language, line_dedup, mixing, packing, queries, simhash, token_counts, topk, toxicity
+from logloom.llm import fingerprints, html_extract, language, line_dedup, mixing, near_copies, packing, queries, simhash, token_counts, topk, toxicity
 from logloom.llm.tokens import Encoder
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -398,6 +398,51 @@ def test_simhash_edges(spark, odd):
     assert simhash.near_duplicates(odd).count() == odd.count() and simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+# near copies of the pipeline ---------------------------------------------------------------------
+
+
+def jaccard(a, b):
+    a, b = shingles(a or ""), shingles(b or "")
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited_copies():
+    """Families of copies with a few words changed, a chain of edits, and one family larger than the others."""
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    texts = []
+    for family in range(12):
+        base = [word() for _ in range(int(rng.integers(60, 400)))]
+        last = base
+        for copy in range(40 if family == 0 else 5):
+            words = list(last if family % 3 == 1 else base)
+            for at in rng.integers(0, len(words), max(1, len(words) // int(rng.integers(45, 90)))):
+                words[at] = word()
+            texts.append(" ".join(words))
+            last = words
+    return texts + [" ".join(word() for _ in range(80)) for _ in range(20)] + [None, "", " ", "a b c", "A  b c"]
+
+
+def test_near_copies_of_edited_texts(spark):
+    texts = edited_copies()
+    root = components_of(texts, lambda a, b: jaccard(a, b) >= 0.8)
+    ids = [3 * i - 50 for i in range(len(texts))]
+    docs = docs_of(spark, [(i, t, None, None, 0) for i, t in zip(ids, texts, strict=True)] + [(None, texts[0], None, None, 0)])
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert got == {i: ids[r] for i, r in zip(ids, root, strict=True)} | {None: None}
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted({*(ids[r] for r in root), None}, key=str)
+
+
+def test_near_copies_edges(spark, odd):
+    got = near_copies.near_copies(odd)
+    assert got.count() == odd.count() and near_copies.near_copies(odd.limit(0)).count() == 0
+    of = {r.doc_id: r.component_id for r in got.collect()}
+    assert of[None] is None and of[4] == of[5] == of[6] == 4
+    several = docs_of(spark, [(1, "one two three four five six", None, None, 0), (2, "other words stand here and there", None, None, 0), (2, "one two three four five six", None, None, 0), (3, "other words stand here and there", None, None, 0)])
+    assert {r.component_id for r in near_copies.near_copies(several).collect()} == {1}
+
+
 # op9 --------------------------------------------------------------------------------------------
 
 
