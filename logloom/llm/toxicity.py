@@ -4,9 +4,13 @@ A document is a bag of sentences.  A sentence scores ``sigmoid(bias + sum of its
 document's score is the noisy-or of its sentences, ``1 - prod(1 - p)``.  Weights are trained from
 document labels alone, by gradient steps on the noisy-or likelihood, so the sentence scores say
 where the offence is.  A word brings itself and its 4 and 5 letter beginnings as features.
+Sentences without a feature say nothing about a document but its length: scoring counts at most
+``NEUTRAL`` for all of them together, so that no text is offending by its length.
 
 Features are kept if documents labelled toxic hold them ``APART`` standard errors more often.  Training sees at most ``SAMPLE`` documents per label value (the first by a hash of the id, whole
-texts), and keeps at most ``FEATURES`` features; both are parameters.  It runs in one task of that
+texts), and keeps at most ``FEATURES`` features; both are parameters.  Each class weighs as much as
+it has training labels, whatever share of it was sampled, so the decision does not move with the
+size of the table.  It runs in one task of that
 bounded size.  Scoring is one narrow pass over all texts without a shuffle.
 
 Defined cases: a null or empty text has one empty sentence and scores the bias; a null label or a
@@ -26,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_training
+from .common import in_training, staged
 
 SAMPLE, FEATURES, STEPS, RATE, DECAY, APART = 3000, 30000, 200, 0.2, 1e-4, 3.5
 THRESHOLD = 0.5
+#: The noisy-or of all sentences without a feature stays at or below this (or at the bias, if that is more).
+NEUTRAL = 0.05
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 TOKEN = re.compile(r"\w+")
 
@@ -49,8 +55,11 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def fit(texts: Iterator[tuple[str, int]], max_features: int = FEATURES, steps: int = STEPS) -> dict[str, float]:
-    """Feature weights, and the bias under the empty name.  Texts are read once and not kept."""
+def fit(texts: Iterator[tuple[str, int]], max_features: int = FEATURES, steps: int = STEPS, counts: tuple[int, int] | None = None) -> dict[str, float]:
+    """Feature weights, and the bias under the empty name.  Texts are read once and not kept.
+
+    ``counts``: the clean and the toxic documents that the texts stand for; the texts themselves if not given.
+    """
     ids: dict[str, int] = {}
     rows: list[np.ndarray] = []
     owner, labels = [], []
@@ -78,12 +87,14 @@ def fit(texts: Iterator[tuple[str, int]], max_features: int = FEATURES, steps: i
     place[best] = np.arange(len(best))
     cols = place[cols]
     sent, cols = sent[cols >= 0], cols[cols >= 0]
+    stands_for = np.ones(len(y)) if counts is None else np.where(y == 1, counts[1] / y.sum(), counts[0] / (1 - y).sum())
+    stands_for /= stands_for.mean()
     w, b, n = np.zeros(len(best)), -4.0, len(rows)
     moment = [np.zeros(len(best) + 1), np.zeros(len(best) + 1)]
     for step in range(1, steps + 1):
         z = b + np.bincount(sent, w[cols], n)
         total = np.bincount(owner, _softplus(z), len(y))
-        push = (1 - y) - y * np.exp(-total) / np.maximum(-np.expm1(-total), 1e-12)
+        push = stands_for * ((1 - y) - y * np.exp(-total) / np.maximum(-np.expm1(-total), 1e-12))
         g = push[owner] / (1 + np.exp(-z))
         grad = np.append(np.bincount(cols, g[sent], len(best)) / len(y) + DECAY * w, g.sum() / len(y))
         moment[0] = 0.9 * moment[0] + 0.1 * grad
@@ -98,14 +109,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_features
     """Fit on the bounded sample; the sampled ids (at most 2 x ``sample``) are broadcast, so texts stay where they are."""
     known = labels.where("toxic is not null and doc_id is not null").where(in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    known = staged(known, "known")  # ids and labels only
+    counts = known.agg(F.expr("count_if(toxic <> 1)"), F.expr("count_if(toxic = 1)")).first()
     turn = F.xxhash64(F.lit(77), "doc_id")
     picked = known.where("toxic = 1").orderBy(turn, "doc_id").limit(sample).unionAll(known.where("toxic <> 1").orderBy(turn, "doc_id").limit(sample))
     chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     # Rows that repeat an id are one document, so the sample is bounded however often they do.
     chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
+    stand_for = tuple(counts)
+
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = fit(((t, int(y == 1)) for batch in batches for t, y in zip(batch["text"], batch["toxic"], strict=True)), max_features)
+        got = fit(((t, int(y == 1)) for batch in batches for t, y in zip(batch["text"], batch["toxic"], strict=True)), max_features, counts=stand_for)
         yield pd.DataFrame({"feature": list(got), "weight": list(got.values())})
 
     one = chosen.repartition(1).sortWithinPartitions("doc_id", "text")
@@ -130,18 +145,23 @@ class Scorer:
         neutral = float(_softplus(np.array(self.bias)))
         if not self.known(set(TOKEN.findall(text.lower()))):
             n = sum(1 for s in SENTENCE.findall(text) if TOKEN.search(s))
-            return float(-np.expm1(-(n or 1) * neutral)), []
-        total, spans = 0.0, []
+            return float(-np.expm1(-self._plain(n or 1, neutral))), []
+        total, spans, plain = 0.0, [], 0
         for start, end in sentences(text):
             extra = self._weight_of(text[start:end])
             if extra == 0.0:
-                total += neutral
+                plain += 1
                 continue
             part = float(_softplus(np.array(self.bias + extra)))
             total += part
             if -np.expm1(-part) >= THRESHOLD:
                 spans.append({"start": start, "end": end, "score": float(-np.expm1(-part))})
-        return float(-np.expm1(-(total or neutral))), spans
+        return float(-np.expm1(-(total + self._plain(plain, neutral)))), spans
+
+    @staticmethod
+    def _plain(n: int, each: float) -> float:
+        """What ``n`` sentences without a feature add."""
+        return min(n * each, max(each, -float(np.log1p(-NEUTRAL))))
 
     def _weight_of(self, sentence: str) -> float:
         """Of the distinct features: a beginning that two words share counts once, as in training."""

@@ -149,6 +149,30 @@ def test_toxicity_sample_holds_a_repeated_id_once(spark):
     assert toxicity.train(docs_of(spark, rows), labels) == once
 
 
+def test_toxicity_length_alone_does_not_offend():
+    scorer = toxicity.Scorer({"": -6.8, "scum": 8.0, "fool": 3.0})
+    clean, offending = "A fine day. " * 50_000, "A fine day. " * 50_000 + "You scum."
+    assert scorer.score(clean) == (pytest.approx(0.05), []) and scorer.score("A fool. " + clean)[0] < 0.5
+    score, spans = scorer.score(offending)
+    assert score >= 0.5 and [offending[s["start"] : s["end"]].strip() for s in spans] == ["You scum."]
+
+
+def test_toxicity_weighs_classes_by_their_labels(spark):
+    """Nine of ten documents are clean; a sample that draws as many of either class must not read as one to one."""
+    rng = np.random.default_rng(9)
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = i % 10 == 0
+        words = ["day", "sun", "rain"] + ["scum"] * (rng.random() < (0.9 if toxic else 0.1))
+        rows.append((i, " ".join(words) + ".", None, None, 0))
+        labels.append((i, int(toxic)))
+    docs, known = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    whole, part = toxicity.train(docs, known), toxicity.train(docs, known, sample=150)
+    score = lambda model: toxicity.Scorer(model).score("day sun rain scum.")[0]
+    truth = [int(t) for d, t in labels if zlib.crc32(str(d).encode()) % 5 and "scum" in rows[d][1]]
+    assert abs(score(whole) - np.mean(truth)) < 0.05 and abs(score(part) - score(whole)) < 0.1
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([(1, 0), (2, None), (99, 1)], "doc_id bigint, toxic int")
     model = toxicity.train(odd, labels)
