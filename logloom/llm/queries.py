@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
-from . import html_extract, language, line_dedup, mixing, packing, simhash, token_counts, topk, toxicity
+from . import html_extract, language, line_dedup, mixing, packing, simhash, substring_dedup, token_counts, topk, toxicity
 from .common import in_training, table
 
 def held_out() -> Column:
@@ -99,9 +99,32 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+flat AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts),
+spans AS (
+  SELECT doc_id, word, pos, string_agg(word, ' ') OVER w AS seq, count(*) OVER w AS n
+  FROM flat WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+judged AS (
+  SELECT doc_id, word, pos, n = 20 AND row_number() OVER (PARTITION BY n, seq ORDER BY doc_id, pos) > 1 AS repeated FROM spans),
+marked AS (
+  SELECT doc_id, word, pos,
+         bool_or(repeated) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM judged),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+
 def registered() -> tuple[dict, dict[str, str]]:
     queries = [
         op1_mix_sources, op2_toxicity, op3_language, op4_line_dedup, op5_fingerprints, op6_token_counts,
-        op7_html_text, op8_simhash, op9_top_k, op10_best_fit_packing,
+        op7_html_text, op8_simhash, op9_top_k, op10_best_fit_packing, op13_substring_dedup,
     ]
-    return {q.__name__: q for q in queries}, {"op4_line_dedup": OP4_SQL, "op9_top_k": OP9_SQL}
+    return {q.__name__: q for q in queries}, {"op4_line_dedup": OP4_SQL, "op9_top_k": OP9_SQL, "op13_substring_dedup": OP13_SQL}
