@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
-from . import html_extract, language, line_dedup, mixing, packing, simhash, substring_dedup, token_counts, topk, toxicity
+from . import collocations, html_extract, language, line_dedup, mixing, packing, simhash, substring_dedup, token_counts, topk, toxicity
 from .common import in_training, table
 
 def held_out() -> Column:
@@ -99,6 +99,43 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+pieces AS (SELECT d, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS p FROM texts),
+lists AS (SELECT d, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+words AS (SELECT d, lang, p, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM lists),
+runs AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY d, p ORDER BY i)),
+sizes AS (SELECT lang, count(*) AS n FROM runs GROUP BY lang),
+f1 AS (SELECT lang, w1 AS phrase, count(*) AS f FROM runs GROUP BY ALL),
+f2 AS (SELECT lang, w1 || ' ' || w2 AS phrase, w1 AS h, w2 AS t, count(*) AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1 || ' ' || w2 || ' ' || w3 AS phrase, w1, w2, w3, count(*) AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT f2.lang, f2.phrase, f2.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.phrase = f2.h JOIN f1 y ON y.lang = f2.lang AND y.phrase = f2.t
+  UNION ALL
+  SELECT f3.lang, f3.phrase, f3.f, 1, x.f, y.f
+  FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.phrase = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.h = f3.w2 AND y.t = f3.w3
+  UNION ALL
+  SELECT f3.lang, f3.phrase, f3.f, 2, x.f, y.f
+  FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.h = f3.w1 AND x.t = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.phrase = f3.w3),
+rated AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+worst AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+over AS (
+  SELECT lang, phrase, max(f) AS longer FROM (
+    SELECT lang, w1 || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY ALL),
+kept AS (SELECT worst.* FROM worst LEFT JOIN over USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
 
@@ -125,6 +162,6 @@ FROM texts LEFT JOIN kept USING (doc_id)
 def registered() -> tuple[dict, dict[str, str]]:
     queries = [
         op1_mix_sources, op2_toxicity, op3_language, op4_line_dedup, op5_fingerprints, op6_token_counts,
-        op7_html_text, op8_simhash, op9_top_k, op10_best_fit_packing, op13_substring_dedup,
+        op7_html_text, op8_simhash, op9_top_k, op10_best_fit_packing, op12_collocations, op13_substring_dedup,
     ]
-    return {q.__name__: q for q in queries}, {"op4_line_dedup": OP4_SQL, "op9_top_k": OP9_SQL, "op13_substring_dedup": OP13_SQL}
+    return {q.__name__: q for q in queries}, {"op4_line_dedup": OP4_SQL, "op9_top_k": OP9_SQL, "op12_collocations": OP12_SQL, "op13_substring_dedup": OP13_SQL}
