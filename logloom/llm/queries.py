@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
-from . import collocations, html_extract, language, line_dedup, mixing, packing, simhash, substring_dedup, token_counts, topk, toxicity
+from . import collocations, html_extract, language, line_dedup, mixing, packing, simhash, spelling, substring_dedup, token_counts, topk, toxicity
 from .common import in_training, table
 
 def held_out() -> Column:
@@ -99,6 +99,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -162,6 +166,6 @@ FROM texts LEFT JOIN kept USING (doc_id)
 def registered() -> tuple[dict, dict[str, str]]:
     queries = [
         op1_mix_sources, op2_toxicity, op3_language, op4_line_dedup, op5_fingerprints, op6_token_counts,
-        op7_html_text, op8_simhash, op9_top_k, op10_best_fit_packing, op12_collocations, op13_substring_dedup,
+        op7_html_text, op8_simhash, op9_top_k, op10_best_fit_packing, op11_spelling_groups, op12_collocations, op13_substring_dedup,
     ]
     return {q.__name__: q for q in queries}, {"op4_line_dedup": OP4_SQL, "op9_top_k": OP9_SQL, "op12_collocations": OP12_SQL, "op13_substring_dedup": OP13_SQL}
