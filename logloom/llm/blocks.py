@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 5 << 20
 FILTER_BITS = 1 << 27
 BLANKS = b" \t\n\x0b\x0c\r"
 PRIME = np.uint64(0x9E3779B97F4A7C15)
