@@ -134,11 +134,16 @@ def split_key(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (keys >> (np.uint64(64) - width)).astype(np.int64), ((keys << width) >> np.uint64(32)).astype(np.uint32)
 
 
+def stretches(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where equal values of a sorted list of numbers from 0 on begin and end."""
+    cuts = np.flatnonzero(np.diff(values, prepend=-1)).tolist()
+    return list(zip(cuts, [*cuts[1:], len(values)], strict=True)) if cuts else []
+
+
 def key_blobs(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, blob) of distinct sorted keys and their counts."""
     bucket, rest = split_key(keys, buckets)
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-    for lo, hi in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+    for lo, hi in stretches(bucket):
         yield int(bucket[lo]), packed(np.diff(rest[lo:hi], prepend=np.uint32(0)), np.minimum(counts[lo:hi], 2**32 - 1).astype(np.uint32))
 
 

@@ -142,8 +142,7 @@ def _spans(ids: np.ndarray, rids: np.ndarray, first: np.ndarray, last: np.ndarra
     """Blobs of word ranges [first, last) of documents; they pass through the buckets after the last one."""
     where = buckets + (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(where, kind="stable")
-    cuts = np.flatnonzero(np.diff(where[order], prepend=-1)).tolist()
-    for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+    for lo, hi in blocks.stretches(where[order]):
         own = order[lo:hi]
         yield int(where[own[0]]), packed(ids[own], rids[own], first[own], last[own])
 
@@ -187,8 +186,7 @@ def _super_kmers(may_repeat: KeyFilter, heavy: np.ndarray, buckets: int, width:
             text[inside + for_byte] = words.data[inside]
             view = memoryview(text)
             parts = [view[a:b] for a, b in zip(place[at].tolist(), place[at + n + width - 1].tolist(), strict=True)]
-            cuts = np.flatnonzero(np.diff(where, prepend=-1)).tolist()
-            for lo, hi in zip(cuts, [*cuts[1:], len(where)], strict=True):
+            for lo, hi in blocks.stretches(where):
                 string = np.frombuffer(b"".join(parts[lo:hi]), np.uint8)
                 d = doc[at[lo:hi]]
                 rows.append((int(where[lo]), packed(block.ids[d], block.rids[d], at[lo:hi] - base[lo:hi], n[lo:hi].astype(np.uint8), string)))
