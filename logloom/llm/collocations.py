@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .blocks import PRIME, KeyFilter, bucket_count, byte_set, find_words, mixed, text_blocks
+from .blocks import PRIME, KeyFilter, bucket_count, byte_set, find_words, mixed, packed, text_blocks, unpacked
 from .common import staged
 
 MIN_COUNT, SHARDS, PER_LANG, UNIT, COVER = 10, 4, 2000, 1_000_000, (1, 2)
@@ -55,15 +55,16 @@ class _Phrases:
         self.pairs = np.flatnonzero(joined)
         self.triples = np.flatnonzero(joined[:-1] & joined[1:])
 
+        import xxhash
+
+        self.seeds = np.array([xxhash.xxh64_intdigest(x) for x in self.langs.to_pylist()], np.uint64)
+
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A hash of language and words for every word, pair and triple."""
         if not len(self.codes):
             return (np.empty(0, np.uint64),) * 3
-        import xxhash
-
-        seeds = np.array([xxhash.xxh64_intdigest(x) for x in self.langs.to_pylist()], np.uint64)
         values = self.words.hashes()[self.codes]
-        one = seeds[self.lang] * PRIME + values
+        one = self.seeds[self.lang] * PRIME + values
         two = one[self.pairs] * PRIME + values[self.pairs + 1]
         three = (one[self.triples] * PRIME + values[self.triples + 1]) * PRIME + values[self.triples + 2]
         return mixed(one + np.uint64(1)), mixed(two + np.uint64(2)), mixed(three + np.uint64(3))
@@ -84,16 +85,17 @@ def _shard_blobs(buckets: int):
 COUNTED = "lang string, size int, phrase string, n bigint"
 
 
-def _count_candidates(may_be_frequent: KeyFilter):
-    def tallied(lang: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """First place and number of each distinct (lang, words)."""
-        key = lang
-        for column in columns:
-            # Dense numbers of the tuples so far: exact, and the next product stays small.
-            key = np.unique(key * (column.max() + 1) + column, return_inverse=True)[1] if len(column) else key
-        _, first, n = np.unique(key, return_index=True, return_counts=True)
-        return first, n
+def _tallied(lang: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First place and number of each distinct (lang, words)."""
+    key = lang
+    for column in columns:
+        # Dense numbers of the tuples so far: exact, and the next product stays small.
+        key = np.unique(key * (column.max() + 1) + column, return_inverse=True)[1] if len(column) else key
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    return first, n
 
+
+def _count_candidates(may_be_frequent: KeyFilter, buckets: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches):
             block = _Phrases(batch)
@@ -102,26 +104,52 @@ def _count_candidates(may_be_frequent: KeyFilter):
             pair_at = np.zeros(len(block.codes) + 1, bool)
             pair_at[block.pairs[hits]] = True
             # All words of a candidate are frequent, and so are its pairs.
-            near = pair_at[block.triples] & pair_at[block.triples + 1]
-            triples = block.triples[near]
-            starts = [np.flatnonzero(may_be_frequent.may_hold(one)), block.pairs[hits], triples[may_be_frequent.may_hold(three[near])]]
-            parts = []
-            names = block.words.names
-            for size, at in enumerate(starts, 1):
-                first, n = tallied(block.lang[at], [block.codes[at + k] for k in range(size)])
+            near = np.flatnonzero(pair_at[block.triples] & pair_at[block.triples + 1])
+            near = near[may_be_frequent.may_hold(three[near])]
+            words = np.flatnonzero(may_be_frequent.may_hold(one))
+            names, parts = block.words.names, []
+            for size, at, key in ((1, words, one[words]), (2, block.pairs[hits], two[hits]), (3, block.triples[near], three[near])):
+                first, n = _tallied(block.lang[at], [block.codes[at + k] for k in range(size)])
                 at = at[first]
                 texts = [names.take(pa.array(block.codes[at + k])) for k in range(size)]
                 phrase = texts[0] if size == 1 else pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string()))
-                parts.append((block.lang[at], np.full(len(at), size), phrase, n))
+                parts.append((block.lang[at], np.full(len(at), size), phrase, n, key[first]))
             # How many words each language has.
             n = np.bincount(block.lang, minlength=len(block.langs))
-            parts.append((np.arange(len(n)), np.zeros(len(n), np.int64), pa.array([""] * len(n), pa.large_string()), n))
-            for lang, size, phrase, n in parts:
-                yield pa.record_batch([block.langs.take(pa.array(lang)).cast(pa.string()), pa.array(size, pa.int32()), phrase.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "size", "phrase", "n"])
+            parts.append((np.arange(len(n)), np.zeros(len(n), np.int64), pa.array([""] * len(n), pa.large_string()), n, block.seeds))
+            lang, size, n, key = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4))
+            where = blocks.split_key(key, buckets)[0]
+            order = np.argsort(where, kind="stable")
+            lang, size, n, where = lang[order].astype(np.uint32), size[order].astype(np.uint8), n[order].astype(np.uint32), where[order]
+            ends, text = blocks.utf8(pa.concat_arrays([p[2] for p in parts]).take(pa.array(order)))
+            rows = []
+            for lo, hi in blocks.stretches(where):
+                rows.append((int(where[lo]), packed(lang[lo:hi], size[lo:hi], n[lo:hi], np.diff(ends[lo : hi + 1]).astype(np.uint32), text[ends[lo] : ends[hi]])))
+            langs = block.langs.to_pylist()
+            yield pa.record_batch(
+                [pa.array([b for b, _ in rows], pa.int64()), pa.array([langs] * len(rows), pa.list_(pa.string())), pa.array([x for _, x in rows], pa.binary())],
+                ["bucket", "langs", "blob"],
+            )
 
     return count
 
 
+def _sum_bucket(min_count: int):
+    def total(rows: pa.Table) -> pa.Table:
+        tables = []
+        for langs, blob in zip(rows.column("langs").to_pylist(), rows.column("blob").to_pylist(), strict=True):
+            lang, size, n, lengths, text = unpacked(blob, np.uint32, np.uint8, np.uint32, np.uint32, np.uint8)
+            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            phrase = pa.LargeStringArray.from_buffers(len(lang), pa.py_buffer(ends), pa.py_buffer(text))
+            named = pa.array(langs, pa.string()).take(pa.array(lang))
+            tables.append(pa.table({"lang": named, "size": pa.array(size, pa.int32()), "phrase": phrase, "n": pa.array(n, pa.int64())}))
+        out = pa.concat_tables(tables).group_by(["lang", "size", "phrase"]).aggregate([("n", "sum")])
+        out = out.filter(pc.or_(pc.greater_equal(out["n_sum"], min_count), pc.equal(out["size"], 0)))
+        return pa.table({"lang": out["lang"], "size": out["size"], "phrase": out["phrase"].cast(pa.string()), "n": out["n_sum"]})
+
+    return total
+
+
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHARDS) -> DataFrame:
     """lang, size, phrase, n of all phrases of 1 to 3 words that occur ``min_count`` times; size 0: all words of the language."""
     buckets = bucket_count(docs.sparkSession)
@@ -129,10 +157,9 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
     sharded = rows.withColumn("shard", (F.spark_partition_id() % shards).cast("int"))
     found = sharded.mapInArrow(_shard_blobs(buckets), "bucket bigint, shard int, blob binary")
     union, _ = blocks.frequent_keys(found, -(-min_count // shards), buckets)
-    counted = rows.mapInArrow(_count_candidates(union), COUNTED)
     # Whatever the words in between, a phrase is its words one blank apart: they hold none themselves.
-    total = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return total.where((F.col("n") >= min_count) | (F.col("size") == 0))
+    counted = rows.mapInArrow(_count_candidates(union, buckets), "bucket bigint, langs array<string>, blob binary")
+    return counted.groupBy("bucket").applyInArrow(_sum_bucket(min_count), COUNTED)
 
 
 def _times(*factors: Column) -> Column:
