@@ -12,11 +12,14 @@ from ..functions import fields
 from ..functions.draws import Draws
 from ..session import cut_lineage, require_utc
 from .control import Control
+from .scan import Scan
 from .states import error_fraction, progress_percent, rate_description, rates_at, remaining_ms, state_intervals
 
 # Sizes up to which the state table is inlined as literals or broadcast.
 LITERAL_ROWS = 48
 BROADCAST_ROWS = 200_000
+# Blocks that the clock of the longest scenario is cut into where rows and intervals are merged.
+TIME_BLOCKS = 1024
 
 STATE_COLUMNS = [
     "lo_ms", "hi_ms", "total_ms", "seg_lo", "start_lps", "end_lps", "start_bps", "end_bps", "ramp_ms", "base_error",
@@ -35,12 +38,14 @@ def elapsed_ms(ts: Column | str, origin: Column | str) -> Column:
 class States:
     """State intervals plus the size checks that choose how rows find theirs.
 
-    Few intervals of one scenario become literals (no join, no exchange).
-    Otherwise a row searches the interval starts of its scenario, which are
-    broadcast, and joins the one interval found: broadcast up to
-    ``BROADCAST_ROWS`` intervals and their bytes, by one shuffle of the rows on
-    (scenario, group) beyond, where AQE splits skewed row partitions.  However
-    the intervals lie on the clock, a row meets one candidate.
+    Few intervals of one scenario become literals (no join, no exchange).  Up to
+    ``BROADCAST_ROWS`` intervals and their bytes are broadcast: a row searches
+    the interval starts of its scenario and joins the one interval found.
+    Beyond, rows and interval starts are merged in time order: both are cut into
+    blocks of (scenario, time), sorted there, and the last start before a row is
+    carried along, inside a block and from block to block.  No row carries more
+    than its own state, and a hot scenario is cut by time.  However the intervals
+    lie on the clock, a row meets one of them.
     """
 
     def __init__(self, intervals: DataFrame, literal_rows: int = LITERAL_ROWS, broadcast_rows: int = BROADCAST_ROWS):
@@ -50,7 +55,7 @@ class States:
         head = intervals.limit(literal_rows + 1).collect()
         if len(head) <= literal_rows and len({r["scenario_id"] for r in head}) == 1:
             self.literals = sorted(head, key=lambda r: r["lo_ms"])
-        self._groups = None
+        self._small: bool | None = None
 
     @classmethod
     def of(cls, control: Control, seed: int = 0, digest: str = "xxhash64", describe: bool = False, **kw) -> "States":
@@ -85,54 +90,63 @@ class States:
         cells = {c: cell(c) for c in self.columns}
         return inside.withColumns(cells).drop("_i")
 
-    # -- join form ---------------------------------------------------------------------------
-    def _grouped(self) -> tuple[DataFrame, DataFrame, int, int, bool]:
-        """Intervals in groups of consecutive ranks, the group starts per scenario, and the sizes of both.
-
-        Groups have one interval each while ``broadcast_rows`` intervals suffice, and otherwise as
-        many as keep the group starts within that number.
-        """
-        if self._groups is None:
+    # -- broadcast form ----------------------------------------------------------------------
+    def _fits(self) -> bool:
+        """Whether all intervals may be broadcast: their number, and their text where they hold some."""
+        if self._small is None:
             text = F.sum(F.octet_length("active_spikes")) if "active_spikes" in self.intervals.columns else F.lit(0)
-            size = self.intervals.agg(F.count("*").alias("n"), F.coalesce(text, F.lit(0)).alias("bytes")).first()
-            per = max(1, -(-size["n"] // self.broadcast_rows))
+            size = self.intervals.agg(F.count("*").alias("n"), F.coalesce(text, F.lit(0)).alias("bytes"), F.max("total_ms").alias("longest")).first()
             # A fixed-width interval takes about 200 bytes; text is counted.
-            small = per == 1 and size["bytes"] <= 200 * self.broadcast_rows
-            group = F.expr(f"(rank - 1) div {per}").alias("group")
-            entry = F.struct("lo_ms", *[c for c in self.columns if c != "lo_ms"])
-            groups = self.intervals.groupBy("scenario_id", group).agg(F.sort_array(F.collect_list(entry)).alias("items"))
-            groups = groups.withColumn("los", F.transform("items", lambda i: i["lo_ms"]))
-            starts = F.transform(F.sort_array(F.collect_list(F.struct("group", F.col("los")[0].alias("lo")))), lambda g: g["lo"])
-            if not small:
-                groups = cut_lineage(groups)  # plain shuffles on both sides of the join: AQE can split a hot group
-            clock = groups.groupBy("scenario_id").agg(starts.alias("starts"))
-            head = clock.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("starts")), F.lit(1)).alias("most")).first()
-            self._groups = groups, clock, per, head["most"], small, head["n"] <= self.broadcast_rows
-        return self._groups
+            self._small = size["n"] <= self.broadcast_rows and size["bytes"] <= 200 * self.broadcast_rows
+            self._longest = size["longest"] or 0
+            if self._small:
+                most = self.intervals.groupBy("scenario_id").count().agg(F.max("count")).first()
+                self._most = most[0] or 1
+        return self._small
 
     def _search_join(self, df: DataFrame, scenario: Column) -> DataFrame:
         """Each row finds its one interval: a binary search in the starts of its scenario, then an equi-join."""
-        groups, clock, per, most, small, few = self._grouped()
-        side = lambda x, fits: F.broadcast(x) if fits else x
         rows = df.withColumn("_sid", scenario.cast("string"))
-        clock = clock.withColumnRenamed("scenario_id", "_sid")
-        rows = _search(rows.join(side(clock, few), "_sid"), "group", F.col("starts"), most).drop("starts")
-        groups = groups.withColumnRenamed("scenario_id", "_sid")
-        rows = rows.join(side(groups, small), ["_sid", "group"]).drop("group", "_sid")
-        rows = _search(rows, "_item", F.col("los"), per).drop("los").withColumn("_item", F.get("items", F.col("_item").cast("int"))).drop("items")
+        intervals = self.intervals.withColumnRenamed("scenario_id", "_sid")
+        starts = F.transform(F.sort_array(F.collect_list(F.struct("rank", "lo_ms"))), lambda g: g["lo_ms"])
+        rows = rows.join(F.broadcast(intervals.groupBy("_sid").agg(starts.alias("_starts"))), "_sid")
+        rows = _search(rows, "_place", F.col("_starts"), self._most).drop("_starts")
+        entry = intervals.select("_sid", (F.col("rank") - 1).alias("_place"), F.struct(*self.columns).alias("_item"))
+        rows = rows.join(F.broadcast(entry), ["_sid", "_place"]).drop("_sid", "_place")
+        return self._inside(rows)
+
+    # -- merge form --------------------------------------------------------------------------
+    def _merge_join(self, df: DataFrame, scenario: Column) -> DataFrame:
+        """Each row takes the state of the last interval start that is not after it."""
+        none = lambda like: F.lit(None).cast(like.schema[0].dataType)
+        starts = self.intervals.select(F.struct(*self.columns).alias("_item"), "scenario_id", "lo_ms")
+        rows = df.select(F.struct(*df.columns).alias("_row"), scenario.cast("string").alias("_sid"))
+        # A start sorts before the rows of its own millisecond.
+        at = (F.col("_row.t_ms") * 2 + 1).cast("bigint").alias("_at")
+        both = rows.where(F.col("_row.t_ms").between(0, F.lit(self._longest))).select("_sid", at, "_row", none(starts).alias("_item"))
+        both = both.unionAll(starts.select(F.col("scenario_id").alias("_sid"), (F.col("lo_ms") * 2).cast("bigint").alias("_at"), none(rows).alias("_row"), "_item"))
+        span = max(1, 2 * self._longest // TIME_BLOCKS)
+        merged = Scan(["_sid"], "_at", span).apply(both, running={"_held": ("last", F.col("_item"))})
+        merged = merged.where(F.col("_row").isNotNull() & F.col("_held").isNotNull())
+        return self._inside(merged.select("_row.*", F.col("_held").alias("_item")))
+
+    def _inside(self, rows: DataFrame) -> DataFrame:
         out = rows.withColumns({c: F.col("_item")[c] for c in self.columns}).drop("_item")
         return out.filter((F.col("t_ms") >= F.col("lo_ms")) & (F.col("t_ms") < F.col("hi_ms")))
 
+    def _join(self, df: DataFrame, scenario: Column) -> DataFrame:
+        return self._search_join(df, scenario) if self._fits() else self._merge_join(df, scenario)
+
     def attach(self, df: DataFrame, ts_col: str, origin: Column | str, scenario_col: str | None = None) -> DataFrame:
         rows = df.withColumn("t_ms", elapsed_ms(ts_col, origin))
         if self.literals is not None and scenario_col is None:
             return self._literal_join(rows)
         if scenario_col is not None:
-            return self._search_join(rows, F.col(scenario_col))
+            return self._join(rows, F.col(scenario_col))
         ids = self.intervals.select("scenario_id").distinct().limit(2).collect()
         if len(ids) > 1:
             raise ValueError("several scenarios: name the column that holds each row's scenario id")
-        return self._search_join(rows, F.lit(ids[0]["scenario_id"] if ids else None))
+        return self._join(rows, F.lit(ids[0]["scenario_id"] if ids else None))
 
 
 def _search(df: DataFrame, name: str, starts: Column, most: int) -> DataFrame:

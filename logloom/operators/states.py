@@ -6,6 +6,10 @@ splits into at most ``2 log2 n`` aligned power-of-two blocks.  Effects are first
 combined per block (partial aggregation), then every interval reads the blocks
 above it, one per level.  Work is ``n log n`` however many spikes overlap; no
 spike-by-interval pairs are formed.
+
+Where no scenario expands to more than ``ARRAY_ROWS`` control rows, a scenario's
+segments and spikes are two short arrays, and its intervals come out of one
+expression over them: one pass, no checkpoint, the same rows.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ from .timeline import STATE, lerp, ramp_progress, timeline_segments
 # Blocks of this level and above are read by many intervals; spread them over salts.
 SALT_LEVEL, SALTS = 10, 64
 
+# Control rows of a scenario up to which its script is handled as arrays.
+ARRAY_ROWS = 256
+
 EFFECT = ["n_active", "spike_error", "latency_multiplier", "unusual"]
 
 
@@ -150,25 +157,42 @@ def _spike_blocks(spikes: DataFrame, cuts: DataFrame) -> DataFrame:
     return ranked.select(*INSTANCE_KEYS, "type", "start_ms", "error", "latency", cover)
 
 
-def state_intervals(
-    control: Control,
-    seed: int = 0,
-    digest: str = "xxhash64",
-    bound: Bound | None = None,
-    describe: bool = False,
-    instances: DataFrame | None = None,
-) -> DataFrame:
-    """One row per atomic interval ``[lo_ms, hi_ms)`` with rate parameters and combined effect.
+def _array_intervals(segments: DataFrame, spikes: DataFrame, meta: DataFrame, describe: bool) -> DataFrame:
+    """The intervals of scenarios with short scripts, from one array of segments and one of spikes each."""
+    scripts = segments.groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.struct("lo_ms", *STATE))).alias("segs"))
+    fields = ["start_ms", "spike_idx", "rep", "from_ms", "to_ms", "error", "latency", "type"]
+    waves = spikes.groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("waves"))
+    rows = meta.select("scenario_id", "total_ms").join(scripts, "scenario_id").join(waves, "scenario_id", "left")
+    rows = rows.withColumn("waves", F.coalesce("waves", F.array().cast(waves.schema["waves"].dataType)))
+    marks = F.concat(F.transform("segs", lambda s: s["lo_ms"]), F.array("total_ms"), F.transform("waves", lambda w: w["from_ms"]), F.transform("waves", lambda w: w["to_ms"]))
+    rows = rows.withColumn("marks", F.array_sort(F.array_distinct(marks)))
+
+    def interval(ms: Column, i: Column) -> Column:
+        active = F.filter("waves", lambda w: (w["from_ms"] <= ms) & (ms < w["to_ms"]))
+        most = lambda kinds, field: F.array_max(F.transform(F.filter(active, lambda w: w["type"].isin(*kinds)), lambda w: w[field]))
+        return F.struct(
+            (i + 1).cast("bigint").alias("rank"),
+            ms.alias("ms"),
+            F.get("marks", i + 1).alias("hi_ms"),
+            F.element_at(F.filter("segs", lambda s: s["lo_ms"] <= ms), -1).alias("segment"),
+            F.size(active).alias("n"),
+            most(("error_burst", "mixed"), "error").alias("e"),
+            most(("latency_spike", "mixed"), "latency").alias("l"),
+            F.exists(active, lambda w: w["type"] == "unusual_patterns").cast("int").alias("u"),
+            *([F.array_join(F.transform(active, lambda w: display_type(w["type"])), ", ").alias("active_spikes")] if describe else []),
+        )
 
-    ``describe=True`` also lists the active spikes by display name in trigger
-    order; that output grows with the number of simultaneous spikes.
-    """
-    bound = bound or control_bound(control)
-    segments = timeline_segments(control, bound)
-    instances = expand_spikes(control.spikes, seed, digest) if instances is None else instances
-    spikes = _clip(instances, control.meta)
+    out = rows.select("scenario_id", "total_ms", F.inline(F.transform(F.slice("marks", F.lit(1), F.size("marks") - 1), interval)))
+    if describe:
+        out = out.withColumn("active_spikes", F.when(F.col("n") == 0, F.lit("none")).otherwise(F.col("active_spikes")))
+    state = [F.col(f"segment.{c}").alias(c) for c in STATE]
+    return out.select("scenario_id", "total_ms", "rank", "ms", "hi_ms", F.col("segment.lo_ms").alias("seg_lo"), *state, "n", "e", "l", "u", *(["active_spikes"] if describe else []))
+
+
+def _block_intervals(segments: DataFrame, spikes: DataFrame, meta: DataFrame, bound: Bound, describe: bool) -> DataFrame:
+    """The intervals of scripts of any length, with effects combined per block."""
     # Four readers follow; at scale they should not each replay the timeline.
-    cuts = cut_lineage(cut_intervals(segments, spikes, control.meta, bound))
+    cuts = cut_lineage(cut_intervals(segments, spikes, meta, bound))
     blocks = _spike_blocks(spikes, cuts)
     errors, latencies = F.col("type").isin("error_burst", "mixed"), F.col("type").isin("latency_spike", "mixed")
     effects = blocks.groupBy("scenario_id", "level", "block").agg(
@@ -179,13 +203,12 @@ def state_intervals(
     )
     probes = _ancestors(cuts, bound.levels)
     on = ["scenario_id", "level", "block", "salt"]
-    zero = F.lit(0.0).cast("float")
     effect = (
         probes.join(_salted_blocks(effects), on)
         .groupBy("scenario_id", "rank")
         .agg(F.sum("n").alias("n"), F.max("e").alias("e"), F.max("l").alias("l"), F.max("u").alias("u"))
     )
-    out = cuts.filter(F.col("hi_ms").isNotNull()).join(control.meta.select("scenario_id", "total_ms"), "scenario_id")
+    out = cuts.filter(F.col("hi_ms").isNotNull()).join(meta.select("scenario_id", "total_ms"), "scenario_id")
     out = out.join(effect, ["scenario_id", "rank"], "left")
     if describe:
         names = (
@@ -197,7 +220,33 @@ def state_intervals(
         out = out.join(names, ["scenario_id", "rank"], "left").withColumn(
             "active_spikes", F.coalesce("active_spikes", F.lit("none"))
         )
+    return out
+
+
+def state_intervals(
+    control: Control,
+    seed: int = 0,
+    digest: str = "xxhash64",
+    bound: Bound | None = None,
+    describe: bool = False,
+    instances: DataFrame | None = None,
+    array_rows: int = ARRAY_ROWS,
+) -> DataFrame:
+    """One row per atomic interval ``[lo_ms, hi_ms)`` with rate parameters and combined effect.
+
+    ``describe=True`` also lists the active spikes by display name in trigger
+    order; that output grows with the number of simultaneous spikes.
+    """
+    bound = bound or control_bound(control)
+    segments = timeline_segments(control, bound)
+    instances = expand_spikes(control.spikes, seed, digest) if instances is None else instances
+    spikes = _clip(instances, control.meta)
+    if bound.rows <= array_rows:
+        out = _array_intervals(segments, spikes, control.meta, describe)
+    else:
+        out = _block_intervals(segments, spikes, control.meta, bound, describe)
     # Greatest ignores NULL, and the reduction starts from 0, so no effect reads 0.
+    zero = F.lit(0.0).cast("float")
     out = out.withColumns(
         {
             "n_active": F.coalesce("n", F.lit(0)).cast("bigint"),

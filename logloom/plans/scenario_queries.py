@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.durations import duration_ms, duration_ok, est_throughput_mb, rate_lps
 from ..operators import audit, budget
-from ..operators.attach import attach_scenario, inject_anomalies
+from ..operators.attach import States, attach_scenario, inject_anomalies
 from ..operators.spikes import expand_spikes, spike_transitions, trigger_order
 from ..operators.states import controller_fixed_point
 from ..operators.timeline import resolve_presets, timeline_segments
@@ -459,3 +459,11 @@ def r4(spark, d):
     events = out.timeline.select("scenario_id", "rate_name", "lps", "mb")
     rows = out.meta.select("scenario_id", "format").join(events, "scenario_id").join(spikes, "scenario_id", "left")
     return rows.withColumn("n_spikes", F.coalesce("n_spikes", F.lit(0)))
+
+
+# -- S18 beyond the broadcast size ----------------------------------------------------------------
+@query("s18_attach_merge", O.customer(_state_select(O.LINE_KEYS, _STATE_QUERIES["s18_attach"])))
+def s18_merge(spark, d):
+    """The merge of rows and interval starts, whatever their number."""
+    states = States(X.customer_states(spark, d).intervals, literal_rows=0, broadcast_rows=0)
+    return attach_scenario(X.customer_rows(spark, d), states, "l_shipdate", X.CUSTOMER_ORIGIN, "custkey").select(*X.LINE_KEYS, *_STATE_QUERIES["s18_attach"])

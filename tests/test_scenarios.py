@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions.durations import duration_ms, duration_ok, rate_lps
-from logloom.operators.attach import States, attach_scenario
+from logloom.operators.attach import STATE_COLUMNS, States, attach_scenario
 from logloom.operators.control import META_SCHEMA, SPIKES_SCHEMA, TIMELINE_SCHEMA, Bound, Control, control_bound
 from logloom.operators.scan import Scan
 from logloom.operators.spikes import expand_spikes, repeat_numbers, trigger_order
@@ -129,14 +129,14 @@ def test_cover_blocks_tile_the_range(spark):
         assert len(r["c"]) <= 2 * max(1, (r["b"] - r["id"]).bit_length())
 
 
-@pytest.mark.parametrize("bound", [None, Bound(rows=3_000, span_rows=64)])
-def test_states_match_brute_force(spark, bound):
+@pytest.mark.parametrize("bound,array_rows", [(None, 0), (None, 10_000), (Bound(rows=3_000, span_rows=64), 256)])
+def test_states_match_brute_force(spark, bound, array_rows):
     control = random_control(spark, 11, scenarios=3)
     spikes = {}
     for r in expand_spikes(control.spikes, 5).collect():
         spikes.setdefault(r["scenario_id"], []).append(r.asDict())
     rows = {}
-    for r in state_intervals(control, 5, bound=bound).collect():
+    for r in state_intervals(control, 5, bound=bound, array_rows=array_rows).collect():
         rows.setdefault(r["scenario_id"], []).append(r)
     assert len(rows) == 3
     for sid, intervals in rows.items():
@@ -151,6 +151,26 @@ def test_states_match_brute_force(spark, bound):
                 assert got == (n, error, latency, unusual)
 
 
+def test_array_and_block_forms_describe_the_same_spikes(spark):
+    control = random_control(spark, 21, scenarios=2, events=6, spikes=8)
+    forms = [sorted(map(tuple, state_intervals(control, 3, describe=True, array_rows=n).collect()), key=str) for n in (0, 10_000)]
+    assert forms[0] == forms[1] and any("," in r[-1] for r in forms[0])
+
+
+def test_merged_rows_carry_one_state(spark):
+    """No row of the merge holds more than its own state, and a hot scenario is cut by time."""
+    cuts = range(0, 3_000_000, 100)
+    intervals = spark.createDataFrame([("hot", i + 1, lo, lo + 100, 3_000_000, i) for i, lo in enumerate(cuts)], "scenario_id string, rank bigint, lo_ms bigint, hi_ms bigint, total_ms bigint, n_active bigint")
+    kinds = {"unusual": "boolean", **{c: "bigint" for c in ("seg_lo", "start_lps", "end_lps", "start_bps", "end_bps", "ramp_ms")}}
+    intervals = intervals.withColumns({c: F.lit(None).cast(kinds.get(c, "float")) for c in STATE_COLUMNS if c not in intervals.columns})
+    rows = spark.range(20_000).selectExpr("id", "'hot' AS sid", "timestamp_millis(id * 157 - 90) AS ts")
+    got = States(intervals, literal_rows=0, broadcast_rows=100).attach(rows, "ts", "1970-01-01 00:00:00", "sid")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Broadcast" not in plan and "Window" in plan
+    times = [(i, i * 157 - 90) for i in range(20_000)]
+    assert sorted((r.id, r.n_active) for r in got.select("id", "n_active").collect()) == [(i, t // 100) for i, t in times if 0 <= t < 3_000_000]
+
+
 def test_three_lookup_forms_agree(spark):
     control = random_control(spark, 2, scenarios=1, events=4, spikes=6)
     intervals = state_intervals(control, 1)
