@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.draws import slot_counts
+from .scan import Scan
 from .spikes import repeat_numbers
 
 
@@ -24,11 +25,39 @@ def ground_truth(attached: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def truth_buckets(attached: DataFrame, bucket_ms: int, by: Sequence[str] = ()) -> DataFrame:
-    """Labels per time bucket: rows and how many fall into an active spike."""
-    return attached.groupBy(*by, F.floor(F.col("t_ms") / F.lit(bucket_ms)).alias("bucket")).agg(
-        F.count("*").alias("n_rows"), F.sum(F.col("spike_active").cast("bigint")).alias("n_anomalous")
-    )
+def truth_buckets(instances: DataFrame, meta: DataFrame, bucket_ms: int, span: int = 1 << 16) -> DataFrame:
+    """Labels of every bucket of every clock, also of those without rows (G1).
+
+    Per (scenario_id, bucket): ``started`` spikes, ``spike_ms`` (active time, overlapping spikes each),
+    ``anomalous_ms`` (time with any active spike) and ``is_anomaly`` (more than half of the bucket).
+    Spikes enter as their two edges.  Running sums of the edges' signs and times, in blocks of ``span``
+    buckets, give the active time up to the end of each bucket; no spike is spread over its buckets.
+    """
+    clipped = instances.join(meta.select("scenario_id", "total_ms"), "scenario_id")
+    clipped = clipped.withColumns({"_from": F.greatest("start_ms", F.lit(0)), "_to": F.least("end_ms", "total_ms")}).where("_from < _to")
+    edge = lambda at, sign: F.struct(F.col(at).alias("ms"), F.lit(sign).cast("bigint").alias("sign"))
+    edges = clipped.select("scenario_id", F.inline(F.array(edge("_from", 1), edge("_to", -1))))
+    edges = edges.groupBy("scenario_id", "ms").agg(F.sum("sign").alias("sign"), F.sum((F.col("sign") > 0).cast("bigint")).alias("started"))
+    edges = Scan(["scenario_id"], "ms", span * bucket_ms).apply(edges, running={"_on": ("sum", F.col("sign"))}, previous={"_was": ("sum", F.col("sign"))})
+    # Where any spike begins to be active, or none is any more.
+    any_sign = (F.col("_on") > 0).cast("bigint") - (F.coalesce("_was", F.lit(0)) > 0).cast("bigint")
+    bucket = F.floor(F.col("ms") / F.lit(bucket_ms)).alias("bucket")
+    sums = {"sign": F.col("sign"), "moment": F.col("sign") * F.col("ms"), "any": any_sign, "any_moment": any_sign * F.col("ms"), "started": F.col("started")}
+    parts = edges.groupBy("scenario_id", bucket).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    every = repeat_numbers(meta.select("scenario_id", "total_ms"), F.ceil(F.col("total_ms") / F.lit(bucket_ms)), "bucket", spread_by=["scenario_id"])
+    cells = every.join(parts, ["scenario_id", "bucket"], "left").na.fill(0, list(sums))
+    cells = Scan(["scenario_id"], "bucket", span).apply(cells, running={f"_{n}": ("sum", F.col(n)) for n in sums if n != "started"})
+    end = F.least((F.col("bucket") + 1) * F.lit(bucket_ms), "total_ms")
+    # Up to a time t the active time is the sum of sign * (t - edge); the part before the bucket is taken off.
+    begin = F.col("bucket") * F.lit(bucket_ms)
+
+    def within(sign: str, moment: str) -> Column:
+        upto = F.col(f"_{sign}") * end - F.col(f"_{moment}")
+        earlier = (F.col(f"_{sign}") - F.col(sign)) * begin - (F.col(f"_{moment}") - F.col(moment))
+        return (upto - earlier).cast("bigint")
+
+    out = cells.withColumns({"spike_ms": within("sign", "moment"), "anomalous_ms": within("any", "any_moment")})
+    return out.select("scenario_id", "bucket", "started", "spike_ms", "anomalous_ms", (F.col("anomalous_ms") * 2 > end - begin).alias("is_anomaly"))
 
 
 def score_alerts(alerts: DataFrame, truth: DataFrame) -> DataFrame:
@@ -52,19 +81,23 @@ def score_alerts(alerts: DataFrame, truth: DataFrame) -> DataFrame:
     return out.withColumns({"precision": share("tp", "fp"), "recall": share("tp", "fn")})
 
 
-def detection_delay(alerts: DataFrame, instances: DataFrame, bucket_ms: int) -> DataFrame:
+def detection_delay(alerts: DataFrame, instances: DataFrame, bucket_ms: int, span: int = 1 << 16) -> DataFrame:
     """First alert inside each spike instance and its delay; NULL when missed.
 
-    ``alerts`` has one row per alerting ``(scenario_id, bucket)``.  A spike is
-    spread over the buckets it touches and joined on equality, so the work is
-    the total spike time in buckets.
+    ``alerts`` has one row per alerting ``(scenario_id, bucket)``.  Alerts and
+    spike starts are merged in falling time order, and a spike takes the last
+    alert before it in that order: the next one in time.  Whether it still lies
+    in the spike decides.  Work is linear in alerts plus spikes, however long
+    the spikes are; it runs in blocks of ``span`` places of the order.
     """
     b = F.lit(bucket_ms)
     first, last = F.floor(F.col("start_ms") / b), F.floor((F.col("end_ms") - 1) / b)
     keys = ["scenario_id", "spike_idx", "rep"]
-    touched = repeat_numbers(instances.filter("end_ms > start_ms"), last - first + 1, "_k").withColumn("bucket", first + F.col("_k"))
-    hits = touched.join(alerts.select("scenario_id", "bucket").withColumn("hit", F.lit(True)), ["scenario_id", "bucket"], "left")
-    found = hits.groupBy(*keys, "type", "start_ms").agg(F.min(F.when(F.col("hit"), F.col("bucket"))).alias("first_bucket"))
+    # Falling order; an alert comes before the spikes that start in its bucket.
+    spikes = instances.filter("end_ms > start_ms").select("scenario_id", (1 - first * 2).alias("_at"), F.struct(*keys, "type", "start_ms", last.alias("last")).alias("_spike"), F.lit(None).cast("bigint").alias("_alert"))
+    marks = alerts.select("scenario_id", (F.col("bucket") * -2).cast("bigint").alias("_at"), F.lit(None).cast(spikes.schema["_spike"].dataType).alias("_spike"), F.col("bucket").cast("bigint").alias("_alert"))
+    met = Scan(["scenario_id"], "_at", span).apply(spikes.unionAll(marks), running={"_next": ("last", F.col("_alert"))})
+    found = met.where(F.col("_spike").isNotNull()).select("_spike.*", F.when(F.col("_next") <= F.col("_spike.last"), F.col("_next")).alias("first_bucket")).drop("last")
     return found.withColumns(
         {
             "detected": F.col("first_bucket").isNotNull(),

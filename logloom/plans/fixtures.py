@@ -43,6 +43,10 @@ MONTH_SPIKES = [
 CUSTOMER_ORIGIN = "1995-01-01 00:00:00"
 CUSTOMER_TOTAL = 1096 * DAY
 
+# The customers' scripts on a short clock: a day takes 20 ms, the three years 22 s.
+SHORT_DAY = 20
+SHORT_TOTAL = 1096 * SHORT_DAY
+
 EVENT_KEYS = ["event_id"]
 LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
@@ -112,6 +116,22 @@ def customer_control(spark: SparkSession, sf_dir: str) -> Control:
     return Control(meta, timeline, spikes)
 
 
+def short_control(spark: SparkSession, sf_dir: str) -> Control:
+    """The customers' scripts on the short clock, with small rates of their own, so that every planned row can be made."""
+    control = customer_control(spark, sf_dir)
+    short = lambda c: F.floor(F.col(c) / F.lit(DAY)) * F.lit(SHORT_DAY)
+    key = F.col("scenario_id").cast("bigint")
+    rate = lambda name, mb, lps: F.struct(F.lit(name).alias("rate_name"), mb.cast("int").alias("mb"), lps.cast("bigint").alias("lps"))
+    rates = control.meta.select("scenario_id", F.inline(F.array(
+        rate("low", F.lit(1), 1 + key % 3), rate("full", F.lit(3), 5 + key % 4), rate("high", 1 + key % 2, F.lit(4)), rate("medium", F.lit(2), F.lit(2)),
+    )))
+    return control.with_(
+        meta=control.meta.withColumn("total_ms", F.lit(SHORT_TOTAL).cast("bigint")),
+        timeline=control.timeline.withColumns({"at_ms": short("at_ms").cast("bigint"), "ramp_ms": short("ramp_ms").cast("bigint")}),
+        rates=rates,
+    )
+
+
 def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their customer: the rows that customer scenarios apply to."""
     lines = table(spark, sf_dir, "lineitem").select(*LINE_KEYS, "l_shipdate")

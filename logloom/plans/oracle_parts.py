@@ -185,6 +185,20 @@ CUSTOMER_CONTROL = f"""
         FROM o WHERE o_orderkey % 3 = 0)"""
 
 
+# The same scripts on a short clock, a day in SHORT_DAY milliseconds, with small rates of the customers' own.
+SHORT_CONTROL = (
+    CUSTOMER_CONTROL.replace(f"SELECT DISTINCT sid, {X.CUSTOMER_TOTAL} AS total", f"SELECT DISTINCT sid, {X.SHORT_TOTAL} AS total")
+    .replace("SELECT sid, o_orderkey AS idx, at_ms,", f"SELECT sid, o_orderkey AS idx, at_ms // {X.DAY} * {X.SHORT_DAY} AS at_ms,")
+    .replace(f"WHEN '3' THEN {30 * X.DAY} END AS ramp", f"WHEN '3' THEN {30 * X.SHORT_DAY} END AS ramp")
+)
+
+
+def short_preset(name: str, what: str) -> str:
+    c = "sid::BIGINT"
+    rates = {"lps": (f"1 + {c} % 3", f"5 + {c} % 4", "4", "2"), "mb": ("1", "3", f"1 + {c} % 2", "2")}[what]
+    return f"CASE {name} WHEN 'low' THEN {rates[0]} WHEN 'full' THEN {rates[1]} WHEN 'high' THEN {rates[2]} ELSE {rates[3]} END"
+
+
 def secs(ms: str) -> str:
     return f"(({ms}) // 1000 + (({ms}) % 1000 * 1000000)::DOUBLE / 1e9)"
 
@@ -203,17 +217,17 @@ def _preset(name: str, what: str) -> str:
     return "CASE " + name + " " + " ".join(f"WHEN '{n}' THEN {v}" for n, v in table.items()) + f" ELSE {table['medium']} END"
 
 
-def walk_ctes(control: str) -> str:
-    """Segments by walking the events of each scenario one by one (needs WITH RECURSIVE)."""
+def walk_ctes(control: str, preset=_preset) -> str:
+    """Segments by walking the events of each scenario one by one (needs WITH RECURSIVE); ``preset`` gives a name's rate."""
     cur = lambda a, b: f"CASE WHEN w.eff2 = w.lo AND w.ramp THEN w.{a} ELSE {at(f'w.{a}', f'w.{b}', 'w.lo', 'w.rms', 'w.eff2')} END"
     return f"""{control},
     ev AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY idx) AS n, at_ms, coalesce(starts_with(rate, 'ramp_to_'), false) AS is_ramp,
-        CASE WHEN rate IS NULL THEN lps ELSE {_preset("replace(rate, 'ramp_to_', '')", 'lps')} END AS t_lps,
-        (CASE WHEN rate IS NULL THEN mb ELSE {_preset("replace(rate, 'ramp_to_', '')", 'mb')} END) * {MIB} AS t_bps,
+        CASE WHEN rate IS NULL THEN lps ELSE {preset("replace(rate, 'ramp_to_', '')", 'lps')} END AS t_lps,
+        (CASE WHEN rate IS NULL THEN mb ELSE {preset("replace(rate, 'ramp_to_', '')", 'mb')} END) * {MIB} AS t_bps,
         coalesce(ramp, 30000) AS rms, (err / 100::FLOAT)::FLOAT AS err FROM tl),
     walk AS (
-        SELECT sid, 0::BIGINT AS n, 0::BIGINT AS eff, false AS ramp, 0::BIGINT AS lo, 0::BIGINT AS rms, 500000::BIGINT AS xl, 500000::BIGINT AS yl,
-            {100 * MIB}::BIGINT AS xb, {100 * MIB}::BIGINT AS yb, 0.01::FLOAT AS err FROM meta
+        SELECT sid, 0::BIGINT AS n, 0::BIGINT AS eff, false AS ramp, 0::BIGINT AS lo, 0::BIGINT AS rms, ({preset("'low'", 'lps')})::BIGINT AS xl, ({preset("'low'", 'lps')})::BIGINT AS yl,
+            ({preset("'low'", 'mb')})::BIGINT * {MIB} AS xb, ({preset("'low'", 'mb')})::BIGINT * {MIB} AS yb, 0.01::FLOAT AS err FROM meta
         UNION ALL
         SELECT w.sid, e.n, w.eff2, e.is_ramp, w.eff2, CASE WHEN e.is_ramp THEN e.rms ELSE 0 END,
             CASE WHEN e.is_ramp THEN {cur('xl', 'yl')} ELSE e.t_lps END, e.t_lps,

@@ -246,13 +246,11 @@ _register_states()
 
 
 # -- S19, R5, G4: budgets -------------------------------------------------------------------------
-BUCKET = 30 * X.DAY
-THIN = 10_000_000_000_000
+BUCKET = 1_000
 
 
 def customer_budget(spark: SparkSession, d: str) -> DataFrame:
-    segments = timeline_segments(X.customer_control(spark, d))
-    return budget.row_budget(segments, BUCKET, thin=THIN, longest_ms=X.CUSTOMER_TOTAL)
+    return budget.row_budget(timeline_segments(X.short_control(spark, d)), BUCKET, longest_ms=X.SHORT_TOTAL)
 
 
 def _area(a: str, b: str, dt: str) -> str:
@@ -261,13 +259,14 @@ def _area(a: str, b: str, dt: str) -> str:
     return f"({a} * {inside} + {bend} + {b} * ({dt} - {inside}))"
 
 
-_BUDGET = f"""{_SEGMENTS},
+# Each segment is cut by the buckets that it overlaps, and the pieces are summed.
+_BUDGET = f"""WITH RECURSIVE {O.walk_ctes(O.SHORT_CONTROL, O.short_preset)},
     cells AS (SELECT seg.*, unnest(range(lo // {BUCKET}, (hi - 1) // {BUCKET} + 1)) AS bucket FROM seg),
     spans AS (SELECT *, greatest(lo, bucket * {BUCKET}) - lo AS p, least(hi, (bucket + 1) * {BUCKET}) - lo AS q FROM cells),
     per AS (SELECT sid, bucket, sum({_area('xl', 'yl', 'q')} - {_area('xl', 'yl', 'p')})::BIGINT AS log_ms,
-        sum(floor(({_area('xb::HUGEINT', 'yb::HUGEINT', 'q')} - {_area('xb::HUGEINT', 'yb::HUGEINT', 'p')})::DOUBLE / 1000)::BIGINT)::BIGINT AS b FROM spans GROUP BY ALL),
-    cum AS (SELECT *, (sum(log_ms) OVER (PARTITION BY sid ORDER BY bucket))::BIGINT AS c FROM per),
-    budget AS (SELECT sid AS scenario_id, bucket, c // {1000 * THIN} - (c - log_ms) // {1000 * THIN} AS n_rows, b // {THIN} AS n_bytes FROM cum)"""
+        sum({_area('xb', 'yb', 'q')} - {_area('xb', 'yb', 'p')})::BIGINT AS byte_ms FROM spans GROUP BY ALL),
+    cum AS MATERIALIZED (SELECT *, (sum(log_ms) OVER (PARTITION BY sid ORDER BY bucket))::BIGINT AS c, (sum(byte_ms) OVER (PARTITION BY sid ORDER BY bucket))::BIGINT AS b FROM per),
+    budget AS MATERIALIZED (SELECT sid AS scenario_id, bucket, c // 1000 - (c - log_ms) // 1000 AS n_rows, b // 1000 - (b - byte_ms) // 1000 AS n_bytes FROM cum)"""
 
 
 @query("s19_row_budget", f"{_BUDGET} SELECT * FROM budget")
@@ -339,6 +338,25 @@ def g1(spark, d):
     return audit.ground_truth(customer_rows(spark, d), X.LINE_KEYS)
 
 
+TRUTH_BUCKET = 7 * X.DAY
+
+
+@query(
+    "g1_truth_buckets",
+    f"""{_INSTANCES}, c AS (SELECT sid, greatest(s, 0) AS a, least(s + dur, total) AS b FROM inst JOIN meta USING (sid)), ok AS (SELECT * FROM c WHERE a < b),
+    marks AS (SELECT *, max(b) OVER (PARTITION BY sid ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ok),
+    isles AS (SELECT sid, min(a) AS a, max(b) AS b FROM (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isle FROM marks) GROUP BY sid, isle),
+    cells AS (SELECT sid, unnest(range((total + {TRUTH_BUCKET - 1}) // {TRUTH_BUCKET})) AS bucket, total FROM meta),
+    lim AS (SELECT sid, bucket, bucket * {TRUTH_BUCKET} AS lo, least((bucket + 1) * {TRUTH_BUCKET}, total) AS hi FROM cells),
+    each AS (SELECT sid, bucket, sum(least(b, hi) - greatest(a, lo))::BIGINT AS ms, count(*) FILTER (a >= lo) AS started FROM lim JOIN ok USING (sid) WHERE a < hi AND b > lo GROUP BY ALL),
+    any_ AS (SELECT sid, bucket, sum(least(b, hi) - greatest(a, lo))::BIGINT AS ms FROM lim JOIN isles USING (sid) WHERE a < hi AND b > lo GROUP BY ALL)
+    SELECT sid AS scenario_id, bucket, coalesce(started, 0) AS started, coalesce(each.ms, 0) AS spike_ms, coalesce(any_.ms, 0) AS anomalous_ms, 2 * coalesce(any_.ms, 0) > hi - lo AS is_anomaly
+    FROM lim LEFT JOIN each USING (sid, bucket) LEFT JOIN any_ USING (sid, bucket)""",
+)
+def g1_buckets(spark, d):
+    return audit.truth_buckets(instances(spark, d), X.customer_control(spark, d).meta, TRUTH_BUCKET)
+
+
 ALERT_BUCKET = 6 * X.HOUR
 # A six-hour bucket alerts when more than a quarter of its events are errors.
 _ALERTS = f"SELECT t // {ALERT_BUCKET} AS bucket, 4 * count(*) FILTER (event_type = 'error') > count(*) AS alert, 2 * count(*) FILTER (spike_active) > count(*) AS anomalous FROM a GROUP BY 1"
