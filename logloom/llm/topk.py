@@ -8,9 +8,9 @@ score arrays.  Each query then selects its best by partition selection, and the
 candidate blocks are merged.  A task holds one query block and one candidate block.
 
 Defined cases: a null vector, one with a null or non-finite component, and a null id take no part;
-a missing component is 0; a component beyond 31 bits is cut to them; equal scores go to the smaller
-id; a query meets no row of its own id; repeated rows are separate candidates, and a repeated query
-is answered once; an empty table gives an empty result; other columns are not read.
+a missing component is 0; a scaled component or a score beyond 64 bits is an error; equal scores go to
+the smaller id; a query meets no row of its own id; repeated rows are separate candidates, and of a
+repeated query id the smallest vector asks; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ QUERIES, CANDIDATES, STRIP = 2048, 16384, 128
 
 def quantised(vector: Column, scale: int = 256) -> Column:
     """floor(scale x component); null unless every component is a finite number."""
-    cap = float(2**31 - 1)
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    ints = F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-cap), F.least(F.lit(cap), x.cast("double") * scale))).cast("int"))
+    ints = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
+    wide = F.exists(vector, lambda x: F.abs(x.cast("double") * scale) >= 2.0**63)
+    ints = F.when(wide, F.raise_error(F.lit("a scaled component does not fit 64 bits"))).otherwise(ints)
     return F.when(vector.isNotNull() & ~bad, ints)
 
 
@@ -56,6 +57,17 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return scores
 
 
+def scores_of(queries: np.ndarray, candidates: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Scores in 64 bits; where sums could leave them they are made exactly, and one that does is an error (but of a row and itself)."""
+    top = [max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0)))) for x in (queries, candidates)]
+    if top[0] * top[1] * max(1, queries.shape[1]) < 2**63:
+        return accumulate(queries, candidates)
+    exact = np.where(same, 0, queries.astype(object) @ candidates.T.astype(object))
+    if max(abs(int(exact.max())), abs(int(exact.min()))) >= 2**63:
+        raise OverflowError("a score does not fit 64 bits")
+    return exact.astype(np.int64)
+
+
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the k best of each row: higher score, then smaller id; own ids left out."""
     scores = np.where(ids[None, :] == own[:, None], np.iinfo(np.int64).min, scores)
@@ -76,7 +88,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, qu
     # Of equal rows no more than k can ever be among the best: so many copies of one row cannot fill a block.
     ints = ints.groupBy("vec_id", "v", "asks").agg(F.count("*").alias("copies"))
     ints = ints.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k)).cast("int"))))
-    asked = ints.where("asks").dropDuplicates(["vec_id"])
+    asked = ints.where("asks").groupBy("vec_id").agg(F.min("v").alias("v"))
     n = ints.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     cand_blocks, query_blocks = max(1, -(-n["n"] // candidates)), max(1, -(-n["q"] // queries))
     block = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
@@ -91,7 +103,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, qu
             ids, own = cand["vec_id"].to_numpy(np.int64), query["vec_id"].to_numpy(np.int64)
             terms, asks = _dense(cand["v"], width), _dense(query["v"], width)
             for at in range(0, len(own), STRIP):
-                scores = accumulate(asks[at : at + STRIP], terms)
+                scores = scores_of(asks[at : at + STRIP], terms, ids[None, :] == own[at : at + STRIP, None])
                 row, col = best(scores, ids, own[at : at + STRIP], k)
                 out["query_id"] += own[at + row].tolist()
                 out["vec_id"] += ids[col].tolist()
