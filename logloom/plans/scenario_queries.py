@@ -407,8 +407,9 @@ def g2_delay(spark, d):
 def request_texts(spark: SparkSession, d: str) -> DataFrame:
     key, pr = F.col("o_orderkey"), F.col("o_orderpriority")
     url = F.concat(F.lit('{"output":"https://sink.invalid/'), F.col("o_custkey"), F.lit('","duration":"'), key % 50 + 1, F.lit('m"'))
+    inline = '[scenario]\\nname = \\"inline\\"\\ntotal_duration = \\"3m\\"\\n[[timeline]]\\nat = \\"0s\\"\\n'
     text = _text(
-        key % 10,
+        key % 17,
         F.concat(url, F.lit("}")),
         F.concat(url, F.lit(',"format":"json","rate":"high","http_batch_kb":'), key % 64 + 1, F.lit("}")),
         F.concat(url, F.lit(',"format":"syslog","rate":{"throughput_mb":'), key % 40 + 1, F.lit(',"logs_per_sec":'), key, F.lit("}}")),
@@ -419,20 +420,37 @@ def request_texts(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit('{"output":"https://sink.invalid/'), key),
         F.lit('{"duration":"1h"}'),
         F.concat(url, F.lit(',"format":"nginx","rate":"ramp_to_full","threads":4}')),
+        F.concat(url, F.lit(',"rate":'), key, F.lit("}")),
+        F.concat(url, F.lit(',"rate":{"throughput_mb":3}}')),
+        F.concat(url, F.lit(',"http_batch_kb":-'), key, F.lit("}")),
+        F.concat(url, F.lit(',"http_headers":[{"name":"X-A","value":"1"},{"name":"X-B"}]}')),
+        F.lit('{"output":"https://sink.invalid/x","duration":90}'),
+        F.concat(url, F.lit(f',"format":"json","rate":"low","scenario_toml":"{inline}rate = \\"high\\"\\n"}}')),
+        F.concat(url, F.lit(f',"scenario_toml":"{inline}"}}')),
     )
     return X.table(spark, d, "orders").select(key.alias("request_id"), text.alias("json"))
 
 
 _REQUESTS = """t AS (SELECT o_orderkey AS request_id, '{"output":"https://sink.invalid/' || o_custkey || '","duration":"' || (o_orderkey % 50 + 1) || 'm"' AS url, * FROM orders),
-    req AS (SELECT request_id, CASE o_orderkey % 10 WHEN 0 THEN url || '}'
+    req AS (SELECT request_id, CASE o_orderkey % 17 WHEN 0 THEN url || '}'
       WHEN 1 THEN url || ',"format":"json","rate":"high","http_batch_kb":' || (o_orderkey % 64 + 1) || '}'
       WHEN 2 THEN url || ',"format":"syslog","rate":{"throughput_mb":' || (o_orderkey % 40 + 1) || ',"logs_per_sec":' || o_orderkey || '}}'
       WHEN 3 THEN url || ',"http_auth":"Basic ' || o_orderpriority || '","http_headers":[{"name":"X-A","value":"1"},{"name":"X-B","value":"2"}],"http_timeout":5,"http_senders":2}'
       WHEN 4 THEN url || ',"format":"' || o_orderpriority || '"}' WHEN 5 THEN '{"output":"https://sink.invalid/x","duration":"500ms"}'
       WHEN 6 THEN '{"output":"ftp://sink.invalid/' || o_orderkey || '","duration":"1h"}' WHEN 7 THEN '{"output":"https://sink.invalid/' || o_orderkey
-      WHEN 8 THEN '{"duration":"1h"}' ELSE url || ',"format":"nginx","rate":"ramp_to_full","threads":4}' END AS json FROM t),
+      WHEN 8 THEN '{"duration":"1h"}' WHEN 9 THEN url || ',"format":"nginx","rate":"ramp_to_full","threads":4}'
+      WHEN 10 THEN url || ',"rate":' || o_orderkey || '}' WHEN 11 THEN url || ',"rate":{"throughput_mb":3}}' WHEN 12 THEN url || ',"http_batch_kb":-' || o_orderkey || '}'
+      WHEN 13 THEN url || ',"http_headers":[{"name":"X-A","value":"1"},{"name":"X-B"}]}' WHEN 14 THEN '{"output":"https://sink.invalid/x","duration":90}'
+      WHEN 15 THEN url || ',"format":"json","rate":"low","scenario_toml":"' || doc || 'rate = \\"high\\"\\n"}' ELSE url || ',"scenario_toml":"' || doc || '"}' END AS json
+      FROM (SELECT *, '[scenario]\\nname = \\"inline\\"\\ntotal_duration = \\"3m\\"\\n[[timeline]]\\nat = \\"0s\\"\\n' AS doc FROM t)),
     j AS (SELECT request_id, json, json_valid(json) AS valid, CASE WHEN json_valid(json) THEN json::JSON END AS x FROM req),
     chk AS (SELECT *, CASE WHEN NOT valid THEN 'invalid JSON' WHEN x->>'output' IS NULL THEN 'invalid JSON: missing field output'
+        WHEN json_type(x->'duration') <> 'VARCHAR' THEN 'invalid JSON: wrong type: duration'
+        WHEN json_type(x->'rate') NOT IN ('VARCHAR', 'OBJECT') THEN 'invalid JSON: wrong type: rate'
+        WHEN json_type(x->'rate') = 'OBJECT' AND (x->'rate'->>'logs_per_sec') IS NULL THEN 'invalid JSON: wrong type: rate lacks logs_per_sec'
+        WHEN (x->>'http_batch_kb')::BIGINT < 0 THEN 'invalid JSON: wrong type: http_batch_kb'
+        WHEN (x->'http_headers') IS NOT NULL AND (x->'http_headers'->1->>'value') IS NULL THEN 'invalid JSON: wrong type: http_headers[1] lacks value'
+        WHEN (x->>'scenario_toml') IS NOT NULL AND NOT contains(x->>'scenario_toml', 'rate') THEN 'invalid scenario document: missing rate in timeline'
         WHEN NOT regexp_full_match(x->>'duration', '([0-9]+[hms])*([0-9]+)?') THEN 'invalid duration ''' || (x->>'duration') || ''''
         WHEN coalesce(x->>'format', 'event') NOT IN ('apache', 'nginx', 'json', 'syslog', 'event') THEN 'unknown format ''' || (x->>'format') || ''''
         WHEN NOT regexp_matches(x->>'output', '^https?://') THEN 'output must be an HTTP URL, got ''' || (x->>'output') || '''' END AS error FROM j)"""
@@ -446,8 +464,9 @@ def r3(spark, d):
 @query(
     "r2_expand_requests",
     f"""WITH {_REQUESTS}
-    SELECT request_id::VARCHAR AS scenario_id, 'remote' AS name, regexp_extract(x->>'duration', '([0-9]+)m', 1)::BIGINT * 60000 AS total_ms,
-        CASE WHEN json_type(x->'rate') IS DISTINCT FROM 'OBJECT' THEN coalesce(x->>'rate', 'low') END AS rate_name,
+    SELECT request_id::VARCHAR AS scenario_id, CASE WHEN (x->>'scenario_toml') IS NULL THEN 'remote' ELSE 'inline' END AS name,
+        CASE WHEN (x->>'scenario_toml') IS NULL THEN regexp_extract(x->>'duration', '([0-9]+)m', 1)::BIGINT ELSE 3 END * 60000 AS total_ms,
+        CASE WHEN (x->>'scenario_toml') IS NOT NULL THEN 'high' WHEN json_type(x->'rate') IS DISTINCT FROM 'OBJECT' THEN coalesce(x->>'rate', 'low') END AS rate_name,
         (x->'rate'->>'logs_per_sec')::BIGINT AS lps, (x->'rate'->>'throughput_mb')::INT AS mb, x->>'output' AS url, coalesce(x->>'format', 'event') AS format,
         coalesce((x->>'http_batch_kb')::BIGINT, 1024) * 1024 AS batch_bytes, coalesce((x->>'http_timeout')::BIGINT, 30) AS timeout_s,
         coalesce((x->>'http_senders')::BIGINT, 8) AS senders, x->>'http_auth' AS auth, coalesce(json_array_length(x->'http_headers'), 0)::INT AS n_headers

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +13,18 @@ from ..functions.durations import duration_ms, duration_ok
 from ..operators.control import Control
 from ..operators.formats import canonical_format, format_ok
 from ..operators.payloads import batch_format, content_type
-from .scenarios import parse_documents, toml_to_json
+from .scenarios import document_problem, parse_documents, shape_error, toml_to_json
 
 # Defaults of a request.
 DEFAULTS = {"format": "event", "rate": "low", "batch_kb": 1024, "timeout_s": 30, "senders": 8, "name": "remote"}
 MAX_RETRIES = 3
+#: Fields of a request and their types; "!" marks those that must be there.
+REQUEST_SHAPE = {
+    "output": str, "duration": str, "format": str, "rate": (str, {"throughput_mb!": int, "logs_per_sec!": int}), "http_auth": str,
+    "http_headers": [{"name!": str, "value!": str}], "http_batch_kb": int, "http_timeout": int, "http_senders": int, "threads": int,
+    "scenario_toml": str,
+}
+OPTIONAL = ("rate", "http_auth", "threads", "scenario_toml")
 
 REQUEST_SCHEMA = (
     "output string, duration string, format string, rate string, http_auth string, "
@@ -28,10 +37,27 @@ def _read(df: DataFrame, json_col: str, aliases: Mapping[str, str] | None) -> Da
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     out = df.withColumn("r", F.from_json(F.col(json_col), REQUEST_SCHEMA, options))
     fmt = F.coalesce(canonical_format(F.col("r.format"), aliases), F.lit(DEFAULTS["format"]))
-    return out.withColumn("fmt", fmt)
+    out = out.withColumns({"fmt": fmt, "wrong": _wrong_shape(F.col(json_col)), "wrong_inline": document_problem(F.col("r.scenario_toml"), aliases)})
+    return out.withColumn("error", request_error(F.col("r"), F.col("fmt"), F.col("wrong"), F.col("wrong_inline"))).drop("wrong", "wrong_inline")
 
 
-def request_error(request: Column, fmt: Column) -> Column:
+@F.pandas_udf("string")
+def _wrong_shape(texts: pd.Series) -> pd.Series:
+    """Where a JSON object holds a value of a wrong type, or half of one; other texts are left to the parser."""
+
+    def problem(text: str | None) -> str | None:
+        try:
+            request = json.loads(text)
+        except (TypeError, ValueError):
+            return None
+        if not isinstance(request, dict):
+            return "not an object"
+        return shape_error({k: v for k, v in request.items() if v is not None or k not in OPTIONAL}, REQUEST_SHAPE)
+
+    return pd.Series([problem(t) for t in texts], dtype=object)
+
+
+def request_error(request: Column, fmt: Column, wrong: Column, wrong_inline: Column) -> Column:
     """First problem of a request, in the order a run would meet them; NULL when it is fine."""
     url = request["output"]
     inline = request["scenario_toml"].isNotNull()
@@ -39,6 +65,8 @@ def request_error(request: Column, fmt: Column) -> Column:
         F.when(request.isNull() | request["_corrupt"].isNotNull(), F.lit("invalid JSON"))
         .when(url.isNull(), F.lit("invalid JSON: missing field output"))
         .when(request["duration"].isNull(), F.lit("invalid JSON: missing field duration"))
+        .when(wrong.isNotNull(), F.concat(F.lit("invalid JSON: "), wrong))
+        .when(wrong_inline.isNotNull(), F.concat(F.lit("invalid scenario document: "), wrong_inline))
         .when(~inline & ~duration_ok(request["duration"]), F.concat(F.lit("invalid duration '"), request["duration"], F.lit("'")))
         .when(~format_ok(fmt), F.concat(F.lit("unknown format '"), fmt, F.lit("'")))
         .when(
@@ -50,8 +78,7 @@ def request_error(request: Column, fmt: Column) -> Column:
 
 def validate_requests(df: DataFrame, json_col: str, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """The input with an ``error`` column; NULL means accepted."""
-    out = _read(df, json_col, aliases)
-    return out.withColumn("error", request_error(F.col("r"), F.col("fmt"))).drop("r", "fmt")
+    return _read(df, json_col, aliases).drop("r", "fmt")
 
 
 def expand_requests(
@@ -64,7 +91,6 @@ def expand_requests(
     still overrides.
     """
     read = _read(df, json_col, aliases)
-    read = read.withColumn("error", request_error(F.col("r"), F.col("fmt")))
     good = read.filter("error is null").withColumn("scenario_id", F.col(id_col).cast("string"))
     plain = good.filter(F.col("r.scenario_toml").isNull())
     rate = F.coalesce(F.col("r.rate"), F.lit(DEFAULTS["rate"]))

@@ -71,31 +71,46 @@ def shape_error(value: object, shape: object, path: str = "") -> str | None:
     return next((e for p, v, s in parts if (e := shape_error(v, s, p.lstrip(".")))), None)
 
 
-def toml_to_json(df: DataFrame, text_col: str, id_col: str = "scenario_id") -> DataFrame:
-    """Adds ``json`` and ``error``; each document is read on its own, in the task that holds it."""
+def read_document(text: str | None) -> tuple[str | None, str | None]:
+    """A document as JSON, or what keeps it from being one."""
 
     def plain(value: object) -> str:
         if isinstance(value, (datetime.date, datetime.time)):
             return value.isoformat()
         raise TypeError(type(value).__name__)
 
+    try:
+        doc = json.loads(json.dumps(tomllib.loads(text), default=plain))
+    except (tomllib.TOMLDecodeError, TypeError, AttributeError) as problem:
+        return None, f"not TOML: {problem}"
+    problem = shape_error(doc, _SHAPE)
+    return (None if problem else json.dumps(doc)), problem
+
+
+def toml_to_json(df: DataFrame, text_col: str, id_col: str = "scenario_id") -> DataFrame:
+    """Adds ``json`` and ``error``; each document is read on its own, in the task that holds it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            docs, errors = [], []
-            for text in batch[text_col]:
-                try:
-                    doc = json.loads(json.dumps(tomllib.loads(text), default=plain))
-                    problem = shape_error(doc, _SHAPE)
-                    docs.append(None if problem else json.dumps(doc))
-                    errors.append(problem)
-                except (tomllib.TOMLDecodeError, TypeError, AttributeError) as problem:
-                    docs.append(None)
-                    errors.append(f"not TOML: {problem}")
-            yield pd.DataFrame({id_col: batch[id_col], "json": docs, "error": errors})
+            read = [read_document(text) for text in batch[text_col]]
+            yield pd.DataFrame({id_col: batch[id_col], "json": [r[0] for r in read], "error": [r[1] for r in read]})
 
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} string, json string, error string")
 
 
+def document_problem(text: Column, aliases: Mapping[str, str] | None = None) -> Column:
+    """Why a document is rejected; NULL for a good one, and for no document."""
+
+    @F.pandas_udf("json string, error string")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = [(None, None) if t is None else read_document(t) for t in part]
+            yield pd.DataFrame({"json": [r[0] for r in rows], "error": [r[1] for r in rows]})
+
+    found = read(text)
+    return F.when(text.isNotNull(), F.coalesce(found["error"], _document_error(F.from_json(found["json"], DOCUMENT_SCHEMA), aliases)))
+
+
 def _document_error(doc: Column, aliases: Mapping[str, str] | None) -> Column:
     bad_time = lambda c: c.isNull() | ~duration_ok(c)
     bad_optional = lambda c: c.isNotNull() & ~duration_ok(c)
