@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,8 +41,7 @@ def _read(df: DataFrame, json_col: str, aliases: Mapping[str, str] | None) -> Da
     return out.withColumn("error", request_error(F.col("r"), F.col("fmt"), F.col("wrong"), F.col("wrong_inline"))).drop("wrong", "wrong_inline")
 
 
-@F.pandas_udf("string")
-def _wrong_shape(texts: pd.Series) -> pd.Series:
+def _wrong_shape(text: Column) -> Column:
     """Where a JSON object holds a value of a wrong type, or half of one; other texts are left to the parser."""
 
     def problem(text: str | None) -> str | None:
@@ -54,7 +53,12 @@ def _wrong_shape(texts: pd.Series) -> pd.Series:
             return "not an object"
         return shape_error({k: v for k, v in request.items() if v is not None or k not in OPTIONAL}, REQUEST_SHAPE)
 
-    return pd.Series([problem(t) for t in texts], dtype=object)
+    @F.pandas_udf("string")
+    def wrong(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in batches:
+            yield pd.Series([problem(t) for t in part], dtype=object)
+
+    return wrong(text)
 
 
 def request_error(request: Column, fmt: Column, wrong: Column, wrong_inline: Column) -> Column:

@@ -109,8 +109,28 @@ def test_requests_with_inline_documents(spark):
     assert set(out) == {"1", "3"}
     assert (out["1"]["batch_format"], out["1"]["content_type"]) == ("array", "application/json")
     assert (out["3"]["batch_bytes"], out["3"]["timeout_s"], out["3"]["senders"], out["3"]["batch_format"]) == (1 << 20, 30, 8, "envelope")
-    assert [r["scenario_id"] for r in got["rejected"].collect()] == ["2"]
-    assert validate_requests(df, "json").filter("error is null").count() == 3
+    # Checking and expanding reject the same requests for the same reasons.
+    rejected = {r["scenario_id"]: r["error"] for r in got["rejected"].collect()}
+    assert rejected == {str(r["id"]): r["error"] for r in validate_requests(df, "json").filter("error is not null").collect()}
+    assert list(rejected) == ["2"] and rejected["2"].startswith("invalid scenario document: not TOML")
+
+
+def test_requests_with_wrong_types(spark):
+    base = {"output": "https://sink.invalid/i", "duration": "15m"}
+    bad = {
+        "rate": [5, {"throughput_mb": 3}, {"throughput_mb": -1, "logs_per_sec": 2}, True], "http_batch_kb": [-1, "7", 1.5],
+        "http_headers": [[{"name": "a"}], [{"name": "a", "value": 1}], {"a": "b"}], "duration": [90, None], "threads": ["2"], "http_senders": [-8],
+    }
+    cases = [base | {field: value} for field, values in bad.items() for value in values]
+    fine = [base | {"rate": None, "threads": None}, base | {"rate": {"throughput_mb": 1, "logs_per_sec": 0}, "http_headers": [], "more": 1}]
+    texts = [json.dumps(c) for c in [*cases, *fine]] + ["[]", "7", None]
+    df = spark.createDataFrame(pa.table({"id": list(range(len(texts))), "json": texts}))
+    errors = {r["id"]: r["error"] for r in validate_requests(df, "json").collect()}
+    assert [i for i, e in errors.items() if e is None] == [len(cases), len(cases) + 1]
+    assert all(e.startswith("invalid JSON") for e in errors.values() if e)
+    got = expand_requests(df, "json", "id")
+    assert {r["scenario_id"]: r["error"] for r in got["rejected"].collect()} == {str(i): e for i, e in errors.items() if e}
+    assert {r["scenario_id"] for r in got["outputs"].collect()} == {str(i) for i, e in errors.items() if not e}
 
 
 def test_files_and_discard(spark, sf, tmp_path):
