@@ -30,6 +30,11 @@ def is_error_level(level_col: str = "level") -> Column:
     return F.col(level_col).isin("ERROR", "FATAL")
 
 
+def is_error_line(fmt_col: str = "fmt", status_col: str = "status", level_col: str = "syslog_level") -> Column:
+    """Errors of a table of mixed formats, by what each line shows: a level for syslog, a status otherwise."""
+    return F.when(F.col(fmt_col) == "syslog", is_error_level(level_col)).otherwise(is_error(status_col))
+
+
 def _sums(error: Column) -> list[Column]:
     return [
         F.count("*").alias("logs"),

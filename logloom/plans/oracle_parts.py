@@ -129,6 +129,16 @@ COMBINED = (
     f"(ip || ' - ' || username || ' ' || {APACHE_TS} || ' \"' || method || ' ' || path || ' ' || protocol || '\" ' || status || ' ' "
     "|| body_bytes || ' \"' || referrer || '\" \"' || user_agent || '\"')"
 )
+
+
+def float_text(x: str) -> str:
+    """The shortest decimal text that reads back as the same FLOAT (values from 0.001 on)."""
+    tries = " ".join(f"WHEN printf('%.{n}g', {x}::DOUBLE)::FLOAT = {x} THEN printf('%.{n}g', {x}::DOUBLE)" for n in range(1, 9))
+    shortest = f"(CASE {tries} ELSE printf('%.9g', {x}::DOUBLE) END)"
+    return f"(CASE WHEN contains({shortest}, '.') THEN {shortest} ELSE {shortest} || '.0' END)"
+
+
+NGINX_LINE = f"({COMBINED} || ' ' || {float_text('request_time')})"
 JSON_LINE = (
     "('{\"timestamp\":\"' || strftime(ts_, '%Y-%m-%dT%H:%M:%S.%gZ') || '\",\"level\":\"' || level || '\",\"service\":\"' || service "
     "|| '\",\"trace_id\":\"' || trace_id || '\",\"span_id\":\"' || span_id || '\",\"message\":\"' || message || '\",\"method\":\"' || method "

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, metrics, payloads, sinks
@@ -84,17 +84,19 @@ def f2(spark, d):
     )
 
 
-_DISPATCH = "['apache', 'json', 'syslog', 'event'][(l_linenumber % 4) + 1]"
+MIXED = ("apache", "json", "syslog", "event", "nginx")
+_DISPATCH = f"[{', '.join(O.q(f) for f in MIXED)}][((l_linenumber + l_orderkey) % 5) + 1]"
 _DISPATCH_LINE = (
-    f"CASE l_linenumber % 4 WHEN 0 THEN {O.COMBINED} WHEN 1 THEN {O.JSON_LINE} WHEN 2 THEN {O.SYSLOG_LINE} ELSE {O.EVENT_LINE} END"
+    f"CASE (l_linenumber + l_orderkey) % 5 WHEN 0 THEN {O.COMBINED} WHEN 1 THEN {O.JSON_LINE} WHEN 2 THEN {O.SYSLOG_LINE} WHEN 3 THEN {O.EVENT_LINE} ELSE {O.NGINX_LINE} END"
 )
 
 
-MIXED = ("apache", "json", "syslog", "event")
+def mixed_format(number: Column) -> Column:
+    return F.get(F.array(*[F.lit(f) for f in MIXED]), (number % len(MIXED)).cast("int"))
 
 
 def mixed_lines(spark: SparkSession, d: str) -> DataFrame:
-    fmt = F.get(F.array(*[F.lit(f) for f in ("apache", "json", "syslog", "event")]), (F.col("l_linenumber") % 4).cast("int"))
+    fmt = mixed_format(F.col("l_linenumber") + F.col("l_orderkey"))
     return render(line_rows(spark, d, *MIXED).withColumn("fmt", fmt), F.col("fmt"), formats=MIXED)
 
 
@@ -180,14 +182,42 @@ def k7_partition(spark, d):
     )
 
 
+def unpacked_lines(packed: DataFrame) -> DataFrame:
+    """fmt, line of every line that the bodies hold."""
+    shape = payloads.batch_format(F.col("fmt"))
+    inner = F.when(shape == "envelope", F.expr("substring(body, 12, length(body) - 13)")).otherwise(F.expr("substring(body, 2, length(body) - 2)"))
+    # Every object begins with its timestamp, and nothing inside one does.
+    lines = F.when(shape == "raw", F.split(F.expr("substring(body, 1, length(body) - 1)"), "\n")).otherwise(F.split(inner, ',(?=\\{"timestamp":)'))
+    return packed.select("fmt", F.explode(lines).alias("line"))
+
+
+_DIGEST = "count(*) AS n_lines, sum(('0x' || substr(md5(line), 1, 8))::BIGINT)::BIGINT AS digest, sum(('0x' || substr(md5(line), 9, 8))::BIGINT)::BIGINT AS digest2"
+
+
+def _register_bodies() -> None:
+    sql = O.fields(f", l AS (SELECT {_DISPATCH} AS fmt, {_DISPATCH_LINE} AS line FROM f) SELECT fmt, {_DIGEST} FROM l GROUP BY 1")
+    for name, keys in (("k7_partition_bodies", None), ("k7_keyed_bodies", Z.LINE_KEYS)):
+
+        def bodies(spark, d, keys=keys):
+            """The lines that come out of the packed bodies, by an order-free digest: none lost, doubled or changed."""
+            rows = mixed_lines(spark, d).select(*Z.LINE_KEYS, "fmt", "line")
+            out = payloads.pack_payloads(rows, None, LIMIT, keys, 8) if keys else payloads.pack_payloads(rows.select("fmt", "line"), None, LIMIT)
+            part = lambda at: F.sum(F.conv(F.substring(F.md5("line"), at, 8), 16, 10).cast("bigint"))
+            return unpacked_lines(out).groupBy("fmt").agg(F.count("*").alias("n_lines"), part(1).alias("digest"), part(9).alias("digest2"))
+
+        query(name, sql)(bodies)
+
+
+_register_bodies()
+
+
 @query(
     "k10_payload_types",
     f"""SELECT {KEYS}, {_DISPATCH} AS fmt, CASE {_DISPATCH} WHEN 'event' THEN 'envelope' WHEN 'json' THEN 'array' ELSE 'raw' END AS batch_format,
         CASE WHEN {_DISPATCH} IN ('event', 'json') THEN 'application/json' ELSE 'application/x-ndjson' END AS content_type FROM lineitem""",
 )
 def k10(spark, d):
-    fmt = F.get(F.array(*[F.lit(f) for f in ("apache", "json", "syslog", "event")]), (F.col("l_linenumber") % 4).cast("int"))
-    rows = Z.table(spark, d, "lineitem").select(*Z.LINE_KEYS, fmt.alias("fmt"))
+    rows = Z.table(spark, d, "lineitem").select(*Z.LINE_KEYS, mixed_format(F.col("l_linenumber") + F.col("l_orderkey")).alias("fmt"))
     return rows.withColumns({"batch_format": payloads.batch_format(F.col("fmt")), "content_type": payloads.content_type(F.col("fmt"))})
 
 
@@ -300,18 +330,20 @@ def m6(spark, d):
     )
 
 
-_MONTH_FMT = "['apache', 'json', 'syslog', 'event'][(event_id % 4) + 1]"
-_MONTH_LINE = _DISPATCH_LINE.replace("l_linenumber", "event_id")
+_MONTH_FMT = _DISPATCH.replace("(l_linenumber + l_orderkey)", "event_id")
+_MONTH_LINE = _DISPATCH_LINE.replace("(l_linenumber + l_orderkey)", "event_id")
+# A syslog line shows a level and no status.
+_MONTH_ERROR = "CASE WHEN fmt = 'syslog' THEN syslog_level IN ('ERROR', 'FATAL') ELSE status >= 400 END"
 
 
 @query(
     "m7_by_state",
-    _month_fields_sql(f", s AS (SELECT *, {_MONTH_FMT} AS fmt, strlen({_MONTH_LINE}) + 1 AS n_bytes FROM f) SELECT seg_lo, active_spikes, fmt, {_SUMS} FROM s GROUP BY ALL"),
+    _month_fields_sql(f", s AS (SELECT *, {_MONTH_FMT} AS fmt, strlen({_MONTH_LINE}) + 1 AS n_bytes FROM f) SELECT seg_lo, active_spikes, fmt, count(*) AS logs, sum(n_bytes)::BIGINT AS bytes, count(*) FILTER ({_MONTH_ERROR}) AS errors FROM s GROUP BY ALL"),
 )
 def m7(spark, d):
-    fmt = F.get(F.array(*[F.lit(f) for f in ("apache", "json", "syslog", "event")]), (F.col("event_id") % 4).cast("int"))
-    rows = render(month_fields(spark, d, _fields_of(MIXED)).withColumn("fmt", fmt), F.col("fmt"), formats=MIXED)
-    return metrics.by_state(rows, ["seg_lo", "active_spikes", "fmt"])
+    rows = month_fields(spark, d, _fields_of(MIXED)).withColumn("fmt", mixed_format(F.col("event_id")))
+    rows = render(rows, F.col("fmt"), formats=MIXED)
+    return metrics.by_state(rows, ["seg_lo", "active_spikes", "fmt"], metrics.is_error_line())
 
 
 # -- V1-V6: parse(render(x)) gives back the drawn fields --------------------------------------------
