@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from .scan import Scan
+from .spikes import repeat_numbers
 
 # Reporting interval and the throughput target in MB/s.
 INTERVAL_MS = 500
@@ -52,10 +53,18 @@ def by_state(df: DataFrame, cols: Sequence[str], error: Column | None = None) ->
     return df.groupBy(*cols).agg(*_sums(is_error() if error is None else error))
 
 
-def throughput(df: DataFrame, ts_col: str, every_ms: int = INTERVAL_MS, error: Column | None = None) -> DataFrame:
-    """Counts and rates per tumbling interval (M2); intervals without rows are absent."""
+def throughput(
+    df: DataFrame, ts_col: str, every_ms: int = INTERVAL_MS, error: Column | None = None, by: Sequence[str] = (), dense: bool = False
+) -> DataFrame:
+    """Counts and rates per tumbling interval, of all rows or of each group in ``by`` (M2).
+
+    Intervals without rows are absent unless ``dense``: then every interval from
+    a group's first to its last one has a row.
+    """
     ms = F.unix_millis(F.col(ts_col).cast("timestamp"))
-    out = df.withColumn("bucket", F.floor(ms / F.lit(every_ms))).groupBy("bucket").agg(*_sums(is_error() if error is None else error))
+    out = df.withColumn("bucket", F.floor(ms / F.lit(every_ms))).groupBy(*by, "bucket").agg(*_sums(is_error() if error is None else error))
+    if dense:
+        out = without_holes(out, by)
     seconds = F.lit(every_ms / 1000.0)
     return out.withColumns(
         {
@@ -65,6 +74,26 @@ def throughput(df: DataFrame, ts_col: str, every_ms: int = INTERVAL_MS, error: C
     )
 
 
+def without_holes(buckets: DataFrame, by: Sequence[str] = (), block: int = 1 << 16) -> DataFrame:
+    """Rows of zeros for the intervals between those that are there.
+
+    Each interval makes the empty ones since the one before it, dealt over the
+    cluster in blocks: a long pause does not expand in one task.
+    """
+    out = Scan(by, "bucket", block).apply(buckets, previous={"_before": ("last", F.col("bucket"))})
+    gap = F.col("bucket") - F.coalesce(F.col("_before"), F.col("bucket") - 1)
+    out = repeat_numbers(out, gap, "_back", spread_by=[*by, "bucket"])
+    counted = {c: F.when(F.col("_back") == 0, F.col(c)).otherwise(F.lit(0)).cast("bigint") for c in ("logs", "bytes", "errors")}
+    return out.withColumns({**counted, "bucket": F.col("bucket") - F.col("_back")}).drop("_back", "_before")
+
+
+def running_totals(buckets: DataFrame, by: Sequence[str] = (), block: int = 1 << 16) -> DataFrame:
+    """Running totals per group in blocks of ``block`` intervals; an interval without rows repeats those before it."""
+    return Scan(by, "bucket", block).apply(
+        buckets, running={"total_logs": ("sum", F.col("logs")), "total_bytes": ("sum", F.col("bytes"))}
+    )
+
+
 def cumulative(buckets: DataFrame, every_ms: int = INTERVAL_MS, block: int = 1 << 16, start_bucket: int | None = None) -> DataFrame:
     """Running totals and the average since the first interval (M3).
 
@@ -72,9 +101,7 @@ def cumulative(buckets: DataFrame, every_ms: int = INTERVAL_MS, block: int = 1 <
     in one task; only one row per block meets in the second pass.
     """
     first = buckets.agg(F.min("bucket")).first()[0] if start_bucket is None else start_bucket
-    out = Scan([], "bucket", block).apply(
-        buckets, running={"total_logs": ("sum", F.col("logs")), "total_bytes": ("sum", F.col("bytes"))}
-    )
+    out = running_totals(buckets, block=block)
     elapsed = (F.col("bucket") - F.lit(first) + 1) * F.lit(every_ms) / F.lit(1000.0)
     total_mb = F.col("total_bytes") / F.lit(float(V.MIB))
     return out.withColumns({"total_mb": total_mb, "avg_mb_per_s": total_mb / elapsed})

@@ -127,7 +127,8 @@ def short_control(spark: SparkSession, sf_dir: str) -> Control:
     )))
     return control.with_(
         meta=control.meta.withColumn("total_ms", F.lit(SHORT_TOTAL).cast("bigint")),
-        timeline=control.timeline.withColumns({"at_ms": short("at_ms").cast("bigint"), "ramp_ms": short("ramp_ms").cast("bigint")}),
+        timeline=control.timeline.withColumns({c: short(c).cast("bigint") for c in ("at_ms", "ramp_ms")}),
+        spikes=control.spikes.withColumns({c: short(c).cast("bigint") for c in ("at_ms", "dur_ms", "rep_interval_ms", "rep_jitter_ms")}),
         rates=rates,
     )
 

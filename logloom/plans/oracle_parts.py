@@ -200,6 +200,7 @@ SHORT_CONTROL = (
     CUSTOMER_CONTROL.replace(f"SELECT DISTINCT sid, {X.CUSTOMER_TOTAL} AS total", f"SELECT DISTINCT sid, {X.SHORT_TOTAL} AS total")
     .replace("SELECT sid, o_orderkey AS idx, at_ms,", f"SELECT sid, o_orderkey AS idx, at_ms // {X.DAY} * {X.SHORT_DAY} AS at_ms,")
     .replace(f"WHEN '3' THEN {30 * X.DAY} END AS ramp", f"WHEN '3' THEN {30 * X.SHORT_DAY} END AS ramp")
+    .replace(f"* {X.DAY} AS dur", f"* {X.SHORT_DAY} AS dur").replace(f"{60 * X.DAY} AS gap, {5 * X.DAY} AS jit", f"{60 * X.SHORT_DAY} AS gap, {5 * X.SHORT_DAY} AS jit")
 )
 
 
@@ -260,9 +261,9 @@ def spike_ctes() -> str:
         dur, coalesce(((elo + {unit} * (ehi - elo)) / 100::FLOAT)::FLOAT, 0.5::FLOAT) AS error, coalesce(lat, 1::FLOAT) AS latency FROM draws)"""
 
 
-def state_ctes(control: str, rows: str, keys: str) -> str:
+def state_ctes(control: str, rows: str, keys: str, preset=_preset) -> str:
     """CTEs ending in ``a``: rows (with sid and t) inside the clock with their state by direct interval joins."""
-    return f"""{walk_ctes(control)}, {spike_ctes()},
+    return f"""{walk_ctes(control, preset)}, {spike_ctes()},
     r AS ({rows}),
     hit AS (SELECT {keys}, count(*) AS n_active,
         greatest(0::FLOAT, max(CASE WHEN type IN ('error_burst', 'mixed') THEN error END)) AS spike_error,

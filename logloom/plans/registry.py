@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import field_queries, output_queries, scenario_queries  # noqa: F401
+    from . import field_queries, output_queries, run_queries, scenario_queries  # noqa: F401
 
     return QUERIES, ORACLES

@@ -260,13 +260,13 @@ def _area(a: str, b: str, dt: str) -> str:
 
 
 # Each segment is cut by the buckets that it overlaps, and the pieces are summed.
-_BUDGET = f"""WITH RECURSIVE {O.walk_ctes(O.SHORT_CONTROL, O.short_preset)},
-    cells AS (SELECT seg.*, unnest(range(lo // {BUCKET}, (hi - 1) // {BUCKET} + 1)) AS bucket FROM seg),
+BUDGET_CTES = f"""cells AS (SELECT seg.*, unnest(range(lo // {BUCKET}, (hi - 1) // {BUCKET} + 1)) AS bucket FROM seg),
     spans AS (SELECT *, greatest(lo, bucket * {BUCKET}) - lo AS p, least(hi, (bucket + 1) * {BUCKET}) - lo AS q FROM cells),
     per AS (SELECT sid, bucket, sum({_area('xl', 'yl', 'q')} - {_area('xl', 'yl', 'p')})::BIGINT AS log_ms,
         sum({_area('xb', 'yb', 'q')} - {_area('xb', 'yb', 'p')})::BIGINT AS byte_ms FROM spans GROUP BY ALL),
     cum AS MATERIALIZED (SELECT *, (sum(log_ms) OVER (PARTITION BY sid ORDER BY bucket))::BIGINT AS c, (sum(byte_ms) OVER (PARTITION BY sid ORDER BY bucket))::BIGINT AS b FROM per),
     budget AS MATERIALIZED (SELECT sid AS scenario_id, bucket, c // 1000 - (c - log_ms) // 1000 AS n_rows, b // 1000 - (b - byte_ms) // 1000 AS n_bytes FROM cum)"""
+_BUDGET = f"WITH RECURSIVE {O.walk_ctes(O.SHORT_CONTROL, O.short_preset)}, {BUDGET_CTES}"
 
 
 @query("s19_row_budget", f"{_BUDGET} SELECT * FROM budget")
