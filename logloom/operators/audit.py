@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fields as X
 from ..functions import vocab as V
-from ..functions.draws import slot_counts
+from ..functions.draws import Draws, slot_counts
 from .scan import Scan
 from .spikes import repeat_numbers
 
@@ -107,6 +109,12 @@ def detection_delay(alerts: DataFrame, instances: DataFrame, bucket_ms: int, spa
 
 
 # -- G3 --------------------------------------------------------------------------------------
+STATUS_CODES = {"success_status": V.SUCCESS_CODES, "client_status": V.CLIENT_ERROR_CODES, "server_status": V.SERVER_ERROR_CODES}
+#: Fields of :func:`audit_fields`: drawn by slots, and drawn through a pool.
+SLOT_FIELDS = ["method", "level", "protocol", "service", "host", "referrer", "username", *STATUS_CODES]
+POOL_FIELDS = ["address_class", "path_class", "user_agent"]
+
+
 def expected_shares(field: str) -> list[tuple[str, float]]:
     """Expected share per value of a drawn field."""
     if field == "method":
@@ -122,8 +130,10 @@ def expected_shares(field: str) -> list[tuple[str, float]]:
     elif field == "referrer":
         sites = [V.REFERRERS[i % len(V.REFERRERS)] for i in range(256 - V.NO_REFERRER_SLOTS)]
         runs = [("-", V.NO_REFERRER_SLOTS)] + [(s, 1) for s in sites]
-    elif field == "success_status":
-        runs = [(str(c), n) for c, n in slot_counts(V.SUCCESS_CODES)]
+    elif field == "username":
+        runs = [("-", 4 * V.ANONYMOUS_SLOTS)] + [(name, 4) for name in V.USERNAMES]
+    elif field in STATUS_CODES:
+        runs = [(str(c), n) for c, n in slot_counts(STATUS_CODES[field])]
     else:
         raise ValueError(f"no expected distribution for {field!r}")
     shares: dict[str, float] = {}
@@ -153,3 +163,88 @@ def audit_distribution(df: DataFrame, field: str, value: Column | None = None) -
     out = out.withColumn("expected", share.otherwise(F.lit(0.0)) * F.col("_total").cast("double")).drop("_total")
     gap = F.col("observed") - F.col("expected")
     return out.withColumn("chi2_term", F.when(F.col("expected") > 0, gap * gap / F.col("expected")))
+
+
+def address_class(ip: Column) -> Column:
+    """Private range of an address, or ``public``."""
+    return (
+        F.when(ip.startswith("10."), F.lit("10/8")).when(ip.startswith("192.168."), F.lit("192.168/16"))
+        .when(ip.rlike(r"^172\.(1[6-9]|2[0-9]|3[01])\."), F.lit("172.16/12")).when(ip.isNotNull(), F.lit("public"))
+    )
+
+
+def path_class(path: Column) -> Column:
+    """Kind of a path by its text."""
+    return (
+        F.when(path.rlike(r"^/static/[0-9a-f]{8}\."), F.lit("asset")).when(path.rlike(r"^/api/v1/[a-z]+/[0-9a-f]{8}-"), F.lit("resource"))
+        .when(path.contains("?page="), F.lit("listing")).when(path.isin(*V.SIMPLE_PATHS), F.lit("simple")).when(path.isNotNull(), F.lit("page"))
+    )
+
+
+def audited(status: Column) -> dict[str, Column]:
+    """Values of all audited fields of rows with the log fields; a code counts for its own class only."""
+    drawn = {name: F.col(name) for name in SLOT_FIELDS if name not in STATUS_CODES}
+    code = {"success_status": status < 400, "client_status": (status >= 400) & (status < 500), "server_status": status >= 500}
+    pooled = {"address_class": address_class(F.col("ip")), "path_class": path_class(F.col("path")), "user_agent": F.col("user_agent")}
+    return drawn | {name: F.when(inside, status) for name, inside in code.items()} | pooled
+
+
+def pool_shares(df: DataFrame, seed: int, digest: str) -> DataFrame:
+    """``field, value, share`` of the pools of a seed: a pool is drawn once, so its own shares are what rows should show."""
+    out = None
+    for field, (stream, size, entry, kind) in {
+        "address_class": ("ip", V.IP_POOL_SIZE, X.ip_entry, address_class),
+        "path_class": ("path", V.PATH_POOL_SIZE, X.path_entry, path_class),
+        "user_agent": ("agent", V.UA_POOL_SIZE, X.agent_entry, lambda c: c),
+    }.items():
+        texts = df.sparkSession.range(0, size, 1, 4).select(entry(Draws(["id"], seed, digest, stream)).alias("text"))
+        part = texts.groupBy(F.lit(field).alias("field"), kind(F.col("text")).alias("value")).agg((F.count("*") / F.lit(float(size))).alias("share"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def chi2_tail(x: Column, dof: Column, most: int = 255) -> Column:
+    """Probability that a chi-square value with ``dof`` (1 to ``most``) degrees of freedom exceeds ``x``.
+
+    One minus the series of the lower incomplete gamma function; beyond 1,400 the tail counts as 0.
+    """
+    a, y = dof / F.lit(2.0), x / F.lit(2.0)
+    log_gamma = F.get(F.array(*[F.lit(math.lgamma(k / 2 + 1)) for k in range(most + 1)]), dof.cast("int"))
+    pair = lambda term, total: F.struct(term.alias("term"), total.alias("total"))
+    first = F.exp(a * F.log(y) - y - log_gamma)
+    step = lambda s, n: pair(s["term"] * y / (a + n), s["total"] + s["term"] * y / (a + n))
+    lower = F.aggregate(F.sequence(F.lit(1), F.lit(1500)), pair(first, first), step)["total"]
+    return F.when(x <= 0, F.lit(1.0)).when(x > 1400, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - lower))
+
+
+def audit_fields(df: DataFrame, fields: Mapping[str, Column], seed: int = 0, digest: str = "xxhash64") -> DataFrame:
+    """All fields against their expected shares in one pass over the rows.
+
+    One row per field and value, expected or met: ``observed``, ``expected``,
+    ``chi2_term``, and of its field ``chi2``, ``dof`` and ``p_value``.  NULL
+    values are not counted.  A value that no share expects has no term and makes
+    the field's ``p_value`` 0; a field without rows has ``p_value`` 1.  Rows
+    become one pair a field and are counted before the shuffle.
+    """
+    pairs = F.array(*[F.struct(F.lit(name).alias("field"), value.cast("string").alias("value")) for name, value in fields.items()])
+    counts = df.select(F.inline(pairs)).filter("value is not null").groupBy("field", "value").agg(F.count("*").alias("observed"))
+    given = [(f, v, s) for f in fields if f not in POOL_FIELDS for v, s in expected_shares(f)]
+    shares = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(v).alias("value"), F.lit(s).alias("share")) for f, v, s in given])
+    shares = df.sparkSession.range(1).select(F.inline(shares)) if given else None
+    pooled = [f for f in fields if f in POOL_FIELDS]
+    if pooled:
+        drawn = pool_shares(df, seed, digest).filter(F.col("field").isin(*pooled))
+        shares = drawn if shares is None else shares.unionByName(drawn)
+    # From here on there is one row a field and value.
+    out = counts.join(shares, ["field", "value"], "full").fillna(0, ["observed", "share"])
+    field = Window.partitionBy("field")
+    out = out.withColumn("expected", F.col("share") * F.sum("observed").over(field))
+    gap = F.col("observed") - F.col("expected")
+    out = out.withColumn("chi2_term", F.when(F.col("expected") > 0, gap * gap / F.col("expected")))
+    known = F.col("share") > 0
+    out = out.withColumns({
+        "chi2": F.coalesce(F.sum("chi2_term").over(field), F.lit(0.0)), "dof": F.sum(known.cast("bigint")).over(field) - 1,
+        "_odd": F.max((~known & (F.col("observed") > 0)).cast("int")).over(field),
+    })
+    p = F.when(F.col("_odd") == 1, F.lit(0.0)).otherwise(chi2_tail(F.col("chi2"), F.col("dof")))
+    return out.withColumn("p_value", p).drop("share", "_odd")

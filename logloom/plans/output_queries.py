@@ -450,3 +450,59 @@ def g3(spark, d):
         part = audit.audit_distribution(rows, field, column).select(F.lit(field).alias("field"), "value", "observed", "expected", "chi2_term")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _slots(runs: list[tuple[int, object]], rest: object) -> dict[str, int]:
+    """Slots per value of cumulative bounds; the left-over ones go to ``rest``."""
+    out, at = {}, 0
+    for hi, value in [*runs, (256, rest)]:
+        out[str(value)] = out.get(str(value), 0) + hi - at
+        at = hi
+    return out
+
+
+_ALL_SHARES = _SHARES | {
+    "service": dict.fromkeys(O.V.SERVICES, 32),
+    "host": dict.fromkeys(O.V.HOSTS, 32),
+    "referrer": {"-": 154} | {site: 15 if n < 4 else 14 for n, site in enumerate(O.V.REFERRERS)},
+    "username": {"-": 128} | dict.fromkeys(O.V.USERNAMES, 4),
+    "success_status": _slots(*O.SUCCESS), "client_status": _slots(*O.CLIENT), "server_status": _slots(*O.SERVER),
+}
+
+
+def _audit_all_sql() -> str:
+    classes = """CASE WHEN starts_with(ip, '10.') THEN '10/8' WHEN starts_with(ip, '192.168.') THEN '192.168/16'
+            WHEN regexp_matches(ip, '^172\\.(1[6-9]|2[0-9]|3[01])\\.') THEN '172.16/12' ELSE 'public' END AS address_class,
+        CASE WHEN regexp_matches(path, '^/static/[0-9a-f]{8}\\.') THEN 'asset' WHEN regexp_matches(path, '^/api/v1/[a-z]+/[0-9a-f]{8}-') THEN 'resource'
+            WHEN contains(path, '?page=') THEN 'listing' WHEN path IN (%s) THEN 'simple' ELSE 'page' END AS path_class, user_agent""" % ", ".join(O.q(p) for p in O.V.SIMPLE_PATHS)
+    pooled = ("address_class", "path_class", "user_agent")
+    # The pools by their slots: 65,536 is a multiple of each pool's size.
+    pool = O.field_ctes("SELECT unnest(range(65536)) AS slot, TIMESTAMP '2024-01-01' AS ts", "slot")
+    for index, slot in ((O.cut("h0", 0, 0, 16), "slot"), (O.cut("h0", 0, 16, 16) + " % 4096", "slot % 4096"), (O.cut("h0", 0, 32, 8), "slot % 256")):
+        pool = pool.replace(f", {index}))", f", {slot}))")
+    given = ", ".join(f"({O.q(f)}, {O.q(v)}, {n}::DOUBLE / 256)" for f, shares in _ALL_SHARES.items() for v, n in shares.items())
+    code = {"success_status": "status < 400", "client_status": "status BETWEEN 400 AND 499", "server_status": "status >= 500"}
+    column = lambda f: "drawn_level" if f == "level" else f"CASE WHEN {code[f]} THEN status::VARCHAR END" if f in code else f
+    values = " UNION ALL ".join(f"SELECT {O.q(f)} AS field, {column(f)} AS value FROM k" for f in (*_ALL_SHARES, *pooled))
+    shares = " UNION ALL ".join(f"SELECT {O.q(f)}, {f}, count(*)::DOUBLE / 65536 FROM pool GROUP BY 2" for f in pooled)
+    return O.fields(f""", pool AS (WITH {pool} SELECT {classes} FROM f), k AS MATERIALIZED (SELECT * EXCLUDE (user_agent), {classes} FROM f),
+        n AS (SELECT field, value, count(*) AS observed FROM ({values}) WHERE value IS NOT NULL GROUP BY ALL),
+        s(field, value, share) AS (SELECT * FROM (VALUES {given}) UNION ALL {shares}),
+        e AS (SELECT field, value, coalesce(observed, 0) AS observed, share * (sum(observed) OVER (PARTITION BY field))::DOUBLE AS expected FROM n FULL JOIN s USING (field, value)),
+        c AS (SELECT *, (observed - expected) * (observed - expected) / expected AS chi2_term FROM e),
+        x AS (SELECT *, sum(chi2_term) OVER (PARTITION BY field) AS chi2, count(*) OVER (PARTITION BY field) - 1 AS dof FROM c)
+        SELECT *, round(1 - list_sum(list_transform(range(1500), lambda n: exp((dof / 2::DOUBLE + n) * ln(chi2 / 2) - chi2 / 2 - lgamma(dof / 2::DOUBLE + n + 1)))), 6) AS p_value FROM x""")
+
+
+@query("g3_all_fields", _audit_all_sql())
+def g3_all(spark, d):
+    """Every drawn field in one pass, with the probability of a deviation like this."""
+    from ..functions import fields as X
+    from ..functions.draws import Draws
+
+    names = [f for f in audit.SLOT_FIELDS if f != "level" and f not in audit.STATUS_CODES]
+    rows = Z.table(spark, d, "lineitem").select(*Z.LINE_KEYS, F.col("l_shipdate").alias("ts"))
+    rows = with_log_fields(rows, Z.LINE_KEYS, "ts", Z.SEED, Z.DIGEST, fields=[*names, "status", "ip", "path", "user_agent"])
+    rows = rows.withColumn("level", X.log_level(Draws(Z.LINE_KEYS, Z.SEED, Z.DIGEST)))
+    out = audit.audit_fields(rows, audit.audited(F.col("status")), Z.SEED, Z.DIGEST)
+    return out.withColumn("p_value", F.round("p_value", 6))
