@@ -29,7 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8); rows without an id stay."""
+    """The document with the smallest id of each group of near copies: pairs from SimHash balls and MinHash keys, decided by five-word shingles at similarity 0.8; rows without an id stay."""
     found = near_copies.near_copies(docs)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionAll(docs.where("doc_id is null"))

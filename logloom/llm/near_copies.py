@@ -1,7 +1,9 @@
 """Near copies by five-word shingles: documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-MinHash only proposes pairs, the shingle sets decide.  Each distinct set is one node.  It gets
-``BANDS`` keys of ``ROWS`` minima each, and two sets of similarity s share none of the keys with
+Two ways propose pairs, the shingle sets decide.  Each distinct set is one node.  SimHash comes first:
+the 64 bits over a set's shingle hashes meet by the ball hashing of ``simhash.links``, so every pair within its
+``RADIUS`` bits is reached over its links.  At similarity 0.8 about ten bits of 64 differ, beyond any ball that can
+be listed, so MinHash proposes as well: a set gets ``BANDS`` keys of ``ROWS`` minima each, and two sets of similarity s share none of the keys with
 probability (1 - s^ROWS)^BANDS: 7 in 100,000 at 0.8, fewer above.  A pair that shares a key is
 compared by its exact sets, unless one of them is too small for the other.
 
@@ -32,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import staged
-from .simhash import LOWER, WORDS, components
+from .simhash import COUNTED, LOWER, WORDS, components
 
 SHINGLE, BANDS, ROWS, SEED = 5, 24, 5, 42
 #: The similarity as a fraction, so that the comparison is one of whole numbers.
@@ -93,6 +96,15 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def bits(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a shingle set as a signed number: a bit is 1 if set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), COUNTED):
+        part = found[at : at + COUNTED].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
+
 def digest(found: np.ndarray) -> int:
     import xxhash
 
@@ -105,13 +117,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (names the shingle set), n (its size), bands."""
+    """doc_id, fp (names the shingle set), n (its size), bits (its SimHash), bands."""
 
-    @F.pandas_udf("fp bigint, n bigint, bands array<bigint>")
+    @F.pandas_udf("fp bigint, n bigint, bits bigint, bands array<bigint>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingles(t) for t in texts]
-            yield pd.DataFrame({"fp": [digest(s) for s in sets], "n": [len(s) for s in sets], "bands": [band_keys(s) for s in sets]})
+            yield pd.DataFrame({"fp": [digest(s) for s in sets], "n": [len(s) for s in sets], "bits": [bits(s) for s in sets], "bands": [band_keys(s) for s in sets]})
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), sketch(F.col("text")).alias("s")).select("doc_id", "s.*")
 
@@ -220,13 +232,29 @@ def open_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
         rows = staged(more, "further-keys")
 
 
+def ball_pairs(nodes: DataFrame) -> DataFrame:
+    """(fp, first, n, bits) distinct -> pairs (a, b) with both sizes and documents: sets of one SimHash meet the smallest of
+    them, and those smallest ones meet where their fingerprints are linked."""
+    of = nodes.select("bits", F.struct("fp", "n", "first").alias("set"))
+    least = staged(of.groupBy("bits").agg(F.min("set").alias("low")), "balls")
+    alike = of.join(least.hint("merge"), "bits").select(F.col("low").alias("x"), F.col("set").alias("y"))
+    side = lambda name, at: least.select(F.col("bits").alias(at), F.col("low").alias(name)).hint("merge")
+    near = simhash.links(least.select(F.col("bits").alias("fp"))).join(side("x", "a"), "a").join(side("y", "b"), "b").select("x", "y")
+    met = alike.unionAll(near).where((F.col("x.fp") != F.col("y.fp")) & _may_be_similar(F.col("x.n"), F.col("y.n")))
+    low, high = F.least("x", "y"), F.greatest("x", "y")
+    return met.select(low["fp"].alias("a"), high["fp"].alias("b"), low["first"].alias("a_doc"), high["first"].alias("b_doc"))
+
+
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(fp, first, n, bands) distinct -> links (a, b) whose components are those of all similar pairs that share a key."""
+    """(fp, first, n, bits, bands) distinct -> links (a, b) whose components are those of all similar pairs that share a key,
+    and of the similar ones among those that SimHash links."""
+    balls = staged(ball_pairs(nodes), "ball-pairs")
     keyed = nodes.select("fp", "first", "n", F.posexplode("bands").alias("band", "key"))
     least = keyed.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("low"), F.count("*").alias("members")).where("members > 1")
     shared = staged(keyed.join(least.hint("merge"), "key").select("key", "band", "fp", "first", "n", "low"), "shared-keys")
     # A repeated id brings all its texts here; the set's name tells which is meant.
-    wanted = shared.select(F.col("first").alias("doc_id")).distinct()
+    wanted = shared.select("first").unionAll(balls.select("a_doc")).unionAll(balls.select("b_doc"))
+    wanted = wanted.select(F.col("first").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
 
     @F.pandas_udf("bigint")
@@ -236,7 +264,8 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     texts = staged(texts.select(name("text").alias("fp"), "text").dropDuplicates(["fp"]), "texts")
     stars = shared.where((F.col("fp") != F.col("low.fp")) & _may_be_similar(F.col("n"), F.col("low.n")))
-    found = staged(verified(stars.select(F.col("low.fp").alias("a"), F.col("fp").alias("b")).distinct(), texts), "star-links")
+    pairs = stars.select(F.col("low.fp").alias("a"), F.col("fp").alias("b")).unionAll(balls.select("a", "b")).distinct()
+    found = staged(verified(pairs, texts), "star-links")
     labels = components(found)
     tagged = shared.join(labels.hint("merge"), shared["fp"] == labels["node"], "left")
     tagged = staged(tagged.select("key", "band", "fp", "n", F.coalesce("label", "fp").alias("label")), "tagged")
@@ -247,7 +276,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable over links) of every row."""
     rows = staged(sketches(docs), "sketches")
     known = rows.where("doc_id is not null")
-    nodes = staged(known.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = staged(known.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
     # A document may hold several texts (repeated ids): they are linked as well.
     several = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z")
     own = rows.join(several.hint("merge"), "doc_id").where("fp <> a").select("a", F.col("fp").alias("b"))

@@ -334,3 +334,27 @@ def test_queries_equal_their_sql(spark, sf, name):
     expected = db.sql(sql[name])
     got = found[name](spark, sf).select(*expected.columns)
     assert sorted(tuple(r) for r in got.collect()) == sorted(expected.fetchall()) != []
+
+
+def test_near_copies_come_from_simhash_balls(spark):
+    """Pairs within the SimHash radius are proposed even where no MinHash key is shared; the exact sets still decide."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(0, 40, 2):
+        words = prose(rng, 400, 9000)
+        other = list(words)
+        other[200] = f"own{i}"
+        rows += [(i, " ".join(words), "en"), (i + 1, " ".join(other), "en")]
+    rows += [(100, "", None), (101, " ".join(prose(rng, 30, 9000)), None)]
+    sets = [near_copies.shingles(t) for _, t, _ in rows]
+    assert near_copies.bits(sets[-2]) == 0
+    for s in sets[:4]:
+        assert near_copies.bits(s) & (2**64 - 1) == sum(1 << b for b in range(64) if sum(int(h) >> b & 1 for h in s) * 2 > len(s))
+    close = {i for i in range(0, 40, 2) if ((near_copies.bits(sets[i]) ^ near_copies.bits(sets[i + 1])) & (2**64 - 1)).bit_count() <= 4}
+    assert len(close) > 10
+    keys = iter(range(10**9))  # no two sets share a key
+    nodes = [(near_copies.digest(s), rows[i][0], len(s), near_copies.bits(s), [next(keys) for _ in range(near_copies.BANDS)]) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(nodes, "fp bigint, first bigint, n bigint, bits bigint, bands array<bigint>")
+    name = {near_copies.digest(s): rows[i][0] for i, s in enumerate(sets)}
+    found = {tuple(sorted((name[r.a], name[r.b]))) for r in near_copies.links(nodes, docs_of(spark, rows)).collect()}
+    assert found == {(i, i + 1) for i in close}
