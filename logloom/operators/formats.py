@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from ..session import split_long_methods
 
 Fields = Callable[[str], Column]
 Formatter = Callable[[Fields], Column]
@@ -113,8 +114,10 @@ def render(
 
     ``fmt`` is a name, or a column when one table mixes formats (``formats``
     limits the names that may occur).  A name that is not registered is an
-    error; in a column it gives a NULL line, which callers can reject.
+    error; in a column it gives a NULL line, which callers can reject.  Fields and
+    lines of several formats make long methods: see :func:`split_long_methods`.
     """
+    split_long_methods(df.sparkSession)
 
     def c(name: str) -> Column:
         return F.col(ts_col) if name == "ts" else F.col(prefix + name)

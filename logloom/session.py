@@ -36,6 +36,18 @@ def require_utc() -> None:
         raise ValueError(f"set spark.sql.session.timeZone to UTC: it is {zone}")
 
 
+HUGE_METHOD, COMPILED_BYTES = "spark.sql.codegen.hugeMethodLimit", 8_000
+
+
+def split_long_methods(spark: SparkSession) -> None:
+    """Leave a stage whose generated method the JVM would only interpret (beyond 8,000 bytes) to split projections.
+
+    Spark's own limit is 65,535 bytes; a session that names one keeps it.
+    """
+    if spark.conf.get(HUGE_METHOD, None) is None:
+        spark.conf.set(HUGE_METHOD, str(COMPILED_BYTES))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder: later stages survive executor loss without replaying."""
     ensure_checkpoint_dir(df.sparkSession)

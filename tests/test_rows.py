@@ -193,3 +193,20 @@ def test_distribution_audit_stays_near_expectation(spark, sf):
     for field, df in (("method", 6), ("service", 7), ("referrer", 7)):
         chi2 = audit_distribution(rows, field).agg(F.sum("chi2_term")).first()[0]
         assert chi2 < 6 * df
+
+
+def test_mixed_formats_do_not_run_interpreted(spark, sf):
+    """A stage of five formats is beyond the 8,000 bytes the JVM compiles: it must run as split projections, unless the session says otherwise."""
+    from logloom.plans.output_queries import mixed_lines
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    fresh = spark.newSession()
+    fresh.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = mixed_lines(fresh, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "line")
+    assert fresh.conf.get(name) == "8000"
+    split = sorted(map(tuple, rows.limit(300).collect()))
+    named = spark.newSession()
+    named.conf.set("spark.sql.session.timeZone", "UTC")
+    named.conf.set(name, "60000")
+    rows = mixed_lines(named, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "line")
+    assert named.conf.get(name) == "60000" and sorted(map(tuple, rows.limit(300).collect())) == split
