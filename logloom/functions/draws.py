@@ -15,18 +15,25 @@ recomputes exactly the same rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIGESTS = ("xxhash64", "md5")
+# Number of the helper column that holds word 0 of an MD5 digest as a number.
+LONG_WORD = 100
+# Number of the helper column that holds the keys as text.
+KEY_TEXT = 200
 
 
 class Draws:
     """Words and bit slices for one row key.
 
     ``words`` optionally maps hash numbers (see :meth:`source_no`) to the names
-    of columns that already hold them; see :meth:`materialize`.
+    of columns that already hold them, ``longs`` maps words to columns that hold
+    them as 64-bit numbers; see :meth:`materialize`.
     """
 
     def __init__(
@@ -36,6 +43,7 @@ class Draws:
         digest: str = "xxhash64",
         stream: str = "row",
         words: Mapping[int, str] | None = None,
+        longs: Mapping[int, str] | None = None,
     ):
         if digest not in DIGESTS:
             raise ValueError(f"digest must be one of {DIGESTS}, got {digest!r}")
@@ -44,6 +52,8 @@ class Draws:
         self.digest = digest
         self.stream = stream
         self.words = dict(words or {})
+        self.longs = dict(longs or {})
+        self.key_text: str | None = None
         self._slices: dict[tuple, Column] = {}
 
     # -- sources -----------------------------------------------------------
@@ -56,23 +66,45 @@ class Draws:
             return F.col(self.words[number])
         if self.digest == "md5":
             parts = [F.lit(str(self.seed)), F.lit(self.stream), F.lit(str(number))]
-            return F.md5(F.concat_ws("|", *parts, *[k.cast("string") for k in self.keys]))
+            keys = [k.cast("string") for k in self.keys] if self.key_text is None else [F.col(self.key_text)]
+            return F.md5(F.concat_ws("|", *parts, *keys))
         return F.xxhash64(F.lit(self.seed), F.lit(self.stream), F.lit(number), *self.keys)
 
     def substream(self, stream: str, key: Column) -> "Draws":
         """Draws for a pool entry (shared by all rows that pick that entry)."""
         return Draws([key], self.seed, self.digest, stream)
 
-    def materialize(self, df: DataFrame, n_words: int, prefix: str = "_w") -> tuple[DataFrame, "Draws"]:
+    def materialize(self, df: DataFrame, n_words: int, prefix: str = "_w", where: Mapping[int, Column] | None = None) -> tuple[DataFrame, "Draws"]:
         """Add the hash columns once, so that many fields share one evaluation.
 
         Catalyst keeps the extra projection (it does not duplicate expensive
-        expressions) and prunes the words no selected field needs.
+        expressions) and prunes the words no selected field needs.  Hexadecimal
+        digests are also turned into numbers once a word, as slices of numbers
+        are cheap.  ``where`` may hold a condition for a word: rows that do not
+        meet it have no such word (both words of a digest: neither condition).
         """
+        where = where or {}
+        per = 2 if self.digest == "md5" else 1
+
+        def asked(number: int) -> Column:
+            conditions = [where.get(w) for w in range(number * per, min((number + 1) * per, n_words))]
+            source = self.source(number)
+            return source if any(c is None for c in conditions) else F.when(reduce(or_, conditions), source)
+
         numbers = sorted({self.source_no(w) for w in range(n_words)})
-        df = df.withColumns({f"{prefix}{i}": self.source(i) for i in numbers})
-        words = {i: f"{prefix}{i}" for i in numbers}
-        return df, Draws(self.keys, self.seed, self.digest, self.stream, words)
+        if self.digest == "md5" and len(self.keys) > 1:
+            # The keys become text once; no key at all leaves no separator either.
+            texts = [k.cast("string") for k in self.keys]
+            df = df.withColumn(f"{prefix}{KEY_TEXT}", F.when(F.coalesce(*texts).isNotNull(), F.concat_ws("|", *texts)))
+            self.key_text = f"{prefix}{KEY_TEXT}"
+        df = df.withColumns({f"{prefix}{i}": asked(i) for i in numbers})
+        self.key_text = None
+        words, longs = {i: f"{prefix}{i}" for i in numbers}, {}
+        if self.digest == "md5":
+            longs = {w: f"{prefix}{LONG_WORD + w}" for w in range(n_words)}
+            number = lambda w: F.expr(f"cast(conv(substring({words[w // 2]}, {1 + 16 * (w % 2)}, 16), 16, -10) as bigint)")
+            df = df.withColumns({name: number(w) if where.get(w) is None else F.when(where[w], number(w)) for w, name in longs.items()})
+        return df, Draws(self.keys, self.seed, self.digest, self.stream, words, longs)
 
     # -- slices ------------------------------------------------------------
     def bits(self, word: int, offset: int, width: int) -> Column:
@@ -89,9 +121,7 @@ class Draws:
         start, mask = 1 + 16 * (word % 2) + offset // 4, (1 << width) - 1
         if number in self.words:
             # SQL text: one call to the JVM instead of one per operator.
-            name = self.words[number]
-            if self.digest == "md5":
-                return F.expr(f"cast(conv(substring({name}, {start}, {width // 4}), 16, 10) as bigint)")
+            name = self.longs[word] if self.digest == "md5" else self.words[number]
             return F.expr(f"shiftrightunsigned({name}, {64 - offset - width}) & {mask}L")
         src = self.source(number)
         if self.digest == "md5":

@@ -24,6 +24,18 @@ from .draws import Draws, pick, weighted
 
 N_WORDS = 9
 
+#: Words that a field reads, and the fields that it is made from.
+FIELD_WORDS = {
+    "ip": (0,), "path": (0,), "user_agent": (0,), "method": (0,), "protocol": (0,), "referrer": (0,), "username": (1,),
+    "service": (1,), "host": (1,), "_status": (1, 2), "_drawn_level": (1,), "body_bytes": (2,), "request_time": (8,),
+    "trace_id": (4,), "span_id": (5,), "request_id": (6,), "msg_id": (5,), "pid": (7,), "duration_ms": (3,),
+    "request_size": (3,), "syslog_level": (8,), "syslog_duration_ms": (7,), "event_epoch": (2,),
+}
+FIELD_PARTS = {
+    "status": ("_status",), "body_bytes": ("_status",), "request_time": ("_status",), "duration_ms": ("_status",),
+    "message": ("_status",), "level": ("_status", "_drawn_level"), "syslog_level": ("_drawn_level",),
+}
+
 
 # -- D3, D4, D5, D6, D7, D8, D9, D10: categorical fields -------------------------------------
 def error_roll(d: Draws) -> Column:
@@ -232,14 +244,17 @@ def user_agent(d: Draws) -> Column:
 POOLS = {
     "ip": (V.IP_POOL_SIZE, ip_index, ip_entry, 2),
     "path": (V.PATH_POOL_SIZE, path_index, path_entry, 5),
+    "user_agent": (V.UA_POOL_SIZE, agent_index, agent_entry, 1),
 }
+POOL_STREAMS = {"user_agent": "agent"}
 
 
-def with_pool_field(df: DataFrame, d: Draws, name: str) -> DataFrame:
-    """Add ``_pool_<name>`` by a broadcast lookup: same values as the inline expression."""
+def with_pool_field(df: DataFrame, d: Draws, name: str, where: Column | None = None) -> DataFrame:
+    """Add ``_pool_<name>`` by a broadcast lookup: same values as the inline expression, NULL where ``where`` is not met."""
     size, index, entry, n_words = POOLS[name]
     slot = f"_slot_{name}"
     slots = df.sparkSession.range(0, size, 1, 4).withColumnRenamed("id", slot)
-    pool, e = d.substream(name, F.col(slot)).materialize(slots, n_words)
+    pool, e = d.substream(POOL_STREAMS.get(name, name), F.col(slot)).materialize(slots, n_words)
     pool = pool.select(slot, entry(e).alias(f"_pool_{name}"))
-    return df.withColumn(slot, index(d)).join(F.broadcast(pool), slot, "left").drop(slot)
+    at = index(d) if where is None else F.when(where, index(d))
+    return df.withColumn(slot, at).join(F.broadcast(pool), slot, "left").drop(slot)

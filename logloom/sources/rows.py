@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fields as X
 from ..functions import text as T
 from ..functions.draws import Draws
+from ..operators.formats import FORMAT_FIELDS
 from ..operators.spikes import repeat_numbers
 
 DEFAULT_ERROR_RATE = 0.01
@@ -31,6 +32,8 @@ def with_log_fields(
     prefix: str = "",
     fields: Sequence[str] | None = None,
     pools: str = "broadcast",
+    fmt: Column | None = None,
+    formats: Sequence[str] = (),
 ) -> DataFrame:
     """Add seeded log fields to every row: a narrow projection, no exchange, no Python.
 
@@ -38,19 +41,30 @@ def with_log_fields(
     number or a column such as ``error_rate`` of an attached scenario.  ``fields``
     limits the added columns.  The large pools (``ip``, ``path``) are
     looked up in broadcast tables of fixed size; ``pools="inline"`` evaluates the
-    same values in place instead, with no broadcast at all.
+    same values in place instead, with no broadcast at all.  With ``fmt``, a row
+    that becomes a line of one of ``formats``, only the fields that this format
+    reads are drawn, and the others are NULL: a line costs what its own format does.
     """
     wanted = LOG_FIELDS if fields is None else list(fields)
+    readers = _readers(wanted, formats) if fmt is not None else {}
+
+    def only(names: Sequence[str], value: Column) -> Column:
+        where = _read_by(fmt, formats, [r for n in names for r in readers.get(n, ())])
+        return value if where is None else F.when(where, value)
+
+    def word(no: int) -> Column | None:
+        return _read_by(fmt, formats, [r for n, words in X.FIELD_WORDS.items() if no in words for r in readers.get(n, ())])
+
     pooled = [f for f in X.POOLS if f in wanted] if pools == "broadcast" else []
     rate = F.lit(float(error_rate)) if isinstance(error_rate, (int, float)) else error_rate
-    df, d = Draws(keys, seed, digest).materialize(df, X.N_WORDS)
+    df, d = Draws(keys, seed, digest).materialize(df, X.N_WORDS, where={no: c for no in range(X.N_WORDS) if (c := word(no)) is not None})
     for name in pooled:
-        df = X.with_pool_field(df, d, name)
+        df = X.with_pool_field(df, d, name, _read_by(fmt, formats, readers.get(name, ())))
     # Status and levels feed several fields, so they are computed once, before them.
     status, drawn = F.col("_status"), F.col("_drawn_level")
-    df = df.withColumns({"_status": X.http_status(d, rate), "_drawn_level": X.log_level(d)})
+    df = df.withColumns({"_status": only(["_status"], X.http_status(d, rate)), "_drawn_level": only(["_drawn_level"], X.log_level(d))})
     if "syslog_level" in wanted:
-        df = df.withColumn("_syslog_level", T.syslog_level(d, rate, drawn))
+        df = df.withColumn("_syslog_level", only(["syslog_level"], T.syslog_level(d, rate, drawn)))
     build = {
         "ip": lambda: X.ip_address(d),
         "username": lambda: X.username(d),
@@ -78,10 +92,27 @@ def with_log_fields(
         "event_epoch": lambda: T.epoch_jitter(ts_col, d),
     }
     build |= {name: lambda name=name: F.col(f"_pool_{name}") for name in pooled}
-    out = df.withColumns({prefix + name: build[name]() for name in wanted})
+    copied = {"status", "syslog_level", *pooled}
+    out = df.withColumns({prefix + name: build[name]() if name in copied else only([name], build[name]()) for name in wanted})
     return out.select(*_kept(out))
 
 
+def _readers(wanted: Sequence[str], formats: Sequence[str]) -> dict[str, list[str]]:
+    """Formats that read each field, or a field made from it."""
+    out: dict[str, list[str]] = {}
+    for name in formats:
+        for field in FORMAT_FIELDS[name]:
+            for part in (field, *X.FIELD_PARTS.get(field, ())) if field in wanted else ():
+                out.setdefault(part, []).append(name)
+    return out
+
+
+def _read_by(fmt: Column | None, formats: Sequence[str], readers: Sequence[str]) -> Column | None:
+    """Condition that a row's format is a reader; None where no row need be left out."""
+    names = [name for name in formats if name in readers]
+    return None if fmt is None or len(names) in (0, len(formats)) else fmt.isin(*names)
+
+
 def _kept(df: DataFrame) -> list[str]:
     """All columns but the helpers."""
     helpers = {"_status", "_drawn_level", "_syslog_level", *[f"_pool_{n}" for n in X.POOLS]}
