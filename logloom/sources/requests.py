@@ -13,7 +13,8 @@ from ..functions.durations import duration_ms, duration_ok
 from ..operators.control import Control
 from ..operators.formats import canonical_format, format_ok
 from ..operators.payloads import batch_format, content_type
-from .scenarios import document_problem, parse_documents, shape_error, toml_to_json
+from ..session import cut_lineage
+from .scenarios import DOCUMENT_SCHEMA, document_problem, parse_documents, read_documents, shape_error
 
 # Defaults of a request.
 DEFAULTS = {"format": "event", "rate": "low", "batch_kb": 1024, "timeout_s": 30, "senders": 8, "name": "remote"}
@@ -37,7 +38,9 @@ def _read(df: DataFrame, json_col: str, aliases: Mapping[str, str] | None) -> Da
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     out = df.withColumn("r", F.from_json(F.col(json_col), REQUEST_SCHEMA, options))
     fmt = F.coalesce(canonical_format(F.col("r.format"), aliases), F.lit(DEFAULTS["format"]))
-    out = out.withColumns({"fmt": fmt, "wrong": _wrong_shape(F.col(json_col)), "wrong_inline": document_problem(F.col("r.scenario_toml"), aliases)})
+    out = out.withColumns({"fmt": fmt, "wrong": _wrong_shape(F.col(json_col)), "inline": read_documents(F.col("r.scenario_toml"))})
+    out = out.withColumn("doc", F.from_json("inline.json", DOCUMENT_SCHEMA))
+    out = out.withColumn("wrong_inline", document_problem(F.col("r.scenario_toml"), F.col("inline.error"), F.col("doc"), aliases)).drop("doc")
     return out.withColumn("error", request_error(F.col("r"), F.col("fmt"), F.col("wrong"), F.col("wrong_inline"))).drop("wrong", "wrong_inline")
 
 
@@ -82,7 +85,7 @@ def request_error(request: Column, fmt: Column, wrong: Column, wrong_inline: Col
 
 def validate_requests(df: DataFrame, json_col: str, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """The input with an ``error`` column; NULL means accepted."""
-    return _read(df, json_col, aliases).drop("r", "fmt")
+    return _read(df, json_col, aliases).drop("r", "fmt", "inline")
 
 
 def expand_requests(
@@ -92,10 +95,12 @@ def expand_requests(
 
     Without an inline document a request is one event at 0 and no spikes.  An
     inline document wins over duration and rate, while the request's format
-    still overrides.
+    still overrides.  The checked requests are written once and read back: every
+    table given would parse them all again.
     """
     read = _read(df, json_col, aliases)
-    good = read.filter("error is null").withColumn("scenario_id", F.col(id_col).cast("string"))
+    read = cut_lineage(read.select(F.col(id_col).cast("string").alias("scenario_id"), "r", "fmt", F.col("inline.json").alias("inline"), "error"))
+    good = read.filter("error is null")
     plain = good.filter(F.col("r.scenario_toml").isNull())
     rate = F.coalesce(F.col("r.rate"), F.lit(DEFAULTS["rate"]))
     explicit = F.from_json(rate, "throughput_mb int, logs_per_sec bigint")
@@ -126,12 +131,12 @@ def expand_requests(
         batch_format(F.col("fmt")).alias("batch_format"),
         content_type(F.col("fmt")).alias("content_type"),
     )
-    rejected = read.filter("error is not null").select(F.col(id_col).cast("string").alias("scenario_id"), "error")
+    rejected = read.filter("error is not null").select("scenario_id", "error")
+    # Documents with a problem are among the rejected requests.
     inline = good.filter(F.col("r.scenario_toml").isNotNull())
-    texts = inline.select("scenario_id", F.col("r.scenario_toml").alias("text"))
-    docs, bad = parse_documents(toml_to_json(texts, "text"), aliases)
+    docs, _ = parse_documents(inline.select("scenario_id", F.col("inline").alias("json"), null("string").alias("error")), aliases)
     forced = docs.meta.drop("format").join(inline.select("scenario_id", F.col("fmt").alias("format")), "scenario_id")
     control = Control(
         meta.unionByName(forced), timeline.unionByName(docs.timeline), docs.spikes, docs.rates
     )
-    return {"control": control, "outputs": outputs.join(bad, "scenario_id", "left_anti"), "rejected": rejected.unionByName(bad)}
+    return {"control": control, "outputs": outputs, "rejected": rejected}

@@ -10,6 +10,7 @@ import datetime
 import json
 import tomllib
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +72,7 @@ def shape_error(value: object, shape: object, path: str = "") -> str | None:
     return next((e for p, v, s in parts if (e := shape_error(v, s, p.lstrip(".")))), None)
 
 
+@lru_cache(maxsize=1024)
 def read_document(text: str | None) -> tuple[str | None, str | None]:
     """A document as JSON, or what keeps it from being one."""
 
@@ -98,8 +100,8 @@ def toml_to_json(df: DataFrame, text_col: str, id_col: str = "scenario_id") -> D
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} string, json string, error string")
 
 
-def document_problem(text: Column, aliases: Mapping[str, str] | None = None) -> Column:
-    """Why a document is rejected; NULL for a good one, and for no document."""
+def read_documents(text: Column) -> Column:
+    """A column of documents as ``struct<json, error>``: one of them, or none where there is no document."""
 
     @F.pandas_udf("json string, error string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -107,8 +109,15 @@ def document_problem(text: Column, aliases: Mapping[str, str] | None = None) ->
             rows = [(None, None) if t is None else read_document(t) for t in part]
             yield pd.DataFrame({"json": [r[0] for r in rows], "error": [r[1] for r in rows]})
 
-    found = read(text)
-    return F.when(text.isNotNull(), F.coalesce(found["error"], _document_error(F.from_json(found["json"], DOCUMENT_SCHEMA), aliases)))
+    return read(text)
+
+
+def document_problem(text: Column, error: Column, doc: Column, aliases: Mapping[str, str] | None = None) -> Column:
+    """Why a document is rejected; NULL for a good one, and for no document.
+
+    ``error`` comes from :func:`read_documents`; ``doc`` is a column that holds its JSON parsed, as it is read many times.
+    """
+    return F.when(text.isNotNull(), F.coalesce(error, _document_error(doc, aliases)))
 
 
 def _document_error(doc: Column, aliases: Mapping[str, str] | None) -> Column:

@@ -29,3 +29,12 @@ def test_a_row_draws_only_what_its_format_reads(spark, sf):
         assert lines[0] == lines[1] and all(row[-1] for row in lines[0])
         for row in own.collect():
             assert all((row[f] is not None) == (f in FORMAT_FIELDS[row["fmt"]]) for f in fields)
+
+
+def test_requests_are_read_once(spark, sf):
+    from logloom.plans.scenario_queries import request_texts
+    from logloom.sources.requests import expand_requests
+
+    got = expand_requests(request_texts(spark, sf), "json", "request_id")
+    for table in (got["control"].meta, got["control"].timeline, got["outputs"], got["rejected"]):
+        assert "Python" not in plan_of(table) and "InPandas" not in plan_of(table)
