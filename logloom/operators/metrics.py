@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..session import cut_lineage
 from .scan import Scan
 from .spikes import repeat_numbers
 
@@ -59,12 +60,13 @@ def throughput(
     """Counts and rates per tumbling interval, of all rows or of each group in ``by`` (M2).
 
     Intervals without rows are absent unless ``dense``: then every interval from
-    a group's first to its last one has a row.
+    a group's first to its last one has a row.  The sums are then written once and
+    read back, so that no later step makes the rows of ``df`` again.
     """
     ms = F.unix_millis(F.col(ts_col).cast("timestamp"))
     out = df.withColumn("bucket", F.floor(ms / F.lit(every_ms))).groupBy(*by, "bucket").agg(*_sums(is_error() if error is None else error))
     if dense:
-        out = without_holes(out, by)
+        out = without_holes(cut_lineage(out), by)
     seconds = F.lit(every_ms / 1000.0)
     return out.withColumns(
         {

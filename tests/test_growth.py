@@ -38,3 +38,10 @@ def test_requests_are_read_once(spark, sf):
     got = expand_requests(request_texts(spark, sf), "json", "request_id")
     for table in (got["control"].meta, got["control"].timeline, got["outputs"], got["rejected"]):
         assert "Python" not in plan_of(table) and "InPandas" not in plan_of(table)
+
+
+def test_dense_reports_make_their_rows_once(spark):
+    rows = spark.range(0, 100, 7).select(F.timestamp_millis(F.col("id") * 1000).alias("ts"), F.col("id").alias("n_bytes"), F.lit(False).alias("bad"))
+    out = metrics.running_totals(metrics.throughput(rows, "ts", error=F.col("bad"), dense=True), block=16)
+    assert "Range" not in plan_of(out)
+    assert out.agg(F.count("*"), F.sum("logs"), F.max("total_logs"), F.sum("bytes")).first() == (197, 15, 15, 735)
