@@ -18,6 +18,9 @@ from .states import error_fraction, progress_percent, rate_description, rates_at
 # Sizes up to which the state table is inlined as literals or broadcast.
 LITERAL_ROWS = 48
 BROADCAST_ROWS = 200_000
+# Intervals of a scenario up to which those of a bucket travel with the rows planned for it.
+CARRIED_ROWS = 256
+CARRIED = "_carried"
 # Blocks that the clock of the longest scenario is cut into where rows and intervals are merged.
 TIME_BLOCKS = 1024
 
@@ -56,6 +59,7 @@ class States:
         if len(head) <= literal_rows and len({r["scenario_id"] for r in head}) == 1:
             self.literals = sorted(head, key=lambda r: r["lo_ms"])
         self._small: bool | None = None
+        self._most: int | None = None
 
     @classmethod
     def of(cls, control: Control, seed: int = 0, digest: str = "xxhash64", describe: bool = False, **kw) -> "States":
@@ -100,8 +104,7 @@ class States:
             self._small = size["n"] <= self.broadcast_rows and size["bytes"] <= 200 * self.broadcast_rows
             self._longest = size["longest"] or 0
             if self._small:
-                most = self.intervals.groupBy("scenario_id").count().agg(F.max("count")).first()
-                self._most = most[0] or 1
+                self._longest_script()
         return self._small
 
     def _search_join(self, df: DataFrame, scenario: Column) -> DataFrame:
@@ -130,6 +133,31 @@ class States:
         merged = merged.where(F.col("_row").isNotNull() & F.col("_held").isNotNull())
         return self._inside(merged.select("_row.*", F.col("_held").alias("_item")))
 
+    # -- carried form ------------------------------------------------------------------------
+    def in_buckets(self, plan: DataFrame, bucket_ms: int) -> tuple[DataFrame, list[str]]:
+        """Give planned buckets the intervals that they meet, so that the rows made from them need no lookup.
+
+        ``plan`` has a row per (``scenario_id``, ``bucket``); it comes back with the names of the columns
+        added, which the rows must keep.  There are none where the intervals are broadcast, or where a
+        scenario has more than ``CARRIED_ROWS`` of them: rows then find theirs as any others do.
+        """
+        if self._fits() or self._longest_script() > CARRIED_ROWS:
+            return plan, []
+        items = self.intervals.groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.struct(*self.columns))).alias(CARRIED))
+        start, end = F.col("bucket") * F.lit(bucket_ms), (F.col("bucket") + 1) * F.lit(bucket_ms)
+        met = F.filter(CARRIED, lambda item: (item["lo_ms"] < end) & (item["hi_ms"] > start))
+        return plan.join(items, "scenario_id").withColumn(CARRIED, met), [CARRIED]
+
+    def _longest_script(self) -> int:
+        if self._most is None:
+            self._most = self.intervals.groupBy("scenario_id").count().agg(F.max("count")).first()[0] or 1
+        return self._most
+
+    def _carried_join(self, df: DataFrame) -> DataFrame:
+        """Each row takes the last of its carried intervals that began."""
+        begun = F.filter(CARRIED, lambda item: item["lo_ms"] <= F.col("t_ms"))
+        return self._inside(df.withColumn("_item", F.try_element_at(begun, F.lit(-1))).drop(CARRIED))
+
     def _inside(self, rows: DataFrame) -> DataFrame:
         out = rows.withColumns({c: F.col("_item")[c] for c in self.columns}).drop("_item")
         return out.filter((F.col("t_ms") >= F.col("lo_ms")) & (F.col("t_ms") < F.col("hi_ms")))
@@ -141,6 +169,8 @@ class States:
         rows = df.withColumn("t_ms", elapsed_ms(ts_col, origin))
         if self.literals is not None and scenario_col is None:
             return self._literal_join(rows)
+        if scenario_col is not None and CARRIED in df.columns:
+            return self._carried_join(rows)
         if scenario_col is not None:
             return self._join(rows, F.col(scenario_col))
         ids = self.intervals.select("scenario_id").distinct().limit(2).collect()

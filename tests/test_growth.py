@@ -45,3 +45,23 @@ def test_dense_reports_make_their_rows_once(spark):
     out = metrics.running_totals(metrics.throughput(rows, "ts", error=F.col("bad"), dense=True), block=16)
     assert "Range" not in plan_of(out)
     assert out.agg(F.count("*"), F.sum("logs"), F.max("total_logs"), F.sum("bytes")).first() == (197, 15, 15, 735)
+
+
+def test_planned_rows_carry_the_states_of_their_bucket(spark, sf):
+    """The same rows whether states are broadcast, carried with the plan or merged in time order."""
+    from logloom.operators import attach, run
+    from logloom.operators.states import state_intervals
+    from logloom.plans import run_queries as R
+
+    control = R.run_control(spark, sf)
+    intervals = state_intervals(control, X.SEED, X.DIGEST).persist()
+    keep = [*run.RUN_KEYS, "t_ms", "lps", "error_fp", "spike_active", "line", "is_error", "status"]
+
+    def rows(**kw):
+        states = attach.States(intervals, literal_rows=0, **kw)
+        out = run.run_rows(control, X.CUSTOMER_ORIGIN, X.SEED, X.DIGEST, R.BUCKET, states=states).select(*keep)
+        plan = spark.range(1).select(F.lit("x").alias("scenario_id"), F.lit(0).alias("bucket"))
+        return sorted(map(tuple, out.collect())), states.in_buckets(plan, R.BUCKET)[1]
+
+    broadcast, carried = rows(), rows(broadcast_rows=0)
+    assert broadcast[1] == [] and carried[1] == [attach.CARRIED] and broadcast[0] and broadcast[0] == carried[0]
