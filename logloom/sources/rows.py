@@ -55,7 +55,8 @@ def with_log_fields(
     def word(no: int) -> Column | None:
         return _read_by(fmt, formats, [r for n, words in X.FIELD_WORDS.items() if no in words for r in readers.get(n, ())])
 
-    pooled = [f for f in X.POOLS if f in wanted] if pools == "broadcast" else []
+    # User agents are pooled for mixed formats only, where they would be evaluated several times inside a condition.
+    pooled = [f for f in X.POOLS if f in wanted and (f != "user_agent" or fmt is not None)] if pools == "broadcast" else []
     rate = F.lit(float(error_rate)) if isinstance(error_rate, (int, float)) else error_rate
     df, d = Draws(keys, seed, digest).materialize(df, X.N_WORDS, where={no: c for no in range(X.N_WORDS) if (c := word(no)) is not None})
     for name in pooled:
