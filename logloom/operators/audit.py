@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fields as X
 from ..functions import vocab as V
 from ..functions.draws import Draws, slot_counts
+from .attach import TIME_BLOCKS
 from .scan import Scan
 from .spikes import repeat_numbers
 
@@ -27,28 +28,46 @@ def ground_truth(attached: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def truth_buckets(instances: DataFrame, meta: DataFrame, bucket_ms: int, span: int = 1 << 16) -> DataFrame:
+def truth_buckets(instances: DataFrame, meta: DataFrame, bucket_ms: int, span: int = 1 << 16, longest_ms: int | None = None) -> DataFrame:
     """Labels of every bucket of every clock, also of those without rows (G1).
 
     Per (scenario_id, bucket): ``started`` spikes, ``spike_ms`` (active time, overlapping spikes each),
     ``anomalous_ms`` (time with any active spike) and ``is_anomaly`` (more than half of the bucket).
-    Spikes enter as their two edges.  Running sums of the edges' signs and times, in blocks of ``span``
-    buckets, give the active time up to the end of each bucket; no spike is spread over its buckets.
+    Spikes enter as their two edges, clocks as a mark at 0 that holds their end.  Running sums of the marks'
+    signs and times give the active time up to the end of each bucket that has a mark; it then makes the
+    buckets up to the next one with a mark.  Buckets are made once, at the end: none is shuffled, sorted or
+    joined.  One count decides: where no scenario has more than ``span`` marks, all sums follow one shuffle of
+    marks, else they run in blocks.  Buckets are dealt over the cluster in blocks before they are made, unless
+    ``longest_ms``, the longest clock, has at most ``span`` of them.
     """
-    clipped = instances.join(meta.select("scenario_id", "total_ms"), "scenario_id")
-    clipped = clipped.withColumns({"_from": F.greatest("start_ms", F.lit(0)), "_to": F.least("end_ms", "total_ms")}).where("_from < _to")
-    edge = lambda at, sign: F.struct(F.col(at).alias("ms"), F.lit(sign).cast("bigint").alias("sign"))
-    edges = clipped.select("scenario_id", F.inline(F.array(edge("_from", 1), edge("_to", -1))))
-    edges = edges.groupBy("scenario_id", "ms").agg(F.sum("sign").alias("sign"), F.sum((F.col("sign") > 0).cast("bigint")).alias("started"))
-    edges = Scan(["scenario_id"], "ms", span * bucket_ms).apply(edges, running={"_on": ("sum", F.col("sign"))}, previous={"_was": ("sum", F.col("sign"))})
+    most = instances.groupBy("scenario_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    one_block = 2 * most + 1 <= span
+    # Blocks of ``span`` buckets could hold any number of edges: the longest clock has many blocks.
+    block_ms = span * bucket_ms if longest_ms is None else max(1, longest_ms // TIME_BLOCKS)
+    big = lambda c: c.cast("bigint")
+    edge = lambda at, sign: F.struct(big(at).alias("ms"), big(F.lit(sign)).alias("sign"), big(F.lit(None)).alias("total_ms"))
+    start, end = F.greatest("start_ms", F.lit(0)), F.col("end_ms")
+    # Tested where edges are made: a filter on the times would draw the jitter again for each use of them.
+    both = F.when(end.isNull(), F.array(edge(start, 1))).when(start < end, F.array(edge(start, 1), edge(end, -1)))
+    marks = instances.where("scenario_id is not null").select("scenario_id", F.inline(both))
+    marks = marks.unionByName(meta.select("scenario_id", big(F.lit(0)).alias("ms"), big(F.lit(0)).alias("sign"), big(F.col("total_ms")).alias("total_ms")))
+    if one_block:
+        marks = marks.repartition("scenario_id")
+    edges = marks.groupBy("scenario_id", "ms").agg(F.sum("sign").alias("sign"), F.sum(big(F.col("sign") > 0)).alias("started"), F.max("total_ms").alias("_total"))
+    scan = Scan(["scenario_id"], "ms", None if one_block else block_ms)
+    edges = scan.apply(edges, running={"_on": ("sum", F.col("sign")), "total_ms": ("last", F.col("_total"))}).where("ms < total_ms")
     # Where any spike begins to be active, or none is any more.
-    any_sign = (F.col("_on") > 0).cast("bigint") - (F.coalesce("_was", F.lit(0)) > 0).cast("bigint")
+    any_sign = big(F.col("_on") > 0) - big(F.col("_on") > F.col("sign"))
     bucket = F.floor(F.col("ms") / F.lit(bucket_ms)).alias("bucket")
     sums = {"sign": F.col("sign"), "moment": F.col("sign") * F.col("ms"), "any": any_sign, "any_moment": any_sign * F.col("ms"), "started": F.col("started")}
-    parts = edges.groupBy("scenario_id", bucket).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    every = repeat_numbers(meta.select("scenario_id", "total_ms"), F.ceil(F.col("total_ms") / F.lit(bucket_ms)), "bucket", spread_by=["scenario_id"])
-    cells = every.join(parts, ["scenario_id", "bucket"], "left").na.fill(0, list(sums))
-    cells = Scan(["scenario_id"], "bucket", span).apply(cells, running={f"_{n}": ("sum", F.col(n)) for n in sums if n != "started"})
+    parts = edges.groupBy("scenario_id", bucket).agg(*[F.sum(c).alias(n) for n, c in sums.items()], F.max("total_ms").alias("total_ms"))
+    running = {f"_{n}": ("sum", F.col(n)) for n in sums if n != "started"}
+    parts = Scan(["scenario_id"], "bucket", None if one_block else span).apply(parts, running=running, following={"_next": F.col("bucket")})
+    count = F.ceil(F.col("total_ms") / F.lit(bucket_ms))
+    few = longest_ms is not None and longest_ms <= span * bucket_ms
+    cells = repeat_numbers(parts, F.least("_next", count) - F.col("bucket"), "_after", spread_by=None if few else ["scenario_id", "bucket"])
+    own = {n: big(F.when(F.col("_after") == 0, F.col(n)).otherwise(F.lit(0))) for n in sums}
+    cells = cells.withColumns({**own, "bucket": F.col("bucket") + F.col("_after")})
     end = F.least((F.col("bucket") + 1) * F.lit(bucket_ms), "total_ms")
     # Up to a time t the active time is the sum of sign * (t - edge); the part before the bucket is taken off.
     begin = F.col("bucket") * F.lit(bucket_ms)

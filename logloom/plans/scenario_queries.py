@@ -354,7 +354,7 @@ TRUTH_BUCKET = 7 * X.DAY
     FROM lim LEFT JOIN each USING (sid, bucket) LEFT JOIN any_ USING (sid, bucket)""",
 )
 def g1_buckets(spark, d):
-    return audit.truth_buckets(instances(spark, d), X.customer_control(spark, d).meta, TRUTH_BUCKET)
+    return audit.truth_buckets(instances(spark, d), X.customer_control(spark, d).meta, TRUTH_BUCKET, longest_ms=X.CUSTOMER_TOTAL)
 
 
 ALERT_BUCKET = 6 * X.HOUR

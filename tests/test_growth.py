@@ -65,3 +65,13 @@ def test_planned_rows_carry_the_states_of_their_bucket(spark, sf):
 
     broadcast, carried = rows(), rows(broadcast_rows=0)
     assert broadcast[1] == [] and carried[1] == [attach.CARRIED] and broadcast[0] and broadcast[0] == carried[0]
+
+
+def test_truth_buckets_are_made_once(spark, sf):
+    from logloom.plans.scenario_queries import g1_buckets
+
+    plan = plan_of(g1_buckets(spark, sf))
+    assert plan.count("FileScan") == 2  # spikes and clocks
+    above = plan[: plan.index("Generate")]
+    assert not any(step in above for step in ("Exchange", "Join", "Sort", "Window", "HashAggregate"))
+    assert plan.count("md5(") == 2  # the two parts of one jitter

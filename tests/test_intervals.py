@@ -36,6 +36,26 @@ def test_truth_buckets(spark, span):
     assert got == expected
 
 
+@pytest.mark.parametrize("longest", [None, 300_000])
+@pytest.mark.parametrize("span", [1 << 16, 2])
+def test_truth_buckets_of_long_clocks(spark, span, longest):
+    """Pauses longer than a block of buckets; spikes without end, without length, beyond their clock or of no clock."""
+    rows = [("a", 0, 0, "mixed", -5, 3), ("a", 1, 0, "mixed", 249_999, None), ("a", 2, 0, "mixed", 300_000, 300_010), ("a", 3, 0, "mixed", 7, 7)]
+    rows += [("b", 0, 0, "mixed", 50, 10**9), ("none", 0, 0, "mixed", 1, 9), ("empty", 0, 0, "mixed", 0, 9), (None, 0, 0, "mixed", 0, 9)]
+    clocks, width = [("a", 300_000), ("b", 201), ("empty", 0)], 2
+    out = truth_buckets(spark.createDataFrame(rows, SPIKE), spark.createDataFrame(clocks, "scenario_id string, total_ms bigint"), width, span, longest_ms=longest)
+    expected = set()
+    for sid, total in clocks:
+        own = [(max(a, 0), total if b is None else min(b, total)) for s, *_, a, b in rows if s == sid]
+        own = [(a, b) for a, b in own if a < b]
+        for k in range(-(-total // width)):
+            lo, hi = k * width, min((k + 1) * width, total)
+            ms = sum(max(0, min(b, hi) - max(a, lo)) for a, b in own)  # no two of them meet
+            expected.add((sid, k, sum(lo <= a < hi for a, _ in own), ms, ms, 2 * ms > hi - lo))
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(expected) == 150_101 and set(got) == expected
+
+
 @pytest.mark.parametrize("span", [1 << 16, 3])
 def test_next_alert_of_a_spike(spark, span):
     rows, width = spikes_of(60, seed=8), 10
