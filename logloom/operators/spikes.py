@@ -16,21 +16,25 @@ INSTANCE_KEYS = ["scenario_id", "spike_idx", "rep"]
 CHUNK = 65_536
 
 
-def repeat_numbers(df: DataFrame, count: Column, name: str, chunk: int = CHUNK, spread_by: list[str] | None = None) -> DataFrame:
+def repeat_numbers(
+    df: DataFrame, count: Column, name: str, chunk: int = CHUNK, spread_by: list[str] | None = None, parts: int | None = None, block: str | None = None
+) -> DataFrame:
     """One row per number 0..count-1; two nested explodes keep every array at most ``chunk`` long.
 
     ``spread_by`` names the key of the input rows: blocks of ``chunk`` numbers
     are then dealt over the cluster before they expand, so that one row with a
-    huge count does not expand in one task.  Only block rows are shuffled.
+    huge count does not expand in one task.  Only block rows are shuffled, to
+    ``parts`` partitions if given.  ``block`` names a column for their number.
     """
+    at = block or "_block"
     df = df.withColumn("_count", count).filter(F.col("_count") > 0)
     blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_count") - 1) / F.lit(chunk)))
-    df = df.withColumn("_block", F.explode(blocks))
+    df = df.withColumn(at, F.explode(blocks))
     if spread_by:
-        df = df.repartition(*spread_by, "_block")
-    first = F.col("_block") * F.lit(chunk)
+        df = df.repartition(*([parts] if parts else []), *spread_by, at)
+    first = F.col(at) * F.lit(chunk)
     last = F.least(first + F.lit(chunk - 1), F.col("_count") - 1)
-    return df.withColumn(name, F.explode(F.sequence(first, last))).drop("_count", "_block")
+    return df.withColumn(name, F.explode(F.sequence(first, last))).drop("_count", *([] if block else ["_block"]))
 
 
 def instance_draws(seed: int, digest: str) -> Draws:

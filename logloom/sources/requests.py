@@ -13,7 +13,7 @@ from ..functions.durations import duration_ms, duration_ok
 from ..operators.control import Control
 from ..operators.formats import canonical_format, format_ok
 from ..operators.payloads import batch_format, content_type
-from ..session import cut_lineage
+from ..session import written
 from .scenarios import DOCUMENT_SCHEMA, document_problem, parse_documents, read_documents, shape_error
 
 # Defaults of a request.
@@ -99,7 +99,7 @@ def expand_requests(
     table given would parse them all again.
     """
     read = _read(df, json_col, aliases)
-    read = cut_lineage(read.select(F.col(id_col).cast("string").alias("scenario_id"), "r", "fmt", F.col("inline.json").alias("inline"), "error"))
+    read = written(read.select(F.col(id_col).cast("string").alias("scenario_id"), "r", "fmt", F.col("inline.json").alias("inline"), "error"), "requests")
     good = read.filter("error is null")
     plain = good.filter(F.col("r.scenario_toml").isNull())
     rate = F.coalesce(F.col("r.rate"), F.lit(DEFAULTS["rate"]))

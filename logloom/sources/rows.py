@@ -120,15 +120,25 @@ def _kept(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in helpers and not (c.startswith("_w") and c[2:].isdigit())]
 
 
-def generate_rows(budget: DataFrame, bucket_ms: int, origin: str, chunk: int = 65_536, keep: Sequence[str] = ()) -> DataFrame:
+def generate_rows(
+    budget: DataFrame,
+    bucket_ms: int,
+    origin: str,
+    chunk: int = 65_536,
+    keep: Sequence[str] = (),
+    spread_by: Sequence[str] = ("scenario_id", "bucket"),
+    parts: int | None = None,
+    block: str | None = None,
+) -> DataFrame:
     """Rows of a run: as many per bucket as :func:`row_budget` says, evenly spaced inside it.
 
     The key ``(scenario_id, bucket, i)`` is stable, so fields drawn from it do
     not depend on partitioning.  Blocks of ``chunk`` rows are dealt over the
     cluster before they expand, so one bucket may hold most of the run.  ``keep``
-    names columns of the budget that every row gets.
+    names columns of the budget that every row gets.  Columns ``spread_by`` and the
+    block's number, which rows keep as ``block``, say how they are dealt, over ``parts`` partitions.
     """
-    rows = repeat_numbers(budget.filter("n_rows > 0"), F.col("n_rows"), "i", chunk, spread_by=["scenario_id", "bucket"])
+    rows = repeat_numbers(budget.filter("n_rows > 0"), F.col("n_rows"), "i", chunk, list(spread_by), parts, block)
     offset = F.col("bucket") * F.lit(bucket_ms) + F.expr(f"cast(i as decimal(20,0)) * cast({bucket_ms} as decimal(18,0)) div n_rows")
     start = F.unix_millis(F.lit(origin).cast("timestamp"))
-    return rows.select("scenario_id", "bucket", "i", offset.alias("t_ms"), F.timestamp_millis(start + offset).alias("ts"), *keep)
+    return rows.select("scenario_id", "bucket", "i", offset.alias("t_ms"), F.timestamp_millis(start + offset).alias("ts"), *keep, *([block] if block else []))

@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import metrics, run
+from logloom.operators.attach import States
 from logloom.operators.budget import row_budget
 from logloom.operators.payloads import BODY_SHAPES
 from logloom.operators.timeline import timeline_segments
 from logloom.plans import fixtures as X
 from logloom.plans import run_queries as Q
+from logloom.sources.requests import expand_requests
 
 ORIGIN = X.CUSTOMER_ORIGIN
 
@@ -99,3 +101,47 @@ def test_dense_intervals(spark):
     b = out.filter("k = 'b'").agg(F.count("*"), F.countDistinct("bucket"), F.sum("logs"), F.max("total_bytes"), F.min("bucket"), F.max("bucket")).first()
     assert tuple(b) == (99_997, 99_997, 2, 3, 4, 100_000)
     assert metrics.without_holes(rows.limit(0), ["k"]).count() == 0
+
+
+def _requests(spark, *asked):
+    """Requests of ``(id, seconds, logs a second, format, target)``."""
+    text = lambda s, n, fmt, url: json.dumps({"output": f"https://{url}.invalid/", "duration": f"{s}s", "rate": {"throughput_mb": 1, "logs_per_sec": n}, "format": fmt, "http_batch_kb": 1})
+    return spark.createDataFrame([(k, text(*rest)) for k, *rest in asked], "id string, json string")
+
+
+def _packed_after_a_shuffle(requests, window):
+    got = expand_requests(requests, "json", "id")
+    rows = run.run_rows(got["control"], ORIGIN, outputs=got["outputs"])
+    return run.run_payloads(rows, F.col("batch_bytes"), window).join(got["outputs"].select("scenario_id", "url"), "scenario_id")
+
+
+def test_requests_make_their_text_where_it_is_packed(spark):
+    out = run.run_requests(_requests(spark, ("a", 3, 4, "json", "one"), ("b", 1, 2, "syslog", "two")), "json", "id", ORIGIN, window_buckets=60)
+    plan = out["payloads"]._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode")]
+    assert "Window" in above and "ObjectHashAggregate" in above and "Exchange" not in above
+
+
+@pytest.mark.parametrize("most", [1 << 18, 20, 0])
+def test_large_groups_of_requests_pack_alike(spark, monkeypatch, most):
+    monkeypatch.setattr(run, "GROUP_ROWS", most)
+    monkeypatch.setattr(run, "TASK_ROWS", 16)
+    df = _requests(spark, ("a", 5, 9, "json", "one"), ("b", 2, 3, "syslog", "two"), ("c", 4, 2, "nginx", "two"), ("d", 3, 40, "event", "one"))
+    made = run.run_requests(df, "json", "id", ORIGIN, window_buckets=2)
+    columns = made["payloads"].columns
+    got, old = (sorted(map(tuple, x.select(columns).collect())) for x in (made["payloads"], _packed_after_a_shuffle(df, 2)))
+    assert got == old and sum(r["n_rows"] for r in made["payloads"].collect()) == 45 + 6 + 8 + 120
+    assert made["rows"].count() == 179 and "_deal" not in made["rows"].columns and "url" not in made["rows"].columns
+
+
+def test_every_target_of_a_repeated_id_gets_all_payloads(spark, monkeypatch):
+    class Carried(States):
+        def __init__(self, intervals):
+            super().__init__(intervals, broadcast_rows=0)
+
+    monkeypatch.setattr(run, "States", Carried)
+    df = _requests(spark, ("a", 2, 4, "json", "one"), ("a", 2, 4, "json", "two"), ("b", 1, 3, "apache", "one"), (None, 2, 2, "json", "one"))
+    out = run.run_requests(df, "json", "id", ORIGIN, window_buckets=60)["payloads"]
+    got, old = (sorted(map(tuple, x.select(out.columns).collect())) for x in (out, _packed_after_a_shuffle(df, 60)))
+    assert got == old and {r["url"] for r in out.filter("scenario_id = 'a'").collect()} == {"https://one.invalid/", "https://two.invalid/"}
+    assert {r["scenario_id"] for r in out.collect()} == {"a", "b"}
